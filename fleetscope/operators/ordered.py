@@ -137,6 +137,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             .drop("__before", SLICE))
 
 
+def ranked(df: DataFrame, keys: Sequence[str], orders: Mapping[str, Sequence[Column]]) -> DataFrame:
+    """Several row numbers within the same keys, with one size check for all of them."""
+    sizes = df.groupBy(*keys).count().agg(F.max("count")).first()
+    if (sizes[0] or 0) <= max_group_rows(df):
+        return df.select("*", *[
+            F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint").alias(name)
+            for name, order in orders.items()])
+    out = df
+    for name, order in orders.items():
+        out = numbered(out, keys, order, name)
+    return out
+
+
 def filled(df: DataFrame, keys: Sequence[str], order: Sequence[str],
            columns: Mapping[str, str]) -> DataFrame:
     """Last non-null value up to and including the row: new name -> source column."""

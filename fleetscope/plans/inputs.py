@@ -207,9 +207,11 @@ STATUS_TEXT = (
 
 BACKUP_LINE = [
     "host_id", "d AS backup_date", "line_no",
-    "CASE WHEN n % 7 = 0 THEN '1' ELSE '2' END || ':/backup/' || CAST(d AS STRING) || ':/backup/log_' || CAST(d AS STRING) || ':' || CAST(d AS STRING) || '_03-30-00:'"
-    " || CAST(d AS STRING) || '_04-' || lpad(CAST(host_id AS STRING), 2, '0') || '-00:' || CAST(d AS STRING) || ':' || CASE WHEN (n + host_id) % 11 = 5 THEN '0' ELSE '1' END"
-    " || CASE WHEN n % 13 = 0 THEN ':dir:x:y:z' WHEN n % 5 = 1 THEN ':1:0:dir_' || CAST(d AS STRING) ELSE ':dir_' || CAST(d AS STRING) END AS line",
+    "CASE WHEN n % 7 = 0 THEN '1' ELSE '2' END || ':/backup/' || CAST(d AS STRING) || ':'"
+    " || CASE WHEN n % 5 = 1 THEN 'data_' || CAST(d AS STRING) || '.tar:' ELSE '' END || '/backup/log_' || CAST(d AS STRING) || ':'"
+    " || CAST(d AS STRING) || '_03-30-00:' || CAST(d AS STRING) || '_04-' || lpad(CAST(host_id AS STRING), 2, '0') || '-00:'"
+    " || CAST(d AS STRING) || ':' || CASE WHEN (n + host_id) % 11 = 5 THEN '0' ELSE '1' END"
+    " || CASE WHEN n % 5 = 1 THEN ':1:0' WHEN (n + host_id) % 17 = 3 THEN ':x:y' ELSE ':dir_' || CAST(d AS STRING) END AS line",
 ]
 
 SLAVE_STATUS = [
@@ -246,6 +248,14 @@ STATISTICS = [
     "'t' || CAST(p_partkey AS STRING) AS table_name", "index_name", "non_unique", "seq_in_index", "column_name", "index_type",
 ]
 
+COLUMN_ROWS = [("id", 1, "bigint", "PRI"), ("a", 2, "int", "MUL"), ("b", 3, "int", ""), ("c", 4, "varchar(20)", "MUL"),
+               ("d", 5, "text", "")]
+COLUMNS_FILTER = "NOT (column_name = 'd' AND p_size % 8 <> 0)"
+CATALOG_COLUMNS = [
+    "CASE WHEN p_partkey % 10 = 9 THEN 'mysql' ELSE 'db' || CAST(p_partkey % 3 AS STRING) END AS table_schema",
+    "'t' || CAST(p_partkey AS STRING) AS table_name", "column_name", "ordinal_position", "column_type", "column_key",
+]
+
 OS_LINES = [
     ("loadavg", 1, "0.# 0.40 0.30 1/200 12345"),
     ("meminfo", 1, "MemTotal:       16#000 kB"), ("meminfo", 2, "MemFree:         1#000 kB"),
@@ -431,6 +441,13 @@ class Inputs:
         return (self.table("part").selectExpr("p_partkey", "p_size", f"inline(array({rows}))")
                 .where(STATISTICS_FILTER).selectExpr(*STATISTICS))
 
+    @cached_property
+    def catalog_columns(self) -> DataFrame:
+        rows = ", ".join(f"struct('{c}' AS column_name, {n} AS ordinal_position, '{t}' AS column_type, '{k}' AS column_key)"
+                         for c, n, t, k in COLUMN_ROWS)
+        return (self.table("part").selectExpr("p_partkey", "p_size", f"inline(array({rows}))")
+                .where(COLUMNS_FILTER).selectExpr(*CATALOG_COLUMNS))
+
     @cached_property
     def os_text(self) -> DataFrame:
         rows = ", ".join(f"struct('{k}' AS kind, {n} AS line_no, '{t}' AS tpl)" for k, n, t in OS_LINES)

@@ -69,6 +69,8 @@ VIEWS = {
     "catalog_statistics": _select(I.STATISTICS, f"part CROSS JOIN (VALUES {_values(I.STATISTICS_ROWS)})"
                                   " AS v(index_name, non_unique, seq_in_index, column_name, index_type)")
     + f" WHERE {I.STATISTICS_FILTER}",
+    "catalog_columns": _select(I.CATALOG_COLUMNS, f"part CROSS JOIN (VALUES {_values(I.COLUMN_ROWS)})"
+                               " AS v(column_name, ordinal_position, column_type, column_key)") + f" WHERE {I.COLUMNS_FILTER}",
     "os_text": _select(I.OS_TEXT, f"events CROSS JOIN (VALUES {_values(I.OS_LINES)}) AS v(kind, line_no, tpl)"),
     "binlog_text": "SELECT * FROM (" + _numbered_lines(I.BINLOG_TEXT_LINES, "log_file, log_pos", "binlog_events", "line_no")
     + ") x WHERE line IS NOT NULL",
