@@ -226,6 +226,17 @@ SLAVE_STATUS = [
     "CASE WHEN host_id < 5 THEN NULL ELSE host_id - 5 END AS master_host_id",
 ]
 
+# Replicas whose SQL thread stopped; the error text ends with the position of the failing event.
+STOPPED_REPLICAS = [
+    "host_id", "poll_id", "slave_sql_running", "last_sql_errno",
+    "'bin.' || lpad(CAST(CAST(floor(poll_id / 1000) AS BIGINT) AS STRING), 6, '0') AS relay_master_log_file",
+    "poll_id AS exec_master_log_pos",
+    "'Could not execute rows event on table accounts; end_log_pos ' || CAST(poll_id + 1 + poll_id % 3 AS STRING) AS last_sql_error",
+]
+MASTER_POSITIONS = [
+    "host_id", "poll_id", "ts", "'bin.' || CAST(1 + questions % 3 AS STRING) AS log_file", "questions * 100 AS log_pos",
+]
+
 CATALOG_TABLES = [
     "CASE WHEN p_partkey % 10 = 9 THEN 'mysql' ELSE 'db' || CAST(p_partkey % 3 AS STRING) END AS table_schema",
     "'t' || CAST(p_partkey AS STRING) AS table_name", "CASE WHEN p_size % 11 = 0 THEN 'MyISAM' ELSE 'InnoDB' END AS engine",
@@ -424,6 +435,14 @@ class Inputs:
     def slave_status(self) -> DataFrame:
         return self.counter_samples.selectExpr(*SLAVE_STATUS)
 
+    @cached_property
+    def stopped_replicas(self) -> DataFrame:
+        return self.slave_status.where("slave_sql_running = 'No'").selectExpr(*STOPPED_REPLICAS)
+
+    @cached_property
+    def master_positions(self) -> DataFrame:
+        return self.counter_samples.selectExpr(*MASTER_POSITIONS)
+
     @cached_property
     def master_logs(self) -> DataFrame:
         return (self.binlog_events

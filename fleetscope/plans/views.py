@@ -63,6 +63,8 @@ VIEWS = {
     "charts": _select(I.CHARTS, "customer"),
     "chart_lines": _select(I.CHART_LINES, "orders"),
     "slave_status": _select(I.SLAVE_STATUS, "counter_samples"),
+    "stopped_replicas": _select(I.STOPPED_REPLICAS, "slave_status") + " WHERE slave_sql_running = 'No'",
+    "master_positions": _select(I.MASTER_POSITIONS, "counter_samples"),
     "master_logs": "SELECT log_pos % 10 AS host_id, log_file AS log_name, CAST(count(*) * 1048576 AS BIGINT) AS file_size"
     " FROM binlog_events GROUP BY log_pos % 10, log_file",
     "catalog_tables": _select(I.CATALOG_TABLES, "part"),
