@@ -176,22 +176,34 @@ def fleet_metrics_long(families: Mapping[str, tuple[DataFrame, Sequence[str]]])
     return out
 
 
-def alert_flags(samples: DataFrame, replicas: DataFrame, hosts: DataFrame, now: Column, down_seconds: int,
-                max_threads: int = MAX_THREADS, max_running: int = MAX_THREADS_RUNNING) -> DataFrame:
+def _flag(condition: Column, rule: str, value: Column) -> Column:
+    return F.when(condition, F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value")))
+
+
+def _flagged(df: DataFrame, *flags: Column) -> DataFrame:
+    return (df.select("host_id", "ts", F.explode(F.array_compact(F.array(*flags))).alias("a"))
+            .select("host_id", "ts", "a.rule", "a.value"))
+
+
+def load_alerts(samples: DataFrame, max_threads: int = MAX_THREADS, max_running: int = MAX_THREADS_RUNNING) -> DataFrame:
+    """Samples over a thread threshold; stateless, so it also runs on a stream."""
+    return _flagged(samples,
+                    _flag(F.col("threads_connected") > max_threads, "threads", F.col("threads_connected")),
+                    _flag(F.col("threads_running") > max_running, "threads_running", F.col("threads_running")))
+
+
+def replica_alerts(replicas: DataFrame) -> DataFrame:
+    """Replicas whose IO or SQL thread does not run; stateless."""
+    return _flagged(replicas,
+                    _flag(F.col("slave_io_running") != "Yes", "io_state", F.col("slave_io_running")),
+                    _flag(F.col("slave_sql_running") != "Yes", "sql_state", F.col("slave_sql_running")))
+
+
+def alert_flags(samples: DataFrame, replicas: DataFrame, hosts: DataFrame, now: Column, down_seconds: int) -> DataFrame:
     """Rows (host, ts, rule, value) for every broken threshold, and one per silent host."""
-    def flag(condition: Column, rule: str, value: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value")))
-
-    load = samples.select("host_id", "ts", F.explode(F.array_compact(F.array(
-        flag(F.col("threads_connected") > max_threads, "threads", F.col("threads_connected")),
-        flag(F.col("threads_running") > max_running, "threads_running", F.col("threads_running"))))).alias("a"))
-    state = replicas.select("host_id", "ts", F.explode(F.array_compact(F.array(
-        flag(F.col("slave_io_running") != "Yes", "io_state", F.col("slave_io_running")),
-        flag(F.col("slave_sql_running") != "Yes", "sql_state", F.col("slave_sql_running"))))).alias("a"))
     seen = samples.groupBy("host_id").agg(F.max("ts").alias("ts"))
     limit = now - F.make_dt_interval(secs=F.lit(down_seconds))
     down = (hosts.where("is_deleted = 0").select("host_id").join(seen, "host_id", "left")
             .where(F.col("ts").isNull() | (F.col("ts") < limit))
-            .select("host_id", "ts", F.struct(F.lit("host_down").alias("rule"), F.lit("No").alias("value")).alias("a")))
-    return (load.unionByName(state).unionByName(down)
-            .select("host_id", "ts", "a.rule", "a.value"))
+            .select("host_id", "ts", F.lit("host_down").alias("rule"), F.lit("No").alias("value")))
+    return load_alerts(samples).unionByName(replica_alerts(replicas)).unionByName(down)
