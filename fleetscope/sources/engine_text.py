@@ -15,43 +15,44 @@ from fleetscope.operators.counters import HOST, POLL, counter_deltas
 from fleetscope.operators.ordered import previous
 
 
-def sections(status: Column) -> Column:
-    """Array of (section, lines) in text order.
+MARK = "\u0001"
 
-    A section runs to the next header. Blank lines and lines before the first header
-    are dropped; a header that comes again restarts its section.
-    """
-    lines = F.split(status, "\n")
-    numbered = F.transform(lines, lambda line, pos: F.struct(pos.alias("pos"), line.alias("name")))
-    heads = F.filter(numbered, lambda h: h["name"].isin(STATUS_SECTIONS))
 
-    def newest(h: Column) -> Column:
-        return ~F.exists(heads, lambda g: (g["name"] == h["name"]) & (g["pos"] > h["pos"]))
+def _marked(status: Column) -> Column:
+    """The text with :data:`MARK` in place of the newline before every section header."""
+    headers = "|".join(STATUS_SECTIONS)
+    return F.regexp_replace(F.concat(F.lit("\n"), status, F.lit("\n")), rf"\n({headers})(?=\n)", f"{MARK}$1")
+
 
-    def with_lines(h: Column) -> Column:
-        following = F.filter(heads, lambda g: g["pos"] > h["pos"])
-        end = F.coalesce(F.array_min(F.transform(following, lambda g: g["pos"])), F.size(lines))
-        body = F.slice(lines, h["pos"] + 2, end - h["pos"] - 1)
-        return F.struct(h["name"].alias("section"), F.filter(body, lambda x: x != "").alias("lines"))
+def _body(name: str) -> Column:
+    """Non-blank lines of a section up to the next header; null if it is absent.
 
-    return F.transform(F.filter(heads, newest), with_lines)
+    A header that comes again restarts its section, so the text after the last one counts.
+    """
+    head = f"{MARK}{name}\n"
+    text = F.substring_index(F.substring_index("__marked", head, -1), MARK, 1)
+    lines = F.regexp_replace(F.trim(text, F.lit("\n")), r"\n{2,}", "\n")
+    return F.when(F.contains("__marked", F.lit(head)), lines)
 
 
 def status_sections(df: DataFrame) -> DataFrame:
-    """One row per line of a section: (host_id, poll_id, section, line_no, line)."""
-    return (df.select("host_id", "poll_id", F.explode(sections(F.col("status"))).alias("s"))
-            .select("host_id", "poll_id", "s.section", F.posexplode("s.lines").alias("line_no", "line")))
+    """One row per line of a section: (host_id, poll_id, section, line_no, line).
+
+    Blank lines and lines before the first header are dropped.
+    """
+    found = F.array_compact(F.array(*[
+        F.when(_body(name) != "", F.struct(F.lit(name).alias("section"), _body(name).alias("body")))
+        for name in STATUS_SECTIONS]))
+    return (df.select("host_id", "poll_id", _marked(F.col("status")).alias("__marked"))
+            .select("host_id", "poll_id", F.explode(found).alias("s"))
+            .select("host_id", "poll_id", "s.section", F.posexplode(F.split("s.body", "\n")).alias("line_no", "line")))
 
 
 def _section_text(df: DataFrame, *names: str) -> DataFrame:
     """Add the text of each named section as column ``t0``, ``t1``, ... ('' if absent)."""
-    def text_of(name: str) -> Column:
-        found = F.filter("__s", lambda s: s["section"] == name)
-        return F.coalesce(F.array_join(F.get(found, 0)["lines"], "\n"), F.lit(""))
-
-    parsed = df.withColumn("__s", sections(F.col("status")))
-    return (parsed.withColumns({f"t{n}": text_of(name) for n, name in enumerate(names)})
-            .drop("__s", "status"))
+    rest = [c for c in df.columns if c != "status"]
+    texts = [F.coalesce(_body(name), F.lit("")).alias(f"t{n}") for n, name in enumerate(names)]
+    return df.select(*rest, _marked(F.col("status")).alias("__marked")).select(*rest, *texts)
 
 
 def _number(text: str, pattern: str, group: int = 1) -> Column:
