@@ -39,19 +39,31 @@ def _sort_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   ) -> tuple[DataFrame, bool]:
-    """Add a slice column if some key is too large for one task.
+def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Largest number of rows of a key and number of rows: one row reaches the driver."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
+
 
-    The check is one count per key (partial aggregation, key columns only); a single
-    row reaches the driver.
+def has_hot_key(df: DataFrame, keys: Sequence[str], bound: DataFrame | None = None) -> bool:
+    """Whether some key is too large for one task.
+
+    The check is one count per key (partial aggregation, key columns only). ``bound`` may
+    name a table that is cheaper to read and has at least as many rows per key: if that
+    one is small, ``df`` need not be computed for the check.
     """
     limit = max_group_rows(df)
-    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    largest, total = sizes[0] or 0, sizes[1] or 0
-    if largest <= limit:
+    if bound is not None and _sizes(bound, keys)[0] <= limit:
+        return False
+    return _sizes(df, keys)[0] > limit
+
+
+def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                   bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Add a slice column if some key is too large for one task."""
+    if not has_hot_key(df, keys, bound):
         return df, False
-    slices = min(math.ceil(total / limit) + 1, MAX_SLICES)
+    slices = min(math.ceil(_sizes(df, keys)[1] / max_group_rows(df)) + 1, MAX_SLICES)
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort_columns(order))
     return pin(ranged.withColumn(SLICE, F.spark_partition_id())), True
 
@@ -67,9 +79,9 @@ def _with_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             columns: Mapping[str, str]) -> DataFrame:
+             columns: Mapping[str, str], bound: DataFrame | None = None) -> DataFrame:
     """``lag`` by one row: ``columns`` maps new names to source columns."""
-    sliced, hot = slice_hot_keys(df, keys, order)
+    sliced, hot = slice_hot_keys(df, keys, order, bound)
     pack = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
     part = [*keys, SLICE] if hot else list(keys)
     window = Window.partitionBy(*part).orderBy(*order)
@@ -137,10 +149,10 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             .drop("__before", SLICE))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], orders: Mapping[str, Sequence[Column]]) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], orders: Mapping[str, Sequence[Column]],
+           bound: DataFrame | None = None) -> DataFrame:
     """Several row numbers within the same keys, with one size check for all of them."""
-    sizes = df.groupBy(*keys).count().agg(F.max("count")).first()
-    if (sizes[0] or 0) <= max_group_rows(df):
+    if not has_hot_key(df, keys, bound):
         return df.select("*", *[
             F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint").alias(name)
             for name, order in orders.items()])
@@ -193,15 +205,16 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
     """Exact nearest-rank percentile of several bigint/decimal measures per key.
 
     Values are counted per (key, measure, value) first, so the ordered part runs over
-    distinct values, and the running count is sliced if a key has too many of them.
+    distinct values, and the running count is sliced if a key has too many of them. The
+    counts are read several times and much smaller than the rows, so they are kept.
     """
     entries = F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("decimal(28,6)").alias("v"))
         for m in measures]))
-    counts = (df.select(*keys, entries.alias("e"))
-              .where("e.v IS NOT NULL")
-              .groupBy(*keys, F.col("e.measure").alias("measure"), F.col("e.v").alias("v"))
-              .agg(F.count("*").alias("n")))
+    counts = pin(df.select(*keys, entries.alias("e"))
+                 .where("e.v IS NOT NULL")
+                 .groupBy(*keys, F.col("e.measure").alias("measure"), F.col("e.v").alias("v"))
+                 .agg(F.count("*").alias("n")))
     totals = counts.groupBy(*keys, "measure").agg(F.sum("n").alias("total"))
     part = [*keys, "measure"]
     reached = (running(counts, part, ["v"], {"cum": ("sum", "n")})

@@ -32,8 +32,9 @@ def _pct(part: str, whole: str) -> str:
     return (f"(CASE WHEN {whole} = 0 THEN NULL ELSE floor(CAST({part} AS DOUBLE) * 10000 / CAST({whole} AS DOUBLE) + 0.5) / 100 END)")
 
 
-def _status(i):
-    return status_pivot(i.status_kv, PIVOT_USED)
+def _status(i, *prefixes: str):
+    """Only the names a query reads are pivoted."""
+    return status_pivot(i.status_kv, [n for n in PIVOT_USED if n.startswith(prefixes)])
 
 
 def _lag(column: str) -> str:
@@ -108,22 +109,22 @@ ENTRIES = {
             + " FROM (SELECT *, row_number() OVER (PARTITION BY host_id, variable_name ORDER BY ts DESC, poll_id DESC) AS rn"
               " FROM variables_kv) x WHERE rn = 1 GROUP BY host_id")),
     "page_usage": Entry(
-        lambda i: C.page_usage(_status(i)),
+        lambda i: C.page_usage(_status(i, "Innodb_buffer_pool_pages_")),
         with_views(
             f"SELECT host_id, poll_id, {_pct('Innodb_buffer_pool_pages_dirty', 'Innodb_buffer_pool_pages_total')} AS dirty_page_usage,"
             f" {_pct('(Innodb_buffer_pool_pages_total - Innodb_buffer_pool_pages_free)', 'Innodb_buffer_pool_pages_total')} AS page_usage,"
             f" {_pct('Innodb_buffer_pool_pages_data', 'Innodb_buffer_pool_pages_total')} AS data_page_usage FROM st", {"st": PIVOT_SQL})),
     "spin_ratios": Entry(
-        lambda i: C.spin_ratios(_status(i)),
+        lambda i: C.spin_ratios(_status(i, "Innodb_mutex_", "Innodb_s_lock_", "Innodb_x_lock_")),
         with_views(f"SELECT host_id, poll_id, {_spin('mutex', 'Innodb_mutex')}, {_spin('s', 'Innodb_s_lock')},"
                    f" {_spin('x', 'Innodb_x_lock')} FROM st", {"st": PIVOT_SQL})),
     "write_amplification": Entry(
-        lambda i: C.write_amplification(_status(i)),
+        lambda i: C.write_amplification(_status(i, "Innodb_dblwr_", "Innodb_page_size", "Uptime")),
         with_views("SELECT host_id, poll_id, CASE WHEN Innodb_dblwr_writes = 0 THEN 0 ELSE"
                    " floor(CAST(Innodb_dblwr_pages_written AS DOUBLE) * 100 / CAST(Innodb_dblwr_writes AS DOUBLE) + 0.5) / 100 END AS pages_per_dblwr,"
                    " Innodb_page_size // 1024 AS page_size_kb, greatest(Uptime // 86400, 1) AS uptime_days FROM st", {"st": PIVOT_SQL})),
     "semi_sync": Entry(
-        lambda i: C.semi_sync(_status(i)),
+        lambda i: C.semi_sync(_status(i, "Rpl_semi_sync_", "Uptime")),
         with_views(f"SELECT host_id, poll_id, CASE WHEN {SEMI}clients IS NULL THEN 0 ELSE 1 END AS rpl_semi_sync, "
                    + ", ".join(f"coalesce({SEMI}{n}, 0) AS {n}" for n in ("clients", "net_waits", "tx_waits", "no_tx", "yes_tx")) + ", "
                    + ", ".join(f"{_lag(SEMI + n)} AS {n}" for n in ("net_wait_time", "tx_wait_time")) + " FROM st", {"st": PIVOT_SQL})),

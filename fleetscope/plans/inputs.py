@@ -413,7 +413,9 @@ class Inputs:
 
     @cached_property
     def innodb_status_text(self) -> DataFrame:
-        return self.counter_samples.selectExpr("host_id", "poll_id", "ts", STATUS_TEXT)
+        # Texts arrive spread over the cluster, not gathered by host like the counters.
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.counter_samples.repartition(spread, "poll_id").selectExpr("host_id", "poll_id", "ts", STATUS_TEXT)
 
     @cached_property
     def backup_log_lines(self) -> DataFrame:

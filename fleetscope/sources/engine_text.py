@@ -19,9 +19,15 @@ MARK = "\u0001"
 
 
 def _marked(status: Column) -> Column:
-    """The text with :data:`MARK` in place of the newline before every section header."""
-    headers = "|".join(STATUS_SECTIONS)
-    return F.regexp_replace(F.concat(F.lit("\n"), status, F.lit("\n")), rf"\n({headers})(?=\n)", f"{MARK}$1")
+    """The text with :data:`MARK` in place of the newline before every section header.
+
+    Newlines are doubled first, so two headers in a row do not share one. Plain string
+    replacement is several times faster here than one pattern over all headers.
+    """
+    out = F.concat(F.lit("\n"), F.replace(status, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+    for name in STATUS_SECTIONS:
+        out = F.replace(out, F.lit(f"\n{name}\n"), F.lit(f"{MARK}{name}\n"))
+    return out
 
 
 def _body(name: str) -> Column:
@@ -133,11 +139,12 @@ def engine_text_deltas(df: DataFrame) -> DataFrame:
 
 def deadlock_events(df: DataFrame) -> DataFrame:
     """Polls that show a deadlock (more than five lines) not already shown before."""
-    shown = (_section_text(df, "LATEST DETECTED DEADLOCK")
-             .select("host_id", "poll_id", "ts", F.size(F.split("t0", "\n")).alias("line_count"),
-                     F.md5("t0").alias("digest"))
-             .where("line_count > 5"))
-    return (previous(shown, HOST, POLL, {"__before": "digest"})
+    count = F.size(F.split("t0", "\n"))
+    # Kept as a generator: a filter would be moved below the parse and repeat it.
+    shown = F.explode(F.when(count > 5, F.array(F.struct(count.alias("line_count"), F.md5("t0").alias("digest")))))
+    polls = (_section_text(df, "LATEST DETECTED DEADLOCK").select("host_id", "poll_id", "ts", shown.alias("d"))
+             .select("host_id", "poll_id", "ts", "d.line_count", "d.digest"))
+    return (previous(polls, HOST, POLL, {"__before": "digest"}, bound=df)
             .where("__before IS NULL OR __before <> digest").drop("__before"))
 
 

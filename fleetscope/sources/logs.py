@@ -48,7 +48,8 @@ def slow_log_ingest(records: DataFrame) -> DataFrame:
         return F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
 
     statement = F.regexp_replace("text", r"(?m)^(?:#.*|use [^;]*;|SET timestamp=\d+;)(?:\n|$)", "")
-    return (records.select(
+    own = records.where(~F.col("text").rlike(rf"(?i)^{SLOW_HEADER}\s*serverdev"))
+    return (own.select(
         "log_file", found(r"^# User@Host: ([^\[\s]+)\[").alias("user_name"), found(r"(?m)^use ([^;]+);").alias("db"),
         found(r"SET timestamp=(\d+);").try_cast("bigint").alias("epoch"),
         found(r"Query_time: ([0-9.]+)").try_cast("double").alias("query_time"),
@@ -56,7 +57,7 @@ def slow_log_ingest(records: DataFrame) -> DataFrame:
         found(r"Rows_sent: (\d+)").try_cast("bigint").alias("rows_sent"),
         found(r"Rows_examined: (\d+)").try_cast("bigint").alias("rows_examined"),
         F.regexp_replace(statement, r";?\s*$", "").alias("sql_text"))
-        .where(~F.coalesce(F.col("user_name").rlike("(?i)^serverdev"), F.lit(False)) & (F.col("sql_text") != "")))
+        .where("sql_text <> ''"))
 
 
 def change_text_decode(lines: DataFrame) -> DataFrame:
