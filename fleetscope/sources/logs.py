@@ -24,13 +24,14 @@ def _records(lines: DataFrame, keys: list[str], order: list[str], starts: Column
                  F.min(F.struct(*order)).alias("at")))
 
 
-def read_slow_log(spark: SparkSession, path: str) -> DataFrame:
-    """Slow-log files as one row per record.
+def read_slow_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Slow-log files as one row per record, in batch or as a stream of arriving files.
 
     The record header is the line separator, so Spark splits large files between tasks
     and no ordered pass is needed.
     """
-    return (spark.read.option("lineSep", "\n" + SLOW_HEADER).text(path)
+    reader = spark.readStream if stream else spark.read
+    return (reader.option("lineSep", "\n" + SLOW_HEADER).text(path)
             .select(F.input_file_name().alias("log_file"),
                     F.when(F.col("value").startswith(SLOW_HEADER), F.col("value"))
                     .otherwise(F.concat(F.lit(SLOW_HEADER), "value")).alias("text"))

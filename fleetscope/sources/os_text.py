@@ -63,7 +63,7 @@ def os_io(df: DataFrame) -> DataFrame:
 
     def total(name: str) -> Column:
         at = F.array_position("names", name).cast("int")
-        value = F.when(at > 0, F.expr("f").getItem(at - 1)).try_cast(AMOUNT)
+        value = F.when(at > 0, F.get("f", at - 1)).try_cast(AMOUNT)
         return F.coalesce(F.sum(value), F.lit(0)).cast(AMOUNT)
 
     whole = {"r/s": "io_qps", "w/s": "io_tps", "rkB/s": "io_read", "wkB/s": "io_write"}

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def status_pivot(kv: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One wide bigint row per (host, poll); unlisted names dropped, absent names null."""
+    """One wide bigint row per (host, poll); unlisted names dropped, absent names null.
+
+    A pivot aggregates by (poll, name) and then by poll. Bringing a poll together first
+    serves both, so wide half-filled rows are never shuffled.
+    """
+    poll = ["host_id", "poll_id", "ts"]
     return (kv.where(F.col("variable_name").isin(list(names)))
-            .groupBy("host_id", "poll_id", "ts")
+            .repartition(*poll)
+            .groupBy(*poll)
             .pivot("variable_name", list(names))
             .agg(F.max(F.expr("try_cast(value AS BIGINT)"))))
 
