@@ -1,24 +1,29 @@
 """Ordered operators that stay parallel when one key holds most of the rows.
 
-A plain window sorts all rows of a key in one task. That is the right plan while
-every key fits a task, so it is used then. When some key has more than
-``fleetscope.maxGroupRows`` rows, the input is range-partitioned on (keys, order)
-into slices of about that many rows and checkpointed, so that the slice of a row
-never changes if a task is retried. Windows then run per (key, slice); what a
-slice needs from the slices before it (last row, running total, row count) comes
-from a table with one row per (key, slice).
-
-``order`` must identify a row within its key, otherwise ties are arbitrary, as in
-any window.
+A plain window sorts all rows of a key in one task. That is the right plan while every
+key fits a task, so it is used then. When some key has more than
+``fleetscope.maxGroupRows`` rows, its rows are cut into slices along the order:
+
+* by day, if the order starts with a time and no (key, day) is too large. The slice is a
+  function of the row, so nothing has to be stored;
+* else by a range partitioning on (keys, order), checkpointed so that the slice of a row
+  never changes if a task is retried.
+
+What a slice needs from the slices before it (last row, running total, row count) is one
+carry row per (key, slice). Carry rows are put in front of their slice and the window runs
+per (key, slice), so the rows themselves are shuffled once and joined with nothing.
+
+``order`` must identify a row within its key, otherwise ties are arbitrary, as in any window.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetscope.session import pin
 
@@ -58,24 +63,55 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], bound: DataFrame | None = No
     return _sizes(df, keys)[0] > limit
 
 
+def _day(df: DataFrame, order: Sequence[str | Column]) -> Column | None:
+    """Day of the leading order column, if that is a time."""
+    first = order[0]
+    if isinstance(first, str) and isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(first)
+    return None
+
+
 def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Add a slice column if some key is too large for one task."""
+    """Add a slice column, increasing along the order, if some key is too large for one task."""
     if not has_hot_key(df, keys, bound):
         return df, False
-    slices = min(math.ceil(_sizes(df, keys)[1] / max_group_rows(df)) + 1, MAX_SLICES)
+    limit = max_group_rows(df)
+    day = _day(df, order)
+    if day is not None:
+        by_day = df.withColumn(SLICE, day)
+        if _sizes(by_day, [*keys, SLICE])[0] <= limit:
+            return by_day, True
+    slices = min(math.ceil(_sizes(df, keys)[1] / limit) + 1, MAX_SLICES)
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort_columns(order))
     return pin(ranged.withColumn(SLICE, F.spark_partition_id())), True
 
 
-def _with_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join the per-slice carry; keys may be null."""
-    renamed = carry.select(*[F.col(k).alias(f"__k_{k}") for k in [*keys, SLICE]],
-                           *[c for c in carry.columns if c not in {*keys, SLICE}])
-    condition = F.lit(True)
-    for k in [*keys, SLICE]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return df.join(renamed, condition, "left").drop(*[f"__k_{k}" for k in [*keys, SLICE]])
+def _with_carry(sliced: DataFrame, keys: Sequence[str], values: Mapping[str, Column],
+                per_slice: Mapping[str, Column], onward: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows with ``values`` added, and a carry row (``__own`` = 0) in front of every slice.
+
+    ``per_slice`` sums up the values of one slice, ``onward`` combines all slices before one.
+    """
+    own = sliced.select("*", *[v.alias(name) for name, v in values.items()], F.lit(1).alias("__own"))
+    before = (Window.partitionBy(*keys).orderBy(SLICE)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carry = (own.groupBy(*keys, SLICE).agg(*[agg.alias(name) for name, agg in per_slice.items()])
+             .select(*keys, SLICE, *[onward[name](F.col(name)).over(before).alias(name) for name in values],
+                     F.lit(0).alias("__own")))
+    return own.unionByName(carry, allowMissingColumns=True)
+
+
+def _slice_window(keys: Sequence[str], order: Sequence[str | Column]):
+    return Window.partitionBy(*keys, SLICE).orderBy("__own", *_sort_columns(order))
+
+
+def _last(column: Column) -> Column:
+    return F.last(column, ignorenulls=True)
+
+
+def _up_to_here(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -83,70 +119,48 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """``lag`` by one row: ``columns`` maps new names to source columns."""
     sliced, hot = slice_hot_keys(df, keys, order, bound)
     pack = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
-    part = [*keys, SLICE] if hot else list(keys)
-    window = Window.partitionBy(*part).orderBy(*order)
-    out = sliced.withColumn("__prev", F.lag(pack).over(window))
     if hot:
-        last = sliced.groupBy(*part).agg(
-            F.max_by(pack, F.struct(*order)).alias("__last"))
-        carry = last.withColumn(
-            "__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(SLICE)),
-        ).drop("__last")
-        out = _with_carry(out, carry, keys).withColumn(
-            "__prev", F.coalesce("__prev", "__carry")).drop("__carry", SLICE)
-    for name in columns:
-        out = out.withColumn(name, F.col("__prev").getField(name))
-    return out.drop("__prev")
-
-
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+        newest = F.max_by(F.col("__row"), F.struct(*order))
+        rows = _with_carry(sliced, keys, {"__row": pack}, {"__row": newest}, {"__row": _last})
+        out = (rows.withColumn("__prev", F.lag("__row").over(_slice_window(keys, order)))
+               .where("__own = 1").drop("__own", "__row", SLICE))
+    else:
+        out = sliced.withColumn("__prev", F.lag(pack).over(Window.partitionBy(*keys).orderBy(*order)))
+    return (out.withColumns({name: F.col("__prev").getField(name) for name in columns})
+            .drop("__prev"))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             aggregates: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Running ``sum``, ``min``, ``max`` or ``count``: name -> (function, column)."""
     sliced, hot = slice_hot_keys(df, keys, order)
-    part = [*keys, SLICE] if hot else list(keys)
-    window = (Window.partitionBy(*part).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = sliced.select("*", *[RUNNING[fn](src).over(window).alias(name)
-                               for name, (fn, src) in aggregates.items()])
     if not hot:
-        return out
-    per_slice = sliced.groupBy(*part).agg(
-        *[RUNNING[fn](src).alias(name) for name, (fn, src) in aggregates.items()])
-    before = (Window.partitionBy(*keys).orderBy(SLICE)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    merge = {"count": F.sum}
-    carry = per_slice.select(*part, *[
-        merge.get(fn, RUNNING[fn])(name).over(before).alias(f"__b_{name}")
+        window = _up_to_here(Window.partitionBy(*keys).orderBy(*_sort_columns(order)))
+        return sliced.select("*", *[RUNNING[fn](src).over(window).alias(name)
+                                    for name, (fn, src) in aggregates.items()])
+    # A count is the sum of a one per value, so that counts of earlier slices add to it.
+    values = {f"__{name}": F.col(src) if fn != "count" else F.when(F.col(src).isNotNull(), F.lit(1).cast("bigint"))
+              for name, (fn, src) in aggregates.items()}
+    merge = {f"__{name}": RUNNING["sum" if fn == "count" else fn] for name, (fn, _) in aggregates.items()}
+    rows = _with_carry(sliced, keys, values, {v: fn(v) for v, fn in merge.items()}, merge)
+    window = _up_to_here(_slice_window(keys, order))
+    out = rows.select("*", *[
+        (F.coalesce(merge[f"__{name}"](f"__{name}").over(window), F.lit(0)) if fn == "count"
+         else merge[f"__{name}"](f"__{name}").over(window)).alias(name)
         for name, (fn, _) in aggregates.items()])
-    out = _with_carry(out, carry, keys)
-    for name, (fn, _) in aggregates.items():
-        own, prior = F.col(name), F.col(f"__b_{name}")
-        if fn == "min":
-            merged = F.least(own, prior)
-        elif fn == "max":
-            merged = F.greatest(own, prior)
-        else:
-            merged = F.coalesce(own + prior, own, prior)
-        out = out.withColumn(name, merged).drop(f"__b_{name}")
-    return out.drop(SLICE)
+    return out.where("__own = 1").drop("__own", SLICE, *values)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              name: str) -> DataFrame:
     """``row_number`` within ``keys``; ``order`` may hold descending columns."""
     sliced, hot = slice_hot_keys(df, keys, order)
-    part = [*keys, SLICE] if hot else list(keys)
-    window = Window.partitionBy(*part).orderBy(*_sort_columns(order))
-    out = sliced.withColumn(name, F.row_number().over(window).cast("bigint"))
     if not hot:
-        return out
-    before = (Window.partitionBy(*keys).orderBy(SLICE)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (sliced.groupBy(*part).count()
-             .select(*part, F.sum("count").over(before).alias("__before")))
-    return (_with_carry(out, carry, keys)
-            .withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0)))
-            .drop("__before", SLICE))
+        window = Window.partitionBy(*keys).orderBy(*_sort_columns(order))
+        return sliced.withColumn(name, F.row_number().over(window).cast("bigint"))
+    rows = _with_carry(sliced, keys, {"__n": F.lit(1).cast("bigint")}, {"__n": F.sum("__n")}, {"__n": F.sum})
+    return (rows.withColumn(name, F.sum("__n").over(_up_to_here(_slice_window(keys, order))))
+            .where("__own = 1").drop("__own", "__n", SLICE))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], orders: Mapping[str, Sequence[Column]],
@@ -166,26 +180,16 @@ def filled(df: DataFrame, keys: Sequence[str], order: Sequence[str],
            columns: Mapping[str, str]) -> DataFrame:
     """Last non-null value up to and including the row: new name -> source column."""
     sliced, hot = slice_hot_keys(df, keys, order)
-    part = [*keys, SLICE] if hot else list(keys)
-    window = (Window.partitionBy(*part).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = sliced.select("*", *[F.last(src, ignorenulls=True).over(window).alias(name)
-                               for name, src in columns.items()])
     if not hot:
-        return out
+        window = _up_to_here(Window.partitionBy(*keys).orderBy(*order))
+        return sliced.select("*", *[_last(F.col(src)).over(window).alias(name) for name, src in columns.items()])
     at = F.struct(*order)
-    last = sliced.groupBy(*part).agg(*[
-        F.max_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"__l_{name}")
-        for name, src in columns.items()])
-    before = (Window.partitionBy(*keys).orderBy(SLICE)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = last.select(*part, *[
-        F.last(f"__l_{name}", ignorenulls=True).over(before).alias(f"__c_{name}")
-        for name in columns])
-    out = _with_carry(out, carry, keys)
-    for name in columns:
-        out = out.withColumn(name, F.coalesce(name, f"__c_{name}")).drop(f"__c_{name}")
-    return out.drop(SLICE)
+    values = {f"__{name}": F.col(src) for name, src in columns.items()}
+    newest = {v: F.max_by(v, F.when(F.col(v).isNotNull(), at)) for v in values}
+    rows = _with_carry(sliced, keys, values, newest, {v: _last for v in values})
+    window = _up_to_here(_slice_window(keys, order))
+    out = rows.select("*", *[_last(F.col(f"__{name}")).over(window).alias(name) for name in columns])
+    return out.where("__own = 1").drop("__own", SLICE, *values)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. AQE re-plans at run time: it coalesces small
 # shuffle partitions, splits skewed join partitions and turns a join into a
-# broadcast join only once the measured size is under the threshold.
+# broadcast join once the measured size is under the adaptive threshold. Before
+# that only tables whose files are under Spark's own 10 MB limit are broadcast.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

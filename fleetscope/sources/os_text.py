@@ -59,7 +59,8 @@ def os_io(df: DataFrame) -> DataFrame:
     lines = _lines(df, "iostat")
     header = (lines.where("line LIKE 'Device%'").groupBy(*KEY)
               .agg(F.max_by("f", "line_no").alias("names"), F.max("line_no").alias("header_line")))
-    devices = lines.join(header, KEY).where("line_no > header_line")
+    # The size of parsed lines cannot be estimated before they are read: never broadcast.
+    devices = lines.join(header.hint("merge"), KEY).where("line_no > header_line")
 
     def total(name: str) -> Column:
         at = F.array_position("names", name).cast("int")
@@ -82,5 +83,5 @@ def os_cpu_process(df: DataFrame) -> DataFrame:
     pid = _lines(df, "pid").select(*KEY, _field(0, "BIGINT").alias("pid"))
     top = _lines(df, "top").select(*KEY, _field(0, "BIGINT").alias("pid"), _field(8, "DOUBLE").alias("mysql_cpu"),
                                    _field(9, "DOUBLE").alias("mysql_memory"))
-    process = top.join(pid, [*KEY, "pid"]).drop("pid")
-    return cpu.join(process, KEY, "left")
+    process = top.join(pid.hint("merge"), [*KEY, "pid"]).drop("pid")
+    return cpu.join(process.hint("merge"), KEY, "left")

@@ -65,6 +65,46 @@ def _check_all(spark, rows):
     assert _result(ordered.numbered(df, ["k"], [F.col("ts").desc(), F.col("id").desc()], "rn"), "rn") == ranks
 
 
+def _as_times(spark, rows):
+    """The same rows with the order column as a time: forty hours, so two days."""
+    return (spark.createDataFrame(rows, SCHEMA)
+            .withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, ts)")))
+
+
+def test_days_are_slices_of_their_own(spark):
+    rows = _skewed(300)
+    spark.conf.set("fleetscope.maxGroupRows", "150")
+    try:
+        df = _as_times(spark, rows)
+        sliced, hot = ordered.slice_hot_keys(df, ["k"], ["ts", "id"])
+        assert hot and sliced.schema[ordered.SLICE].dataType.typeName() == "date"
+        sums = ordered.running(df, ["k"], ["ts", "id"], {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "n": ("count", "v")})
+        assert _result(sums, "s", "lo", "hi", "n") == expected_running(rows)
+        assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(rows)
+        assert _result(ordered.filled(df, ["k"], ["ts", "id"], {"f": "v"}), "f") == expected_filled(rows)
+    finally:
+        spark.conf.unset("fleetscope.maxGroupRows")
+
+
+def test_a_day_with_too_many_rows_is_cut_by_range(spark, tiny_groups):
+    rows = [(k, ts % 5, i, v) for k, ts, i, v in _skewed(80)]
+    df = _as_times(spark, rows)
+    sliced, hot = ordered.slice_hot_keys(df, ["k"], ["ts", "id"])
+    assert hot and sliced.schema[ordered.SLICE].dataType.typeName() == "integer"
+    assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(rows)
+
+
+def test_sliced_plan_shuffles_the_rows_once(spark):
+    """One exchange for the rows, one for the carry rows; no join."""
+    spark.conf.set("fleetscope.maxGroupRows", "150")
+    try:
+        out = ordered.previous(_as_times(spark, _skewed(300)), ["k"], ["ts", "id"], {"p": "v"})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    finally:
+        spark.conf.unset("fleetscope.maxGroupRows")
+
+
 def test_plain(spark):
     assert ordered.slice_hot_keys(spark.createDataFrame(_skewed(), SCHEMA), ["k"], ["ts", "id"])[1] is False
     _check_all(spark, _skewed())
