@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRING = r"'(?:[^'\\]|\\.|'')*'"
-DOUBLE_QUOTED = r'"(?:[^"\\]|\\.)*"'
+# Repeated groups are possessive (``*+``): they never give characters back, so a literal or
+# list of any length is matched in a loop and cannot overflow the matcher's stack.
+STRING = r"'(?:[^'\\]++|\\[\s\S]|'')*+'"
+DOUBLE_QUOTED = r'"(?:[^"\\]++|\\[\s\S])*+"'
 NUMBER = r"\b[0-9]+(?:\.[0-9]+)?\b"
-VALUE_LIST = r"\( ?\?(?: ?, ?\?)* ?\)"
-TABLE_LIST = r"\b(?:FROM|JOIN|UPDATE|INTO)\s+((?:[\w`.$]+(?:\s+(?:AS\s+)?\w+)?\s*,\s*)*[\w`.$]+)"
+# One pattern, so that whichever literal starts first wins and quotes inside the other kind are text.
+QUOTED = f"{STRING}|{DOUBLE_QUOTED}"
+LITERAL = f"{QUOTED}|{NUMBER}"
+VALUE_LIST = r"\( ?\?(?: ?, ?\?)*+ ?\)"
+FINGERPRINT_RULES = ((LITERAL, "?"), (r"\s+", " "), (VALUE_LIST, "(?+)"))
+TABLE_LIST = r"\b(?:FROM|JOIN|UPDATE|INTO)\s+((?:[\w`.$]++(?:\s+(?:AS\s+)?\w+)?\s*,\s*)*+[\w`.$]+)"
 
 
 def _col(c: str | Column) -> Column:
@@ -19,7 +25,7 @@ def _col(c: str | Column) -> Column:
 def sql_fingerprint(text: str | Column) -> Column:
     """Lower case, literals as ``?``, value lists as ``(?+)``, single spaces."""
     out = F.lower(_col(text))
-    for pattern, new in ((STRING, "?"), (DOUBLE_QUOTED, "?"), (NUMBER, "?"), (r"\s+", " "), (VALUE_LIST, "(?+)")):
+    for pattern, new in FINGERPRINT_RULES:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 
@@ -35,7 +41,7 @@ def sql_tables(text: str | Column, default_db: str | Column) -> Column:
     Comma lists are split, quotes are stripped, subqueries contribute their own tables,
     DUAL is dropped, and a bare name belongs to ``default_db``.
     """
-    masked = F.regexp_replace(F.upper(_col(text)), STRING, "?")
+    masked = F.regexp_replace(F.upper(_col(text)), QUOTED, "?")
     masked = F.regexp_replace(masked, r"ON\s+DUPLICATE\s+KEY\s+UPDATE", "")
     lists = F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1))
     names = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))

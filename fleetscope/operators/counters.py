@@ -153,11 +153,11 @@ def running_stats(metrics: DataFrame, names: Sequence[str] = STATISTICS_METRICS)
 
 
 def chart_select(df: DataFrame, charts: Mapping[str, Sequence[tuple[str, str]]] = CHARTS) -> DataFrame:
-    """Long chart points (chart, line, ts, value) of the charts whose metrics ``df`` has."""
+    """Long chart points (chart, line, value) of the charts whose metrics ``df`` has."""
+    keys = [c for c in ("host_id", "poll_id", "ts") if c in df.columns]
     points = [F.struct(F.lit(chart).alias("chart"), F.lit(line).alias("line"), F.col(metric).cast("double").alias("value"))
               for chart, lines in charts.items() for line, metric in lines if metric in df.columns]
-    return (df.select("host_id", "poll_id", "ts", F.explode(F.array(*points)).alias("p"))
-            .select("host_id", "poll_id", "ts", "p.chart", "p.line", "p.value"))
+    return df.select(*keys, F.explode(F.array(*points)).alias("p")).select(*keys, "p.chart", "p.line", "p.value")
 
 
 def metrics_long(df: DataFrame, family: str, metrics: Sequence[str]) -> DataFrame:

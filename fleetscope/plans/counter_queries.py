@@ -8,7 +8,9 @@ from fleetscope.constants import CHARTS, STATUS_NAMES, VARIABLE_NAMES
 from fleetscope.operators import counters as C
 from fleetscope.plans.inputs import STATUS_VALUES, VARIABLE_VALUES
 from fleetscope.plans.registry import Entry
+from fleetscope.plans.text_queries import ENTRIES as TEXT_ENTRIES
 from fleetscope.plans.views import with_views
+from fleetscope.sources import os_text
 from fleetscope.sources.status import status_pivot, variables_latest
 
 DELTAS = ["questions", "com_select", "com_insert", "com_update", "com_delete", "com_commit", "com_rollback",
@@ -63,10 +65,28 @@ def _running_sql() -> str:
     return with_views(f"SELECT host_id, poll_id, {', '.join(cols)} FROM m", {"m": METRICS_SQL})
 
 
+# Chart metrics by the frame that has them; the status metrics come first.
+CHART_FRAMES = {
+    "os_loadavg": ["cpu_1", "cpu_5", "cpu_15"], "os_io": ["io_qps", "io_tps", "io_read", "io_write", "io_util"],
+    "os_cpu_process": ["cpu_user", "cpu_system", "cpu_idle", "mysql_cpu", "mysql_memory"],
+}
+
+
+def _charts(i):
+    frames = [C.interval_metrics(i.counter_samples), os_text.os_loadavg(i.os_text), os_text.os_io(i.os_text),
+              os_text.os_cpu_process(i.os_text), i.slave_status]
+    parts = [C.chart_select(f).drop("ts") for f in frames]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _chart_sql() -> str:
-    have = {"qps", "tps", "trx_count", "threads_connected", "threads_running", "insert_count", "update_count", "delete_count"}
-    parts = [f"SELECT host_id, poll_id, ts, '{chart}' AS chart, '{line}' AS line, CAST({metric} AS DOUBLE) AS value FROM m"
-             for chart, lines in CHARTS.items() for line, metric in lines if metric in have]
+    source = {"seconds_behind_master": "slave_status"}
+    source.update({m: f"({TEXT_ENTRIES[name].sql})" for name, metrics in CHART_FRAMES.items() for m in metrics})
+    parts = [f"SELECT host_id, poll_id, '{chart}' AS chart, '{line}' AS line, CAST({metric} AS DOUBLE) AS value FROM {source.get(metric, 'm')} c"
+             for chart, lines in CHARTS.items() for line, metric in lines]
     return with_views(" UNION ALL ".join(parts), {"m": METRICS_SQL})
 
 
@@ -137,7 +157,7 @@ ENTRIES = {
         with_views("SELECT host_id, poll_id, ts, questions, threads_running FROM (SELECT *, row_number() OVER"
                    " (PARTITION BY host_id ORDER BY ts DESC, poll_id DESC) AS rn FROM counter_samples) x WHERE rn <= 200")),
     "running_stats": Entry(lambda i: C.running_stats(C.interval_metrics(i.counter_samples)), _running_sql()),
-    "chart_select": Entry(lambda i: C.chart_select(C.interval_metrics(i.counter_samples)), _chart_sql()),
+    "chart_select": Entry(_charts, _chart_sql()),
     "alert_flags": Entry(
         lambda i: C.alert_flags(i.counter_samples, i.slave_status, i.host_infos,
                                 F.lit(NOW).cast("timestamp_ntz"), down_seconds=3600),

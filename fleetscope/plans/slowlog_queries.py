@@ -12,11 +12,13 @@ from fleetscope.plans.views import with_views
 
 
 def _quote(pattern: str) -> str:
+    """Pattern as a DuckDB literal; its matcher has no possessive repeats and needs none."""
+    pattern = pattern.replace("*+", "*").replace("++", "+")
     return "'" + pattern.replace("'", "''") + "'"
 
 
 FP = "lower(sql_text)"
-for _pattern, _new in ((X.STRING, "?"), (X.DOUBLE_QUOTED, "?"), (X.NUMBER, "?"), (r"\s+", " "), (X.VALUE_LIST, "(?+)")):
+for _pattern, _new in X.FINGERPRINT_RULES:
     FP = f"regexp_replace({FP}, {_quote(_pattern)}, '{_new}', 'g')"
 PRINTED = {"fp": f"SELECT *, trim({FP}) AS fingerprint, substr(md5(trim({FP})), 17, 16) AS checksum FROM query_log"}
 
@@ -38,7 +40,7 @@ def _p95(m: str) -> str:
 
 
 TABLES = {
-    "masked": f"SELECT *, regexp_replace(upper(sql_text), {_quote(X.STRING)}, '?', 'g') AS q FROM query_log",
+    "masked": f"SELECT *, regexp_replace(upper(sql_text), {_quote(X.QUOTED)}, '?', 'g') AS q FROM query_log",
     "names": f"SELECT DISTINCT query_id, host_id, CAST(ts AS DATE) AS day, CASE WHEN contains(t, '.') THEN lower(t) ELSE default_db || '.' || lower(t) END AS full_name"
              " FROM (SELECT *, replace(trim(unnest(flatten([string_split(x, ',') FOR x IN"
              f" regexp_extract_all(q, {_quote(X.TABLE_LIST)}, 1)]))), '`', '') AS t FROM masked) y WHERE t <> 'DUAL'",

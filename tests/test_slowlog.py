@@ -18,6 +18,7 @@ TABLES = [
     ("select * from t; ", ["d.t"]),
     ("select * from (select * from t)", ["d.t"]),
     ("select 1", []),
+    ("select \"from x\", 'it\"s from y' from t", ["d.t"]),
 ]
 
 
@@ -30,12 +31,22 @@ def test_tables_of_a_statement(spark, text, names):
 @pytest.mark.parametrize("text,fingerprint", [
     ("SELECT  *\nFROM t WHERE a = 12 AND b = 'x''y' AND c IN (1, 2,3)", "select * from t where a = ? and b = ? and c in (?+)"),
     ("insert into t values (1, 'a\\'b'), (2, \"c\")", "insert into t values (?+), (?+)"),
+    ("select \"it's\", 'say \"no\"' from t -- 7", "select ?, ? from t -- ?"),
     ("select t1.c from t1 limit 5", "select t1.c from t1 limit ?"),
 ])
 def test_fingerprint(spark, text, fingerprint):
     assert spark.createDataFrame([(text,)], "q STRING").select(sql_fingerprint("q")).first()[0] == fingerprint
 
 
+def test_statements_of_any_length(spark):
+    values = ", ".join(str(n) for n in range(200_000))
+    literal = "x''\\'y" * 100_000
+    names = ", ".join(f"t{n} a{n}" for n in range(20_000))
+    df = spark.createDataFrame([(f"select 1 from t where a in ({values}) and b = '{literal}'", f"select 1 from {names} where 1")], "q STRING, p STRING")
+    r = df.select(sql_fingerprint("q").alias("f"), sql_tables("q", F.lit("d")).alias("t"), F.size(sql_tables("p", F.lit("d"))).alias("n")).first()
+    assert r.f == "select ? from t where a in (?+) and b = ?" and r.t == ["d.t"] and r.n == 20_000
+
+
 BYTES = [(0, "0"), (5, "5B"), (1023, "1023B"), (1024, "1KB"), (2047, "1KB"), (1048576, "1M"), (1073741824, "1.0G"),
          (1610612736, "1.5G"), (1099511627776, "1.0T"), (1125899906842624, None), (None, None)]
 
