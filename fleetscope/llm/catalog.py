@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetscope.llm.op03_setsketch import op3_setsketch
 from fleetscope.llm.op10_quality_rules import op10_line_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_setsketch": op3_setsketch,
     "op10_line_rules": op10_line_rules,
 }
 SQL: dict[str, str] = {}
