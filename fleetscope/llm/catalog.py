@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetscope.llm.op03_setsketch import op3_setsketch
 from fleetscope.llm.op05_decontamination import SQL as DECONTAMINATION
 from fleetscope.llm.op05_decontamination import op5_decontamination
+from fleetscope.llm.op09_secret_scan import op9_secret_scan
 from fleetscope.llm.op10_quality_rules import op10_line_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_setsketch": op3_setsketch,
     "op5_decontamination": op5_decontamination,
+    "op9_secret_scan": op9_secret_scan,
     "op10_line_rules": op10_line_rules,
 }
 SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION}
