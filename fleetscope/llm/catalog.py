@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetscope.llm.op01_language_id import op1_language_id
 from fleetscope.llm.op02_bpe import op2_bpe
 from fleetscope.llm.op03_setsketch import op3_setsketch
 from fleetscope.llm.op05_decontamination import SQL as DECONTAMINATION
@@ -14,6 +15,7 @@ from fleetscope.llm.op09_secret_scan import op9_secret_scan
 from fleetscope.llm.op10_quality_rules import op10_line_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_setsketch": op3_setsketch,
     "op5_decontamination": op5_decontamination,

@@ -172,3 +172,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False)).alias("held_out")
