@@ -7,10 +7,12 @@ sets. Documents with equal sets collapse first. Bands of six registers name buck
 meets in a bucket gets a joint likelihood estimate of its similarity from the registers, and
 pairs that may reach the limit are confirmed on their full sets.
 
-No bucket is expanded into all its pairs. Rounds of stars come first: every member is held
-against the least member of its buckets. What stays apart after that is compared exactly:
-in buckets that still hold several components, the members outside the largest component meet
-all others. Components grow from confirmed links only.
+No bucket is expanded into its pairs. First every member is confirmed against the most similar of
+its buckets' least members, the pivots. In buckets that still hold several components every
+member is compared with the pivot, and the shingles that only one of the two has are kept. Members
+of different components can then be similar only through differences they share, which an
+inverted index with prefix filtering finds exactly (``_meeting``). Components grow from confirmed
+links only.
 
 A pair at the limit is missed by all 32 bands with probability (1 - 0.85**6)**32 < 3e-7, and
 dropped by the estimate with about the same (five standard errors).
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import U64, WHITE, carried, chunks, hash_spans, map_texts, small_batches, store, table, text_buffers, windows, word_spans
@@ -117,7 +119,7 @@ def sketched(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry:
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose estimate may reach the limit."""
+    """(a, b, pivot, similarity) of the pairs (a, b, pivot) whose estimate may reach the limit."""
     sizes = F.col("na") * 100 >= F.col("nb") * PERCENT, F.col("nb") * 100 >= F.col("na") * PERCENT
     left = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
@@ -128,10 +130,10 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 rows = batch.to_pydict()
                 a, b = (np.frombuffer(b"".join(rows[k]), np.uint16).reshape(-1, REGISTERS).astype(np.int32) for k in ("ra", "rb"))
                 value = estimate(a, b, np.array(rows["na"], float), np.array(rows["nb"], float))
-                yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(value)})
+                yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "pivot": batch.column("pivot"), "similarity": pa.array(value)})
 
-    joined = pairs.join(left, "a").join(right, "b").where(sizes[0] & sizes[1]).select("a", "b", "na", "nb", "ra", "rb")
-    return joined.mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= ESTIMATE)
+    joined = pairs.join(left, "a").join(right, "b").where(sizes[0] & sizes[1]).select("a", "b", "pivot", "na", "nb", "ra", "rb")
+    return joined.mapInArrow(run, "a bigint, b bigint, pivot bigint, similarity double").where(F.col("similarity") >= ESTIMATE)
 
 
 def _full_sets(docs: DataFrame, text: str, id_col: str, wanted: DataFrame) -> DataFrame:
@@ -177,6 +179,70 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, node, n, linked, apart): whether the two reach the limit, and the shingles only one of them has."""
+    left = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, good, apart = [], [], []
+            for i in range(batch.num_rows):
+                p, x = (np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in (2, 3))
+                d = np.setxor1d(p, x, assume_unique=True)
+                n.append(len(x))
+                good.append(_near(len(p) + len(x), len(d)))
+                apart.append(d.view(np.int64))
+            yield pa.RecordBatch.from_pydict({"pivot": batch.column(0), "node": batch.column(1), "n": pa.array(n, pa.int64()),
+                                              "linked": pa.array(good, pa.bool_()), "apart": pa.array(apart, pa.list_(pa.int64()))})
+
+    both = pairs.join(sets, "node").join(left, "pivot").select("pivot", "node", "sp", "shingles")
+    return both.mapInArrow(run, "pivot bigint, node bigint, n bigint, linked boolean, apart array<bigint>")
+
+
+def _near(sizes: int, apart: int) -> bool:
+    """Two sets reach the limit if so few elements are in one only."""
+    return (100 - PERCENT) * sizes >= (100 + PERCENT) * apart
+
+
+def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b, pivot): members of a pivot in different components that may reach the limit.
+
+    Let D(x) be what x and the pivot differ in. Two members differ in D(x) xor D(y), so if one of
+    them is not linked with the pivot, D(x) and D(y) share at least |D(x)| - m elements and at least
+    one, where m is the most two sets of such a size may differ in. With the elements ordered
+    from rare to common, the two share one among the first |D(x)| - that + 1 of each. Edits of
+    their own, which nobody shares, come first, so copies of one text with edits of their own hardly meet.
+    """
+    rows = _labelled(apart.select("pivot", "node", "n", "apart"), comps)
+    groups = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot")
+    rows = store(rows.join(groups, "pivot"), "members")
+    elements = rows.select("pivot", "node", F.explode("apart").alias("element"))
+    shared = elements.groupBy("pivot", "element").agg(F.count("*").alias("holders")).where("holders > 1")
+    most = F.floor((100 - PERCENT) / (100 + PERCENT) * (F.col("n") + F.col("n") * 100 / PERCENT) + 1e-9)
+    first = F.size("apart") - F.greatest(F.lit(1), F.size("apart") - most) + 1
+    lengths = rows.select("pivot", "node", "comp", F.size("apart").alias("size"), first.alias("first"))
+    order = Window.partitionBy("pivot", "node").orderBy("holders", "element")
+    placed = elements.join(shared, ["pivot", "element"]).withColumn("place", F.row_number().over(order))
+    number = placed.groupBy("pivot", "node").agg(F.count("*").alias("shared"))
+    prefix = store(placed.join(lengths.join(number, ["pivot", "node"]), ["pivot", "node"])
+                   .where("size - shared + place <= first").select("pivot", "element", "node", "comp"), "prefixes")
+    largest = (rows.groupBy("pivot", "comp").agg(F.count("*").alias("k"))
+               .groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")))
+    rest = (prefix.join(largest, "pivot").where("comp <> largest")
+            .select("pivot", "element", F.col("node").alias("x"), F.col("comp").alias("cx")))
+    return (rest.join(prefix, ["pivot", "element"]).where("cx <> comp")
+            .groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.min("pivot").alias("pivot")))
+
+
+def _confirmed_apart(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+    """The pairs (a, b, pivot) that reach the limit, by what each differs from the pivot in."""
+    left = apart.select("pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("apart").alias("da"))
+    right = apart.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("db"))
+    both = F.size(F.array_intersect("da", "db"))
+    return (pairs.join(left, ["pivot", "a"]).join(right, ["pivot", "b"])
+            .where((100 - PERCENT) * (F.col("na") + F.col("nb")) >= (100 + PERCENT) * (F.size("da") + F.size("db") - 2 * both)).select("a", "b"))
+
+
 def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(set_key, component_id) of every distinct set; ``rows`` is what ``sketched`` made, stored."""
     sets = (rows.where("n_shingles > 0").groupBy("set_key", "n_shingles", "registers")
@@ -192,30 +258,21 @@ def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "
     sketches = store(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "registers"), "sketches")
     full = store(_full_sets(docs, text, id_col, reps.join(sketches.select("node"), "node", "left_semi").select("row_key", "node", "set_key")), "shingles")
     # Round one: each member against the most similar of its pivots.
-    stars = store(_estimated(members.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a")).distinct(), sketches), "stars")
+    stars = store(_estimated(members.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a"), "pivot").distinct(), sketches), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a"))
     edges = store(_confirmed(best, full), "links")
     comps = store(components(edges), "components")
-    # Round two: the other pivots, where they lie in another component.
-    other = (_labelled(stars.join(best, ["a", "b"], "left_anti").withColumnRenamed("a", "node"), comps)
-             .select(F.col("node").alias("a"), "b", F.col("comp").alias("ca")))
-    other = _labelled(other.withColumnRenamed("b", "node"), comps).where("ca <> comp").select("a", F.col("node").alias("b"))
-    other = store(other, "other-stars")
-    if not other.isEmpty():
-        edges = store(edges.union(_confirmed(other, full)), "links")
-        comps = store(components(edges), "components")
-    # Round three: all that still meet across components.
-    placed = store(_labelled(members.select("bucket", "node"), comps), "placed")
+    # Round two: buckets that still hold several components, every member against the pivot.
+    placed = _labelled(members, comps)
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    mixed_rows = placed.join(mixed, "bucket")
-    largest = (mixed_rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-               .groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest")))
-    rest = mixed_rows.join(largest, "bucket").where("comp <> largest").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    pairs = (rest.join(mixed_rows, "bucket").where("cx <> comp").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-             .join(best.union(other.select("b", "a")), ["a", "b"], "left_anti"))
-    left = store(_estimated(pairs, sketches), "left-pairs")
-    if not left.isEmpty():
-        edges = edges.union(_confirmed(left, full))
+    again = placed.join(mixed, "bucket").where("node <> pivot").select("pivot", "node").distinct()
+    apart = store(_differences(again, full), "differences")
+    if not apart.isEmpty():
+        edges = store(edges.union(apart.where("linked").select("pivot", "node")), "links")
+        comps = store(components(edges), "components")
+        # Round three: members of one pivot that can only meet through what both differ in.
+        met = _confirmed_apart(_estimated(_meeting(apart, comps), sketches), apart)
+        edges = store(edges.union(met), "links")
         comps = components(edges)
     named = reps.select("node", "set_key", "least_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
