@@ -12,6 +12,7 @@ from fleetscope.llm.op03_setsketch import op3_setsketch
 from fleetscope.llm.op05_decontamination import SQL as DECONTAMINATION
 from fleetscope.llm.op05_decontamination import op5_decontamination
 from fleetscope.llm.op07_lm_scoring import op7_context_mixing
+from fleetscope.llm.op08_quality_gam import op8_quality_gam
 from fleetscope.llm.op09_secret_scan import op9_secret_scan
 from fleetscope.llm.op10_quality_rules import op10_line_rules
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_setsketch": op3_setsketch,
     "op5_decontamination": op5_decontamination,
     "op7_context_mixing": op7_context_mixing,
+    "op8_quality_gam": op8_quality_gam,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_rules": op10_line_rules,
 }
