@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetscope.llm.op01_language_id import op1_language_id
 from fleetscope.llm.op02_bpe import op2_bpe
 from fleetscope.llm.op03_setsketch import op3_setsketch
+from fleetscope.llm.op04_html_wrapper import op4_html_wrapper
 from fleetscope.llm.op05_decontamination import SQL as DECONTAMINATION
 from fleetscope.llm.op05_decontamination import op5_decontamination
 from fleetscope.llm.op07_lm_scoring import op7_context_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_setsketch": op3_setsketch,
+    "op4_html_wrapper": op4_html_wrapper,
     "op5_decontamination": op5_decontamination,
     "op7_context_mixing": op7_context_mixing,
     "op8_quality_gam": op8_quality_gam,
