@@ -177,3 +177,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False)).alias("held_out")
+
+
+def frequent(counted: DataFrame, limit: int, count: str = "n") -> DataFrame:
+    """The rows with the largest counts, at most ``limit``: all from the least count on for which they are so few.
+
+    The cut is read from the counts' logarithms, a few hundred numbers, so nothing is sorted or gathered.
+    """
+    step = F.floor(8 * F.log2(F.col(count))).alias("step")
+    sizes = sorted(counted.groupBy(step).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step)
+    total, least = 0, None
+    for r in sizes:
+        total += r.k
+        if total > limit:
+            break
+        least = r.step
+    return counted.where(step >= (least if least is not None else 1 << 30))

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from fleetscope.llm import lexicon
 from fleetscope.llm.byte_bpe import Encoder, Vocabulary, load, merge
-from fleetscope.llm.common import carried, chunks, small_batches, table
+from fleetscope.llm.common import carried, chunks, frequent, small_batches, store, table
 
 # Words in the lexicon: a bound on its size (about 2 MB), not on what is encoded.
 LEXICON_WORDS = 1 << 15
@@ -32,7 +32,7 @@ COUNTED = 200_000
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent letter words after a space, over all texts; ties go to the lesser word."""
+    """The most frequent letter words after a space, over all texts, at most ``limit``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Counter[str] = Counter()
 
@@ -53,8 +53,8 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
         yield flush()
 
     words = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect()]
+    counted = store(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return [r.word for r in frequent(counted, limit).collect()]
 
 
 def compile_lexicon(words: list[str], vocabulary: Vocabulary) -> bytes:
