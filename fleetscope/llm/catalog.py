@@ -12,6 +12,7 @@ from fleetscope.llm.op03_setsketch import op3_setsketch
 from fleetscope.llm.op04_html_wrapper import op4_html_wrapper
 from fleetscope.llm.op05_decontamination import SQL as DECONTAMINATION
 from fleetscope.llm.op05_decontamination import op5_decontamination
+from fleetscope.llm.op06_license_scan import op6_license_rules
 from fleetscope.llm.op07_lm_scoring import op7_context_mixing
 from fleetscope.llm.op08_quality_gam import op8_quality_gam
 from fleetscope.llm.op09_secret_scan import op9_secret_scan
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_setsketch": op3_setsketch,
     "op4_html_wrapper": op4_html_wrapper,
     "op5_decontamination": op5_decontamination,
+    "op6_license_rules": op6_license_rules,
     "op7_context_mixing": op7_context_mixing,
     "op8_quality_gam": op8_quality_gam,
     "op9_secret_scan": op9_secret_scan,
