@@ -10,7 +10,10 @@ from fleetscope.plans.views import with_views
 
 KEYS = ["pk"]
 AS_OF = "1998-06-30 00:00:00"
-UNTIL = f"log_pos <= 2 * pk + 900"
+THEN = "1996-06-30 00:00:00"
+FILE = "bin.000000000000"
+UNTIL = f"ts <= TIMESTAMP_NTZ '{THEN}'"
+REACHED = f"(log_file < '{FILE}' OR (log_file = '{FILE}' AND log_pos <= 700))"
 
 
 def _lit(name: str, image: str) -> str:
@@ -43,7 +46,7 @@ def _delete(image: str) -> str:
 
 
 def _update(to: str, at: str) -> str:
-    return (f"'UPDATE ' || {TARGET} || ' set ' || " + " || ', ' || ".join(f"'`{n}`=' || {_lit(n, to)}" for n in NAMES)
+    return (f"'UPDATE ' || {TARGET} || ' SET ' || " + " || ', ' || ".join(f"'`{n}`=' || {_lit(n, to)}" for n in NAMES)
             + f" || ' WHERE ' || {_where(at)} || ';'")
 
 
@@ -62,36 +65,37 @@ def _pairs(i):
 
 ENTRIES = {
     "change_slice": Entry(
-        lambda i: C.change_slice(i.binlog_events, "bin.000000", 900, F.lit("1996-01-01").cast("timestamp_ntz"), F.lit(AS_OF).cast("timestamp_ntz")),
-        with_views(f"SELECT * FROM binlog_events WHERE log_file = 'bin.000000' AND log_pos <= 900 AND ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '{AS_OF}'")),
+        lambda i: C.change_slice(i.binlog_events, FILE, 900, F.lit("1996-01-01").cast("timestamp_ntz"), F.lit(AS_OF).cast("timestamp_ntz"),
+                                 start_pos=100, master=1),
+        with_views(f"SELECT * FROM binlog_events WHERE master_host_id = 1 AND log_file = '{FILE}' AND log_pos BETWEEN 100 AND 900 AND ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '{AS_OF}'")),
     "change_tables": Entry(
         lambda i: C.change_tables(i.binlog_events, _pairs(i)),
         with_views("SELECT * FROM binlog_events WHERE (schema_name, table_name) IN (SELECT ('db' || CAST(host_id % 2 AS STRING), 'accounts') FROM host_infos)")),
     "change_to_sql": Entry(lambda i: C.change_to_sql(i.binlog_events, KEYS),
-                           with_views(f"SELECT log_file, log_pos, {FORWARD} FROM binlog_events")),
+                           with_views(f"SELECT master_host_id, log_file, log_pos, {FORWARD} FROM binlog_events")),
     "flashback_sql": Entry(lambda i: C.flashback_sql(i.binlog_events, KEYS),
-                           with_views(f"SELECT log_file, log_pos, {INVERSE} FROM binlog_events")),
+                           with_views(f"SELECT master_host_id, log_file, log_pos, {INVERSE} FROM binlog_events")),
     "repair_sql": Entry(
         lambda i: C.repair_sql(i.stopped_replicas, i.binlog_events, KEYS),
-        with_views("SELECT s.host_id, s.poll_id, e.log_file, e.log_pos, e.sql FROM stopped_replicas s JOIN inverse e ON e.log_file = s.relay_master_log_file"
+        with_views("SELECT s.host_id, s.poll_id, e.master_host_id, e.log_file, e.log_pos, e.sql FROM stopped_replicas s JOIN inverse e ON e.master_host_id = s.master_host_id AND e.log_file = s.relay_master_log_file"
                    r" AND e.log_pos > s.exec_master_log_pos AND e.log_pos <= CAST(regexp_extract(s.last_sql_error, '(\d+)$', 1) AS BIGINT)"
-                   " WHERE s.last_sql_errno IN (1032, 1062)", {"inverse": f"SELECT log_file, log_pos, {REPAIR} FROM binlog_events"})),
+                   " WHERE s.last_sql_errno IN (1032, 1062)", {"inverse": f"SELECT master_host_id, log_file, log_pos, {REPAIR} FROM binlog_events"})),
     "table_as_of": Entry(
         lambda i: C.table_as_of(i.binlog_events, KEYS, F.expr(UNTIL)),
-        with_views("SELECT schema_name, table_name, pk, after_amt AS amt, after_note AS note FROM (SELECT *, row_number() OVER"
-                   f" (PARTITION BY schema_name, table_name, pk ORDER BY log_file DESC, log_pos DESC) AS rn FROM binlog_events WHERE {UNTIL}) x WHERE rn = 1 AND op <> 'delete'")),
+        with_views("SELECT master_host_id, schema_name, table_name, pk, after_amt AS amt, after_note AS note FROM (SELECT *, row_number() OVER"
+                   f" (PARTITION BY master_host_id, schema_name, table_name, pk ORDER BY log_file DESC, log_pos DESC) AS rn FROM binlog_events WHERE ts <= TIMESTAMP '{THEN}') x WHERE rn = 1 AND op <> 'delete'")),
     "table_rewind": Entry(
-        lambda i: C.table_rewind(i.binlog_events, KEYS, ~F.expr(UNTIL)),
-        with_views("SELECT schema_name, table_name, pk, CASE WHEN op = 'insert' THEN 'delete' ELSE 'put' END AS op, before_amt AS amt, before_note AS note FROM"
-                   " (SELECT *, row_number() OVER (PARTITION BY schema_name, table_name, pk ORDER BY log_file, log_pos) AS rn FROM binlog_events"
-                   f" WHERE NOT ({UNTIL})) x WHERE rn = 1")),
+        lambda i: C.table_rewind(i.binlog_events, KEYS, ~C.reached(FILE, 700)),
+        with_views("SELECT master_host_id, schema_name, table_name, pk, CASE WHEN op = 'insert' THEN 'delete' ELSE 'put' END AS op, before_amt AS amt, before_note AS note FROM"
+                   " (SELECT *, row_number() OVER (PARTITION BY master_host_id, schema_name, table_name, pk ORDER BY log_file, log_pos) AS rn FROM binlog_events"
+                   f" WHERE NOT {REACHED}) x WHERE rn = 1")),
     "change_stats": Entry(
-        lambda i: C.change_stats(i.binlog_events),
-        with_views("SELECT schema_name, table_name, op, date_trunc('hour', ts) AS hour, count(*) AS events, count(DISTINCT pk) AS rows"
+        lambda i: C.change_stats(i.binlog_events, KEYS),
+        with_views("SELECT master_host_id, schema_name, table_name, op, date_trunc('hour', ts) AS hour, count(*) AS events, count(DISTINCT pk) AS rows"
                    " FROM binlog_events GROUP BY ALL")),
     "change_lag": Entry(
         lambda i: C.change_lag(i.binlog_events),
-        with_views("SELECT log_file, log_pos, schema_name, table_name, log_pos - lag(log_pos) OVER w AS position_gap,"
+        with_views("SELECT master_host_id, log_file, log_pos, schema_name, table_name, log_pos - lag(log_pos) OVER w AS position_gap,"
                    " date_diff('second', lag(ts) OVER w, ts) AS seconds_gap FROM binlog_events"
-                   " WINDOW w AS (PARTITION BY schema_name, table_name ORDER BY log_file, log_pos)")),
+                   " WINDOW w AS (PARTITION BY master_host_id, schema_name, table_name ORDER BY log_file, log_pos)")),
 }

@@ -187,8 +187,8 @@ ENTRIES = {
         " (SELECT host_id, ts, 'threads' AS rule FROM counter_samples WHERE threads_connected > 1000"
         " UNION ALL SELECT host_id, ts, 'threads_running' FROM counter_samples WHERE threads_running > 5) a")),
     "sync_apply": Entry(_sync, with_views(
-        "SELECT schema_name, table_name, pk, after_amt AS amt, after_note AS note FROM (SELECT *, row_number() OVER"
-        " (PARTITION BY schema_name, table_name, pk ORDER BY log_file DESC, log_pos DESC) AS rn FROM binlog_events"
+        "SELECT master_host_id, schema_name, table_name, pk, after_amt AS amt, after_note AS note FROM (SELECT *, row_number() OVER"
+        " (PARTITION BY master_host_id, schema_name, table_name, pk ORDER BY log_file DESC, log_pos DESC) AS rn FROM binlog_events"
         " WHERE (schema_name, table_name) IN (SELECT ('db' || CAST(host_id % 2 AS STRING), 'accounts') FROM host_infos)) x"
         " WHERE rn = 1 AND op <> 'delete'")),
 }

@@ -132,14 +132,16 @@ FILE_SIZES = [
     "CAST(data_length + index_length + 4096 AS STRING) || chr(9) || '/data/' || db_name || '/' || table_name || '.ibd' AS line",
 ]
 
+# Two masters that share file, schema and table names. Twelve digits hold any file number.
 BINLOG_BASE = [
-    "'bin.' || lpad(CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING), 6, '0') AS log_file",
+    "CAST(o_orderkey % 2 AS BIGINT) AS master_host_id",
+    "'bin.' || lpad(CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING), 12, '0') AS log_file",
     "o_orderkey AS log_pos", "o_orderdate AS ts", "'db' || CAST(o_custkey % 3 AS STRING) AS schema_name",
     "'accounts' AS table_name", "o_custkey AS pk", "CAST(round(o_totalprice * 100) AS BIGINT) AS amt",
     "o_orderpriority AS note",
 ]
 BINLOG_IMAGES = [
-    "log_file", "log_pos", "ts", "schema_name", "table_name", "pk",
+    "master_host_id", "log_file", "log_pos", "ts", "schema_name", "table_name", "pk",
     "CASE WHEN rn % 4 = 1 THEN 'insert' WHEN rn % 4 = 0 THEN 'delete' ELSE 'update' END AS op",
     "CASE WHEN rn % 4 = 1 THEN NULL ELSE prev_amt END AS before_amt",
     "CASE WHEN rn % 4 = 0 THEN NULL ELSE amt END AS after_amt",
@@ -229,7 +231,8 @@ SLAVE_STATUS = [
 # Replicas whose SQL thread stopped; the error text ends with the position of the failing event.
 STOPPED_REPLICAS = [
     "host_id", "poll_id", "slave_sql_running", "last_sql_errno",
-    "'bin.' || lpad(CAST(CAST(floor(poll_id / 1000) AS BIGINT) AS STRING), 6, '0') AS relay_master_log_file",
+    "CAST(host_id % 2 AS BIGINT) AS master_host_id",
+    "'bin.' || lpad(CAST(CAST(floor(poll_id / 1000) AS BIGINT) AS STRING), 12, '0') AS relay_master_log_file",
     "poll_id AS exec_master_log_pos",
     "'Could not execute rows event on table accounts; end_log_pos ' || CAST(poll_id + 1 + poll_id % 3 AS STRING) AS last_sql_error",
 ]
@@ -383,8 +386,8 @@ class Inputs:
     @cached_property
     def binlog_events(self) -> DataFrame:
         base = self.table("orders").selectExpr(*BINLOG_BASE)
-        lagged = previous(base, ["pk"], ["log_pos"], {"prev_amt": "amt", "prev_note": "note"})
-        return numbered(lagged, ["pk"], ["log_pos"], "rn").selectExpr(*BINLOG_IMAGES)
+        lagged = previous(base, ["master_host_id", "pk"], ["log_pos"], {"prev_amt": "amt", "prev_note": "note"})
+        return numbered(lagged, ["master_host_id", "pk"], ["log_pos"], "rn").selectExpr(*BINLOG_IMAGES)
 
     @cached_property
     def innodb_trx(self) -> DataFrame:
@@ -479,4 +482,4 @@ class Inputs:
     def binlog_text(self) -> DataFrame:
         lines = ", ".join(f"struct({n} AS line_no, {e} AS line)" for n, e in BINLOG_TEXT_LINES.items())
         return (self.binlog_events
-                .selectExpr("log_file", "log_pos", f"inline(array({lines}))").where("line IS NOT NULL"))
+                .selectExpr("master_host_id", "log_file", "log_pos", f"inline(array({lines}))").where("line IS NOT NULL"))

@@ -65,9 +65,9 @@ NAME = r"regexp_extract(line, '^(\w+):', 1)"
 
 DECODED = {
     "flagged": "SELECT *, sum(CASE WHEN regexp_matches(line, '^### (INSERT|UPDATE|DELETE) ') THEN 1 ELSE 0 END)"
-               " OVER (PARTITION BY log_file ORDER BY log_pos, line_no) AS rec FROM binlog_text",
-    "imaged": "SELECT *, max(CASE WHEN line IN ('### SET', '### WHERE') THEN line_no END) OVER (PARTITION BY log_file, rec ORDER BY log_pos, line_no) AS part_line FROM flagged",
-    "parts": "SELECT i.*, p.line AS part FROM imaged i LEFT JOIN binlog_text p ON i.log_file = p.log_file AND i.log_pos = p.log_pos AND i.part_line = p.line_no",
+               " OVER (PARTITION BY master_host_id, log_file ORDER BY log_pos, line_no) AS rec FROM binlog_text",
+    "imaged": "SELECT *, max(CASE WHEN line IN ('### SET', '### WHERE') THEN line_no END) OVER (PARTITION BY master_host_id, log_file, rec ORDER BY log_pos, line_no) AS part_line FROM flagged",
+    "parts": "SELECT i.*, p.line AS part FROM imaged i LEFT JOIN binlog_text p ON i.master_host_id = p.master_host_id AND i.log_file = p.log_file AND i.log_pos = p.log_pos AND i.part_line = p.line_no",
 }
 
 
@@ -183,12 +183,12 @@ ENTRIES = {
             {"r": "SELECT *, sum(CASE WHEN line LIKE '# User@Host:%' THEN 1 ELSE 0 END) OVER (PARTITION BY log_file ORDER BY line_no) AS rec FROM slow_log_text"})),
     "change_text_decode": Entry(
         lambda i: L.change_text_decode(i.binlog_text).select(
-            "log_file", "log_pos", "op", "schema_name", "table_name",
+            "master_host_id", "log_file", "log_pos", "op", "schema_name", "table_name",
             *[F.col(m).getItem(k).alias(f"{m}_{k}") for m in ("before", "after") for k in (1, 2)]),
         with_views(
-            "SELECT log_file, min(log_pos) AS log_pos, lower(max(regexp_extract(line, '^### (INSERT|UPDATE|DELETE) ', 1))) AS op,"
+            "SELECT master_host_id, log_file, min(log_pos) AS log_pos, lower(max(regexp_extract(line, '^### (INSERT|UPDATE|DELETE) ', 1))) AS op,"
             " max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 1)) AS schema_name, max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 2)) AS table_name, "
             + ", ".join([_image("WHERE", 1, "before_1"), _image("WHERE", 2, "before_2"), _image("SET", 1, "after_1"), _image("SET", 2, "after_2")])
-            + " FROM parts GROUP BY log_file, rec", DECODED)),
+            + " FROM parts GROUP BY master_host_id, log_file, rec", DECODED)),
     "backup_log_parse": Entry(lambda i: L.backup_log_parse(i.backup_log_lines), with_views(BACKUP_PARSED)),
 }

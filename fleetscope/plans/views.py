@@ -46,7 +46,7 @@ VIEWS = {
     "file_sizes": _select(I.FILE_SIZES, "table_sizes") + " WHERE table_name <> 't4'",
     "binlog_base": _select(I.BINLOG_BASE, "orders"),
     "binlog_events": _select(I.BINLOG_IMAGES, "(SELECT *, row_number() OVER w AS rn, lag(amt) OVER w AS prev_amt, lag(note) OVER w AS prev_note"
-                             " FROM binlog_base WINDOW w AS (PARTITION BY pk ORDER BY log_pos)) x"),
+                             " FROM binlog_base WINDOW w AS (PARTITION BY master_host_id, pk ORDER BY log_pos)) x"),
     "innodb_trx": _select(I.INNODB_TRX, "events"),
     "innodb_locks": _select(I.INNODB_LOCKS, "events") + " UNION ALL "
     + _select(I.INNODB_LOCKS_SECOND, "events") + " WHERE event_type = 'signup'",
@@ -74,7 +74,7 @@ VIEWS = {
     "catalog_columns": _select(I.CATALOG_COLUMNS, f"part CROSS JOIN (VALUES {_values(I.COLUMN_ROWS)})"
                                " AS v(column_name, ordinal_position, column_type, column_key)") + f" WHERE {I.COLUMNS_FILTER}",
     "os_text": _select(I.OS_TEXT, f"events CROSS JOIN (VALUES {_values(I.OS_LINES)}) AS v(kind, line_no, tpl)"),
-    "binlog_text": "SELECT * FROM (" + _numbered_lines(I.BINLOG_TEXT_LINES, "log_file, log_pos", "binlog_events", "line_no")
+    "binlog_text": "SELECT * FROM (" + _numbered_lines(I.BINLOG_TEXT_LINES, "master_host_id, log_file, log_pos", "binlog_events", "line_no")
     + ") x WHERE line IS NOT NULL",
 }
 

@@ -66,7 +66,7 @@ def change_text_decode(lines: DataFrame) -> DataFrame:
 
     Values are kept as text without quotes; ``NULL`` becomes null.
     """
-    events = _records(lines.where(F.col("line").startswith("###")), ["log_file"], ["log_pos", "line_no"],
+    events = _records(lines.where(F.col("line").startswith("###")), ["master_host_id", "log_file"], ["log_pos", "line_no"],
                       F.col("line").rlike("^### (INSERT|UPDATE|DELETE) "))
 
     def image(part: str) -> Column:
@@ -82,7 +82,7 @@ def change_text_decode(lines: DataFrame) -> DataFrame:
 
     op = F.lower(F.regexp_extract("text", r"^### (\w+)", 1))
     return events.select(
-        "log_file", F.col("at.log_pos").alias("log_pos"), op.alias("op"),
+        "master_host_id", "log_file", F.col("at.log_pos").alias("log_pos"), op.alias("op"),
         F.regexp_extract("text", r"^### [A-Z ]+`([^`]+)`\.`([^`]+)`", 1).alias("schema_name"),
         F.regexp_extract("text", r"^### [A-Z ]+`([^`]+)`\.`([^`]+)`", 2).alias("table_name"),
         image("WHERE").alias("before"), image("SET").alias("after"))

@@ -86,7 +86,7 @@ def report_tsv(space: DataFrame, path: str) -> None:
 
 def sql_script_sink(statements: DataFrame, path: str) -> None:
     """Statements as text, one per line, in log order over the numbered part files."""
-    (statements.repartitionByRange("log_file", "log_pos").sortWithinPartitions("log_file", "log_pos")
+    (statements.repartitionByRange("master_host_id", "log_file", "log_pos").sortWithinPartitions("master_host_id", "log_file", "log_pos")
      .select("sql").write.mode("overwrite").text(path))
 
 

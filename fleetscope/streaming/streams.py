@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetscope.functions.sql_text import sql_checksum, sql_fingerprint
-from fleetscope.operators.changes import POSITION, change_tables
+from fleetscope.operators.changes import MASTER, change_tables, log_order
 from fleetscope.operators.counters import HOST, POLL, counter_rates, latest_state, load_alerts
 from fleetscope.session import scratch_path
 
 BATCH = "batch_id"
 
 
-def start(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run over everything that is available, then stop; restart with the same checkpoint to go on."""
+def start(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str,
+          trigger: dict | None = None) -> StreamingQuery:
+    """Run over everything that is available, then stop; restart with the same checkpoint to go on.
+
+    ``trigger`` holds other arguments of Spark's trigger, such as ``processingTime`` to run on.
+    """
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(each).trigger(availableNow=True).start())
+            .foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -42,7 +46,7 @@ def read_upserts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     return newest.select(*keys, "r.*")
 
 
-def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, state: str, checkpoint: str) -> StreamingQuery:
+def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, state: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Rates per interval over a stream of samples.
 
     The state is the newest sample of every host, one small table per micro-batch. A
@@ -67,28 +71,28 @@ def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, s
         latest_state(rows.drop("__old")).select(*columns).write.mode("overwrite").parquet(f"{state}/{BATCH}={batch_id}")
         batch.unpersist()
 
-    return start(stream, "append", process, checkpoint)
+    return start(stream, "append", process, checkpoint, trigger)
 
 
-def stream_latest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def stream_latest(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Newest sample per host, kept as aggregation state; read with :func:`read_upserts`."""
     rest = [c for c in stream.columns if c not in HOST]
     newest = (stream.groupBy(*HOST).agg(F.max_by(F.struct(*rest), F.struct(*POLL)).alias("s"))
               .select(*HOST, "s.*"))
-    return start(newest, "update", batch_sink(out), checkpoint)
+    return start(newest, "update", batch_sink(out), checkpoint, trigger)
 
 
-def stream_running_stats(stream: DataFrame, metrics: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
+def stream_running_stats(stream: DataFrame, metrics: Sequence[str], out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Min, max, sum, count and average so far per host."""
     aggs = [fn(m).alias(f"{m}_{name}") for m in metrics
             for name, fn in (("min", F.min), ("max", F.max), ("sum", F.sum), ("count", F.count))]
     totals = stream.groupBy(*HOST).agg(*aggs)
     averages = {f"{m}_avg": F.try_divide(F.col(f"{m}_sum").cast("double"), F.col(f"{m}_count").cast("double"))
                 for m in metrics}
-    return start(totals.withColumns(averages), "update", batch_sink(out), checkpoint)
+    return start(totals.withColumns(averages), "update", batch_sink(out), checkpoint, trigger)
 
 
-def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
     """Digest per fingerprint and five-minute window; open windows are updated, not held back."""
     printed = (stream.withColumn("ts", F.col("ts").cast("timestamp"))
                .withColumn("fingerprint", sql_fingerprint("sql_text"))
@@ -99,19 +103,19 @@ def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str
                    F.max("query_time").cast("double").alias("query_time_max"), F.max("fingerprint").alias("fingerprint"))
               .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "checksum", "fingerprint", "ts_cnt",
                       "query_time_sum", "query_time_max"))
-    return start(digest, "update", batch_sink(out), checkpoint)
+    return start(digest, "update", batch_sink(out), checkpoint, trigger)
 
 
-def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
     """Threshold alerts, one per host, rule and ten minutes."""
     alerts = (load_alerts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
               .withWatermark("ts", delay)
               .withColumn("since", F.window("ts", "10 minutes")["start"])
               .dropDuplicatesWithinWatermark(["host_id", "rule", "since"]))
-    return start(alerts, "append", batch_sink(out), checkpoint)
+    return start(alerts, "append", batch_sink(out), checkpoint, trigger)
 
 
-def sync_apply(stream: DataFrame, pairs: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def sync_apply(stream: DataFrame, pairs: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Copy the changes of the listed tables to ``target``; the checkpoint holds the position.
 
     A micro-batch is appended under its id, which costs as much as the batch and not as
@@ -120,13 +124,13 @@ def sync_apply(stream: DataFrame, pairs: DataFrame, target: str, checkpoint: str
     def process(batch: DataFrame, batch_id: int) -> None:
         change_tables(batch, pairs).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
-    return start(stream, "append", process, checkpoint)
+    return start(stream, "append", process, checkpoint, trigger)
 
 
 def sync_position(spark: SparkSession, target: str) -> DataFrame:
-    """Newest applied log position."""
-    return (spark.read.parquet(target).agg(F.max(F.struct(*POSITION)).alias("p"))
-            .select("p.log_file", "p.log_pos"))
+    """Newest applied log position of each master."""
+    return (spark.read.parquet(target).groupBy(*MASTER).agg(F.max(log_order(F.col("log_file"), F.col("log_pos"))).alias("p"))
+            .select(*MASTER, "p.log_file", "p.log_pos"))
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -138,6 +142,6 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """A given table as a stream, be it a file or a folder of files."""
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

@@ -115,7 +115,7 @@ def test_slow_log_lines(spark, tiny_groups):
 def test_change_text(spark):
     text = ["# at 4", "### UPDATE `s`.`t`", "### WHERE", "###   @1=1", "###   @2='it is' /* VARSTRING(20) */", "### SET",
             "###   @1=1", "###   @2=NULL", "### DELETE FROM `s`.`t`", "### WHERE", "###   @1=7"]
-    lines = spark.createDataFrame([("f", 10, n, t) for n, t in enumerate(text)], "log_file STRING, log_pos BIGINT, line_no INT, line STRING")
+    lines = spark.createDataFrame([(0, "f", 10, n, t) for n, t in enumerate(text)], "master_host_id BIGINT, log_file STRING, log_pos BIGINT, line_no INT, line STRING")
     update, delete = sorted(logs.change_text_decode(lines).collect(), key=lambda r: r.op, reverse=True)
     assert (update.op, update.before, update.after) == ("update", {1: "1", 2: "it is"}, {1: "1", 2: None})
     assert (delete.op, delete.before, delete.after, delete.table_name) == ("delete", {1: "7"}, None, "t")
