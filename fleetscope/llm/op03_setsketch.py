@@ -207,11 +207,12 @@ def _near(sizes: int, apart: int) -> bool:
 def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
     """(a, b, pivot): members of a pivot in different components that may reach the limit.
 
-    Let D(x) be what x and the pivot differ in. Two members differ in D(x) xor D(y), so if one of
-    them is not linked with the pivot, D(x) and D(y) share at least |D(x)| - m elements and at least
-    one, where m is the most two sets of such a size may differ in. With the elements ordered
-    from rare to common, the two share one among the first |D(x)| - that + 1 of each. Edits of
-    their own, which nobody shares, come first, so copies of one text with edits of their own hardly meet.
+    Let D(x) be what x and the pivot differ in, and m the most two sets of such a size may differ
+    in. Two members differ in D(x) xor D(y). If one of them is not linked with the pivot, they share
+    at least one element of D(x) and D(y), and with |D(x)| <= |D(y)| at least |D(x)| - m / 2 and at
+    least |D(y)| - m. With the elements ordered from rare to common they then share one among
+    the first m / 2 + 1 of D(x) and the first m + 1 of D(y). Edits of their own, which nobody
+    shares, come first, so copies of one text with edits of their own hardly meet.
     """
     rows = _labelled(apart.select("pivot", "node", "n", "apart"), comps)
     groups = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot")
@@ -219,19 +220,27 @@ def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
     elements = rows.select("pivot", "node", F.explode("apart").alias("element"))
     shared = elements.groupBy("pivot", "element").agg(F.count("*").alias("holders")).where("holders > 1")
     most = F.floor((100 - PERCENT) / (100 + PERCENT) * (F.col("n") + F.col("n") * 100 / PERCENT) + 1e-9)
-    first = F.size("apart") - F.greatest(F.lit(1), F.size("apart") - most) + 1
-    lengths = rows.select("pivot", "node", "comp", F.size("apart").alias("size"), first.alias("first"))
+    size = F.size("apart")
+    small, large = (size - F.greatest(F.lit(1), F.ceil(size - m)) + 1 for m in (most / 2, most))
+    lengths = rows.select("pivot", "node", "comp", size.alias("size"), small.alias("small"), large.alias("large"))
     order = Window.partitionBy("pivot", "node").orderBy("holders", "element")
     placed = elements.join(shared, ["pivot", "element"]).withColumn("place", F.row_number().over(order))
     number = placed.groupBy("pivot", "node").agg(F.count("*").alias("shared"))
-    prefix = store(placed.join(lengths.join(number, ["pivot", "node"]), ["pivot", "node"])
-                   .where("size - shared + place <= first").select("pivot", "element", "node", "comp"), "prefixes")
     largest = (rows.groupBy("pivot", "comp").agg(F.count("*").alias("k"))
                .groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")))
-    rest = (prefix.join(largest, "pivot").where("comp <> largest")
-            .select("pivot", "element", F.col("node").alias("x"), F.col("comp").alias("cx")))
-    return (rest.join(prefix, ["pivot", "element"]).where("cx <> comp")
-            .groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.min("pivot").alias("pivot")))
+    prefix = store(placed.join(lengths.join(number, ["pivot", "node"]).join(largest, "pivot"), ["pivot", "node"])
+                   .withColumn("place", F.col("size") - F.col("shared") + F.col("place")).where("place <= large")
+                   .select("pivot", "element", "node", "comp", "size", (F.col("place") <= F.col("small")).alias("short"),
+                           (F.col("comp") != F.col("largest")).alias("rest")), "prefixes")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select("pivot", "element", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "comp", "size")])
+
+    ordered = "comp_x <> comp_y AND (size_x < size_y OR (size_x = size_y AND node_x < node_y))"
+    found = [side("x", prefix.where(x)).join(side("y", prefix.where(y)), ["pivot", "element"]).where(ordered)
+             for x, y in (("short AND rest", "true"), ("short AND NOT rest", "rest"))]
+    return (found[0].union(found[1]).groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+            .agg(F.min("pivot").alias("pivot")))
 
 
 def _confirmed_apart(pairs: DataFrame, apart: DataFrame) -> DataFrame:
