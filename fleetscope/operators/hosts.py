@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators.ordered import numbered
 
-LINES_PER_BLOCK = 1000
-
 
 def hosts_by_keys(hosts: DataFrame, keys: Sequence[int] | DataFrame) -> DataFrame:
     """Hosts in a key list or key table (column ``host_id``); an empty list selects all."""
@@ -50,16 +48,15 @@ def thread_groups(threads: DataFrame) -> DataFrame:
 
 
 def chart_config(charts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Charts in display order with their lines nested; a chart without lines keeps an empty list.
-
-    Lines are nested in blocks of :data:`LINES_PER_BLOCK`, so no chart can grow a list past
-    that; a usual chart has one block.
-    """
-    block = F.floor((F.col("line_no") - 1) / LINES_PER_BLOCK).cast("bigint")
-    nested = (numbered(lines, ["chart_id"], ["line_id"], "line_no")
-              .groupBy("chart_id", block.alias("block"))
-              .agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "line_name"))).alias("lines")))
-    return (charts.where("is_deleted = 0").join(nested, "chart_id", "left")
-            .select("chart_id", "chart_title", "weight", F.coalesce("block", F.lit(0)).alias("block"),
-                    F.coalesce("lines", F.array()).alias("lines"))
-            .orderBy("weight", "chart_id", "block"))
+    """Charts in display order, a row for each line with its position; a chart without lines has one row."""
+    placed = numbered(lines, ["chart_id"], ["line_id"], "line_no")
+    return (charts.where("is_deleted = 0").join(placed, "chart_id", "left")
+            .select("chart_id", "chart_title", "weight", "line_no", "line_id", "line_name")
+            .orderBy("weight", "chart_id", "line_no"))
+
+
+def chart_nested(config: DataFrame) -> DataFrame:
+    """One row a chart with its lines in a list, for charts of a page: the list is as long as the chart."""
+    line = F.when(F.col("line_no").isNotNull(), F.struct("line_no", "line_id", "line_name"))
+    return (config.groupBy("chart_id", "chart_title", "weight").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+            .orderBy("weight", "chart_id"))

@@ -139,9 +139,9 @@ def query_tables(queries: DataFrame, tables: DataFrame, statistics: DataFrame) -
     used = (queries.select("host_id", F.explode(sql_tables("sql_text", "default_db")).alias("full_name"))
             .groupBy("host_id", "full_name").agg(F.count("*").alias("queries")))
     name = F.lower(F.concat_ws(".", "table_schema", "table_name"))
-    sizes = tables.select(name.alias("full_name"), "engine", "table_rows",
+    sizes = tables.select("host_id", name.alias("full_name"), "engine", "table_rows",
                           (F.coalesce("data_length", F.lit(0)) + F.coalesce("index_length", F.lit(0))).alias("total_size"))
-    indexes = (statistics.where("seq_in_index = 1").groupBy(name.alias("full_name"))
+    indexes = (statistics.where("seq_in_index = 1").groupBy("host_id", name.alias("full_name"))
                .agg(F.count("*").alias("indexes")))
-    return used.join(sizes, "full_name").join(indexes, "full_name", "left").withColumn(
+    return used.join(sizes, ["host_id", "full_name"]).join(indexes, ["host_id", "full_name"], "left").withColumn(
         "indexes", F.coalesce("indexes", F.lit(0)))

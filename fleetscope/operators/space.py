@@ -18,6 +18,10 @@ TABLE_ORDER = {1: "table_rows", 2: "data_length", 3: "index_length", 4: "total_s
                7: "auto_increment"}
 
 
+# A table of a server: fleets have the same schemas and tables on many servers.
+CATALOG_TABLE = ["host_id", "table_schema", "table_name"]
+
+
 def catalog_scan(tables: DataFrame) -> DataFrame:
     """User tables only; missing sizes become 0; total and full name added."""
     sizes = {c: F.coalesce(c, F.lit(0)) for c in ("data_length", "index_length", "auto_increment")}
@@ -106,7 +110,7 @@ def fragmented_top(space: DataFrame, k: int) -> DataFrame:
 
 def no_primary_key(tables: DataFrame, statistics: DataFrame) -> DataFrame:
     """Tables without a primary key, with another engine, or with a FULLTEXT or SPATIAL index."""
-    facts = statistics.groupBy("table_schema", "table_name").agg(
+    facts = statistics.groupBy(*CATALOG_TABLE).agg(
         F.max((F.col("index_name") == "PRIMARY").cast("int")).alias("has_pk"),
         F.max((F.col("index_type") == "FULLTEXT").cast("int")).alias("ft"),
         F.max((F.col("index_type") == "SPATIAL").cast("int")).alias("gis"))
@@ -115,9 +119,9 @@ def no_primary_key(tables: DataFrame, statistics: DataFrame) -> DataFrame:
         return F.when(condition, F.lit(text)).otherwise(F.lit(""))
 
     return (tables.where(~F.col("table_schema").isin(SYSTEM_SCHEMAS))
-            .select("table_schema", "table_name", "engine").distinct()
-            .join(facts, ["table_schema", "table_name"], "left")
-            .select("table_schema", "table_name", "engine",
+            .select(*CATALOG_TABLE, "engine").distinct()
+            .join(facts, CATALOG_TABLE, "left")
+            .select(*CATALOG_TABLE, "engine",
                     mark(F.coalesce("has_pk", F.lit(0)) == 0, "NOPK").alias("nopk"),
                     mark(F.col("ft") == 1, "FULLTEXT").alias("ftidx"), mark(F.col("gis") == 1, "SPATIAL").alias("gisidx"))
             .where("engine <> 'InnoDB' OR nopk <> '' OR ftidx <> '' OR gisidx <> ''"))
@@ -125,7 +129,7 @@ def no_primary_key(tables: DataFrame, statistics: DataFrame) -> DataFrame:
 
 def _index_columns(statistics: DataFrame) -> DataFrame:
     # An index has at most 16 columns, so its list is small however large the catalog is.
-    return (statistics.groupBy("table_schema", "table_name", "index_name", "non_unique", "index_type")
+    return (statistics.groupBy(*CATALOG_TABLE, "index_name", "non_unique", "index_type")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq_in_index", "column_name"))),
                              lambda x: x["column_name"]).alias("cols")))
 
@@ -137,7 +141,7 @@ def duplicate_indexes(statistics: DataFrame) -> DataFrame:
     a duplicate of an equal unique one. Each index is expanded to its prefixes (at most
     16 rows) and these are aggregated, so indexes are never paired with each other.
     """
-    table = ["table_schema", "table_name", "index_type"]
+    table = [*CATALOG_TABLE, "index_type"]
     indexes = _index_columns(statistics).select(
         *table, "index_name", "non_unique", "cols", F.array_join("cols", ",").alias("columns"),
         F.when(F.col("index_name") == "PRIMARY", F.lit("")).otherwise(F.col("index_name")).alias("place"))
@@ -153,18 +157,17 @@ def duplicate_indexes(statistics: DataFrame) -> DataFrame:
     covered = F.when(F.col("non_unique") == 0, earlier_unique).otherwise(
         F.coalesce("longer", F.when(F.col("equal_unique") != F.col("place"), F.col("equal_unique")), earlier_equal))
     return (indexes.join(cover, [*table, "columns"]).withColumn("by", covered).where("by IS NOT NULL")
-            .select("table_schema", "table_name", "index_name", "columns",
+            .select(*CATALOG_TABLE, "index_name", "columns",
                     F.when(F.col("by") == "", F.lit("PRIMARY")).otherwise(F.col("by")).alias("covered_by")))
 
 
 def table_detail(tables: DataFrame, statistics: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables with their indexes and columns nested.
 
-    Both lists are bounded by the server (64 indexes of 16 columns, 4096 columns per table).
+    Both lists are bounded by the server (64 indexes of 16 columns, 4096 columns per table of a server).
     """
-    key = ["table_schema", "table_name"]
-    index_infos = statistics.groupBy(*key).agg(F.array_sort(F.collect_list(
+    index_infos = statistics.groupBy(*CATALOG_TABLE).agg(F.array_sort(F.collect_list(
         F.struct("index_name", "seq_in_index", "column_name", "non_unique"))).alias("index_infos"))
-    column_infos = columns.groupBy(*key).agg(F.array_sort(F.collect_list(
+    column_infos = columns.groupBy(*CATALOG_TABLE).agg(F.array_sort(F.collect_list(
         F.struct("ordinal_position", "column_name", "column_type", "column_key"))).alias("column_infos"))
-    return tables.join(index_infos, key, "left").join(column_infos, key, "left")
+    return tables.join(index_infos, CATALOG_TABLE, "left").join(column_infos, CATALOG_TABLE, "left")

@@ -240,9 +240,15 @@ MASTER_POSITIONS = [
     "host_id", "poll_id", "ts", "'bin.' || CAST(1 + questions % 3 AS STRING) AS log_file", "questions * 100 AS log_pos",
 ]
 
+# Ten servers whose schemas and tables have the same names.
+CATALOG_NUMBER = "CAST(floor(p_partkey / 10) AS BIGINT)"
+CATALOG_KEY = [
+    "p_partkey % 10 AS host_id",
+    f"CASE WHEN {CATALOG_NUMBER} % 10 = 9 THEN 'mysql' ELSE 'db' || CAST({CATALOG_NUMBER} % 3 AS STRING) END AS table_schema",
+    f"'t' || CAST({CATALOG_NUMBER} AS STRING) AS table_name",
+]
 CATALOG_TABLES = [
-    "CASE WHEN p_partkey % 10 = 9 THEN 'mysql' ELSE 'db' || CAST(p_partkey % 3 AS STRING) END AS table_schema",
-    "'t' || CAST(p_partkey AS STRING) AS table_name", "CASE WHEN p_size % 11 = 0 THEN 'MyISAM' ELSE 'InnoDB' END AS engine",
+    *CATALOG_KEY, "CASE WHEN p_size % 11 = 0 THEN 'MyISAM' ELSE 'InnoDB' END AS engine",
     "CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 65536 END AS data_length",
     "CAST(p_size AS BIGINT) * 4096 AS index_length", "CAST(p_size AS BIGINT) * 10 AS table_rows",
     "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_partkey * 3 END AS auto_increment",
@@ -258,16 +264,14 @@ STATISTICS_FILTER = (
     " AND NOT (index_name = 'idx_c2' AND p_size % 3 = 0) AND NOT (index_name = 'ft_d' AND p_size % 8 <> 0)"
 )
 STATISTICS = [
-    "CASE WHEN p_partkey % 10 = 9 THEN 'mysql' ELSE 'db' || CAST(p_partkey % 3 AS STRING) END AS table_schema",
-    "'t' || CAST(p_partkey AS STRING) AS table_name", "index_name", "non_unique", "seq_in_index", "column_name", "index_type",
+    *CATALOG_KEY, "index_name", "non_unique", "seq_in_index", "column_name", "index_type",
 ]
 
 COLUMN_ROWS = [("id", 1, "bigint", "PRI"), ("a", 2, "int", "MUL"), ("b", 3, "int", ""), ("c", 4, "varchar(20)", "MUL"),
                ("d", 5, "text", "")]
 COLUMNS_FILTER = "NOT (column_name = 'd' AND p_size % 8 <> 0)"
 CATALOG_COLUMNS = [
-    "CASE WHEN p_partkey % 10 = 9 THEN 'mysql' ELSE 'db' || CAST(p_partkey % 3 AS STRING) END AS table_schema",
-    "'t' || CAST(p_partkey AS STRING) AS table_name", "column_name", "ordinal_position", "column_type", "column_key",
+    *CATALOG_KEY, "column_name", "ordinal_position", "column_type", "column_key",
 ]
 
 OS_LINES = [

@@ -39,7 +39,16 @@ def _expected(i):
     return R.topology(i.host_infos, i.slave_hosts, i.slave_status).select("host_id", F.col("master_host_id").alias("expected_master"))
 
 
-SIDE = ", ".join(f"{a}.lock_{c} AS {n}_lock_{c}" for a, n in (("lr", "waiting"), ("lb", "blocking")) for c in ("mode", "type", "table", "index"))
+LOCK_FIELDS = ("mode", "type", "table", "index")
+# A transaction with each lock it holds or asks for; the two ends of a wait are two readings of it.
+HOLDINGS = {"holding": "SELECT * FROM innodb_trx JOIN innodb_locks ON lock_trx_id = trx_id"}
+
+
+def _end(name: str, alias: str) -> str:
+    fields = {"trx_id": "trx_id", "thread": "trx_mysql_thread_id", "state": "trx_state", "query": "trx_query",
+              **{f"lock_{f}": f"lock_{f}" for f in LOCK_FIELDS}}
+    return ", ".join(f"{alias}.{c} AS {name}_{n}" for n, c in fields.items())
+
 
 ENTRIES = {
     "topology": Entry(lambda i: R.topology(i.host_infos, i.slave_hosts, i.slave_status), with_views("SELECT * FROM topo", TOPOLOGY)),
@@ -64,10 +73,8 @@ ENTRIES = {
                          with_views("SELECT host_id, CAST(sum(file_size) AS BIGINT) AS binlog_size_total FROM master_logs GROUP BY host_id")),
     "lock_waits": Entry(
         lambda i: R.lock_waits(i.innodb_trx, i.innodb_locks, i.innodb_lock_waits),
-        with_views("SELECT r.trx_isolation_level, r.trx_id AS waiting_trx_id, r.trx_mysql_thread_id AS waiting_thread, r.trx_state AS waiting_state, r.trx_query AS waiting_query,"
-                   " b.trx_id AS blocking_trx_id, b.trx_mysql_thread_id AS blocking_thread, b.trx_state AS blocking_state, b.trx_query AS blocking_query,"
-                   f" {SIDE} FROM innodb_lock_waits w JOIN innodb_trx b ON b.trx_id = w.blocking_trx_id JOIN innodb_trx r ON r.trx_id = w.requesting_trx_id"
-                   " JOIN innodb_locks lb ON lb.lock_trx_id = w.blocking_trx_id JOIN innodb_locks lr ON lr.lock_trx_id = w.requesting_trx_id")),
+        with_views(f"SELECT x.trx_isolation_level, {_end('waiting', 'x')}, {_end('blocking', 'y')} FROM holding x"
+                   " JOIN innodb_lock_waits w ON w.requesting_trx_id = x.trx_id JOIN holding y ON y.trx_id = w.blocking_trx_id", HOLDINGS)),
     "lock_chains": Entry(
         lambda i: R.lock_chains(i.innodb_lock_waits),
         with_views("SELECT c.requesting_trx_id, c.blocking_trx_id, c.root AS root_trx_id, c.depth, 0 AS in_cycle, n.root_waiters FROM ends c"

@@ -112,9 +112,9 @@ ENTRIES = {
         lambda i: S.query_tables(i.query_log, i.catalog_tables, i.catalog_statistics),
         with_views("SELECT u.*, c.engine, c.table_rows, coalesce(c.data_length, 0) + coalesce(c.index_length, 0) AS total_size, coalesce(x.indexes, 0) AS indexes"
                    " FROM (SELECT host_id, full_name, count(*) AS queries FROM names GROUP BY host_id, full_name) u"
-                   " JOIN catalog_tables c ON u.full_name = lower(c.table_schema || '.' || c.table_name)"
-                   " LEFT JOIN (SELECT lower(table_schema || '.' || table_name) AS full_name, count(DISTINCT index_name) AS indexes FROM catalog_statistics GROUP BY 1) x"
-                   " ON u.full_name = x.full_name", TABLES)),
+                   " JOIN catalog_tables c ON u.host_id = c.host_id AND u.full_name = lower(c.table_schema || '.' || c.table_name)"
+                   " LEFT JOIN (SELECT host_id, lower(table_schema || '.' || table_name) AS full_name, count(DISTINCT index_name) AS indexes FROM catalog_statistics GROUP BY 1, 2) x"
+                   " ON u.host_id = x.host_id AND u.full_name = x.full_name", TABLES)),
     "human_count": Entry(
         lambda i: i.slow_history.select("ts_cnt", "rows_examined_sum").groupBy("rows_examined_sum").agg(F.sum("ts_cnt").alias("n"))
         .select("rows_examined_sum", fmt.human_count("n").alias("shown")),

@@ -41,37 +41,31 @@ HUMAN_SHORT = ("CASE WHEN n <= 1024 THEN CAST(n AS STRING) || 'KB' WHEN floor(n
                " THEN CAST(CAST(floor(floor(n / 1024 + 0.5) / 1024 + 0.5) AS BIGINT) AS STRING) || 'M'"
                " ELSE CAST(CAST(floor(n / 1024 + 0.5) AS BIGINT) AS STRING) || 'K' END")
 # Sizes spread over every unit, from zero bytes to beyond the largest one.
-SPREAD = "data_length * (auto_increment % 3) * CAST(pow(8, index_length % 12) AS BIGINT)"
+SPREAD = "data_length % 1000003 * (auto_increment % 3) * CAST(pow(8, index_length % 12) AS BIGINT)"
 
 DUPLICATES = {
-    "idx": "SELECT table_schema, table_name, index_type, index_name, non_unique, string_agg(column_name, ',' ORDER BY seq_in_index) AS columns,"
+    "idx": "SELECT host_id, table_schema, table_name, index_type, index_name, non_unique, string_agg(column_name, ',' ORDER BY seq_in_index) AS columns,"
            " CASE WHEN index_name = 'PRIMARY' THEN '' ELSE index_name END AS place FROM catalog_statistics GROUP BY ALL",
-    "pairs": "SELECT a.table_schema, a.table_name, a.index_name, a.columns, a.non_unique, b.place AS by_place,"
+    "pairs": "SELECT a.host_id, a.table_schema, a.table_name, a.index_name, a.columns, a.non_unique, b.place AS by_place,"
              " CASE WHEN b.columns <> a.columns THEN 1 WHEN b.non_unique = 0 THEN 2 ELSE 3 END AS kind FROM idx a JOIN idx b"
-             " ON a.table_schema = b.table_schema AND a.table_name = b.table_name AND a.index_type = b.index_type AND a.index_name <> b.index_name"
+             " ON a.host_id = b.host_id AND a.table_schema = b.table_schema AND a.table_name = b.table_name AND a.index_type = b.index_type AND a.index_name <> b.index_name"
              " AND ((a.non_unique = 1 AND starts_with(b.columns, a.columns || ',')) OR (a.non_unique = 1 AND b.columns = a.columns AND (b.non_unique = 0 OR b.place < a.place))"
              " OR (a.non_unique = 0 AND b.non_unique = 0 AND b.columns = a.columns AND b.place < a.place))",
 }
 
 
 def _detail(i):
-    d = P.table_detail(i.catalog_tables.select("table_schema", "table_name", "engine"), i.catalog_statistics, i.catalog_columns)
+    d = P.table_detail(i.catalog_tables.select("host_id", "table_schema", "table_name", "engine"), i.catalog_statistics, i.catalog_columns)
     return d.select(
-        "table_schema", "table_name", "engine",
+        "host_id", "table_schema", "table_name", "engine",
         F.array_join(F.transform("index_infos", lambda x: F.concat_ws(":", x["index_name"], x["seq_in_index"], x["column_name"])), ",").alias("index_infos"),
         F.array_join(F.transform("column_infos", lambda x: F.concat_ws(":", x["column_name"], x["column_type"])), ",").alias("column_infos"))
 
 
-def _charts(i):
-    c = H.chart_config(i.charts, i.chart_lines)
-    return c.select("chart_id", "chart_title", "weight", F.array_join(
-        F.transform("lines", lambda x: F.concat_ws(":", x["line_id"], x["line_name"])), ",").alias("lines"))
-
-
 ENTRIES = {
     "catalog_scan": Entry(
         lambda i: P.catalog_scan(i.catalog_tables),
-        with_views("SELECT table_schema, table_name, engine, coalesce(data_length, 0) AS data_length, coalesce(index_length, 0) AS index_length, table_rows,"
+        with_views("SELECT host_id, table_schema, table_name, engine, coalesce(data_length, 0) AS data_length, coalesce(index_length, 0) AS index_length, table_rows,"
                    " coalesce(auto_increment, 0) AS auto_increment, coalesce(data_length, 0) + coalesce(index_length, 0) AS total_size,"
                    f" table_schema || '.' || table_name AS full_name FROM catalog_tables WHERE table_schema NOT IN ({SYSTEM})")),
     "file_size_parse": Entry(lambda i: P.file_size_parse(i.file_sizes), with_views("SELECT * FROM files", SPACE)),
@@ -97,22 +91,22 @@ ENTRIES = {
         with_views("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY host_id, snap_date ORDER BY free_size DESC, db_name, table_name) AS rn FROM space) x WHERE rn <= 3", SPACE)),
     "no_primary_key": Entry(
         lambda i: P.no_primary_key(i.catalog_tables, i.catalog_statistics),
-        with_views("SELECT DISTINCT t.table_schema, t.table_name, t.engine, CASE WHEN p.table_name IS NULL THEN 'NOPK' ELSE '' END AS nopk,"
+        with_views("SELECT DISTINCT t.host_id, t.table_schema, t.table_name, t.engine, CASE WHEN p.table_name IS NULL THEN 'NOPK' ELSE '' END AS nopk,"
                    " CASE WHEN f.table_name IS NULL THEN '' ELSE 'FULLTEXT' END AS ftidx, '' AS gisidx FROM catalog_tables t"
-                   " LEFT JOIN catalog_statistics p ON t.table_schema = p.table_schema AND t.table_name = p.table_name AND p.index_name = 'PRIMARY'"
-                   " LEFT JOIN catalog_statistics f ON t.table_schema = f.table_schema AND t.table_name = f.table_name AND f.index_type = 'FULLTEXT'"
+                   " LEFT JOIN catalog_statistics p ON t.host_id = p.host_id AND t.table_schema = p.table_schema AND t.table_name = p.table_name AND p.index_name = 'PRIMARY'"
+                   " LEFT JOIN catalog_statistics f ON t.host_id = f.host_id AND t.table_schema = f.table_schema AND t.table_name = f.table_name AND f.index_type = 'FULLTEXT'"
                    f" WHERE t.table_schema NOT IN ({SYSTEM}) AND (t.engine <> 'InnoDB' OR p.table_name IS NULL OR f.table_name IS NOT NULL)")),
     "duplicate_indexes": Entry(
         lambda i: P.duplicate_indexes(i.catalog_statistics),
-        with_views("SELECT table_schema, table_name, index_name, columns, CASE WHEN by_place = '' THEN 'PRIMARY' ELSE by_place END AS covered_by FROM"
-                   " (SELECT *, row_number() OVER (PARTITION BY table_schema, table_name, index_name ORDER BY kind, by_place) AS rn FROM pairs) x WHERE rn = 1", DUPLICATES)),
+        with_views("SELECT host_id, table_schema, table_name, index_name, columns, CASE WHEN by_place = '' THEN 'PRIMARY' ELSE by_place END AS covered_by FROM"
+                   " (SELECT *, row_number() OVER (PARTITION BY host_id, table_schema, table_name, index_name ORDER BY kind, by_place) AS rn FROM pairs) x WHERE rn = 1", DUPLICATES)),
     "table_detail": Entry(
         _detail,
-        with_views("SELECT t.table_schema, t.table_name, t.engine, i.index_infos, c.column_infos FROM catalog_tables t"
-                   " LEFT JOIN (SELECT table_schema, table_name, string_agg(index_name || ':' || seq_in_index || ':' || column_name, ',' ORDER BY index_name, seq_in_index) AS index_infos"
-                   " FROM catalog_statistics GROUP BY table_schema, table_name) i ON t.table_schema = i.table_schema AND t.table_name = i.table_name"
-                   " LEFT JOIN (SELECT table_schema, table_name, string_agg(column_name || ':' || column_type, ',' ORDER BY ordinal_position) AS column_infos"
-                   " FROM catalog_columns GROUP BY table_schema, table_name) c ON t.table_schema = c.table_schema AND t.table_name = c.table_name")),
+        with_views("SELECT t.host_id, t.table_schema, t.table_name, t.engine, i.index_infos, c.column_infos FROM catalog_tables t"
+                   " LEFT JOIN (SELECT host_id, table_schema, table_name, string_agg(index_name || ':' || seq_in_index || ':' || column_name, ',' ORDER BY index_name, seq_in_index) AS index_infos"
+                   " FROM catalog_statistics GROUP BY host_id, table_schema, table_name) i ON t.host_id = i.host_id AND t.table_schema = i.table_schema AND t.table_name = i.table_name"
+                   " LEFT JOIN (SELECT host_id, table_schema, table_name, string_agg(column_name || ':' || column_type, ',' ORDER BY ordinal_position) AS column_infos"
+                   " FROM catalog_columns GROUP BY host_id, table_schema, table_name) c ON t.host_id = c.host_id AND t.table_schema = c.table_schema AND t.table_name = c.table_name")),
     "human_bytes": Entry(
         lambda i: i.table_sizes.selectExpr("host_id", "db_name", "table_name", "snap_date", f"{SPREAD} AS n").withColumn("shown", fmt.human_bytes("n")),
         with_views(f"SELECT *, {HUMAN} AS shown FROM (SELECT host_id, db_name, table_name, snap_date, {SPREAD} AS n FROM table_sizes) x")),
@@ -139,8 +133,8 @@ ENTRIES = {
     "thread_groups": Entry(lambda i: H.thread_groups(i.processlist),
                            with_views("SELECT user_name, command, state, info, count(*) AS threads FROM processlist GROUP BY ALL")),
     "chart_config": Entry(
-        _charts,
-        with_views("SELECT c.chart_id, c.chart_title, c.weight, coalesce(l.lines, '') AS lines FROM charts c LEFT JOIN"
-                   " (SELECT chart_id, string_agg(line_id || ':' || line_name, ',' ORDER BY line_id) AS lines FROM chart_lines GROUP BY chart_id) l"
+        lambda i: H.chart_config(i.charts, i.chart_lines),
+        with_views("SELECT c.chart_id, c.chart_title, c.weight, l.line_no, l.line_id, l.line_name FROM charts c LEFT JOIN"
+                   " (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY line_id) AS line_no FROM chart_lines) l"
                    " ON c.chart_id = l.chart_id WHERE c.is_deleted = 0")),
 }

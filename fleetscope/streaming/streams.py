@@ -142,6 +142,13 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table as a stream, be it a file or a folder of files."""
+    """A given table as a stream, be it a file or a folder of files.
+
+    A stream reads folders, so a single file is read as the only match in its folder.
+    """
     path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)

@@ -1,5 +1,7 @@
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from fleetscope.functions.format import none_to_null
 from fleetscope.operators import hosts as H
 from fleetscope.operators import space as P
@@ -28,11 +30,11 @@ def test_table_page_filters_by_name(spark):
     assert [r.host_id for r in P.hosts_by_space(P.daily_space_report(P.space_totals(df)), 1).collect()] == [1, 2]
 
 
-STATS = "table_schema STRING, table_name STRING, index_name STRING, non_unique INT, seq_in_index INT, column_name STRING, index_type STRING"
+STATS = "host_id BIGINT, table_schema STRING, table_name STRING, index_name STRING, non_unique INT, seq_in_index INT, column_name STRING, index_type STRING"
 
 
 def _stats(spark, **indexes):
-    rows = [("s", "t", name, int(not name.startswith(("PRIMARY", "u_"))), n, c, "BTREE")
+    rows = [(1, "s", "t", name, int(not name.startswith(("PRIMARY", "u_"))), n, c, "BTREE")
             for name, columns in indexes.items() for n, c in enumerate(columns, 1)]
     return spark.createDataFrame(rows, STATS)
 
@@ -45,11 +47,11 @@ def test_duplicate_indexes(spark):
 
 
 def test_no_primary_key_keeps_one_row_per_table(spark):
-    tables = spark.createDataFrame([("s", "t", "InnoDB"), ("s", "m", "MyISAM"), ("s", "ok", "InnoDB"), ("mysql", "x", "InnoDB")],
-                                   "table_schema STRING, table_name STRING, engine STRING")
-    stats = spark.createDataFrame([("s", "t", "ft", 1, 1, "a", "FULLTEXT"), ("s", "t", "ft2", 1, 1, "b", "FULLTEXT"),
-                                   ("s", "m", "PRIMARY", 0, 1, "i", "BTREE"), ("s", "ok", "PRIMARY", 0, 1, "i", "BTREE"),
-                                   ("s", "ok", "PRIMARY", 0, 2, "j", "BTREE")], STATS)
+    tables = spark.createDataFrame([(1, "s", "t", "InnoDB"), (1, "s", "m", "MyISAM"), (1, "s", "ok", "InnoDB"), (1, "mysql", "x", "InnoDB")],
+                                   "host_id BIGINT, table_schema STRING, table_name STRING, engine STRING")
+    stats = spark.createDataFrame([(1, "s", "t", "ft", 1, 1, "a", "FULLTEXT"), (1, "s", "t", "ft2", 1, 1, "b", "FULLTEXT"),
+                                   (1, "s", "m", "PRIMARY", 0, 1, "i", "BTREE"), (1, "s", "ok", "PRIMARY", 0, 1, "i", "BTREE"),
+                                   (1, "s", "ok", "PRIMARY", 0, 2, "j", "BTREE")], STATS)
     got = {r.table_name: (r.nopk, r.ftidx) for r in P.no_primary_key(tables, stats).collect()}
     assert got == {"t": ("NOPK", "FULLTEXT"), "m": ("", "")}
 
@@ -93,5 +95,17 @@ def test_null_info_is_not_active(spark):
 def test_long_charts_nest_in_blocks(spark):
     charts = spark.createDataFrame([(1, "a", 2, 0), (2, "b", 1, 0), (3, "c", 0, 1)], "chart_id BIGINT, chart_title STRING, weight INT, is_deleted INT")
     lines = spark.range(2500).selectExpr("1L AS chart_id", "id AS line_id", "'n' AS line_name")
-    got = [(r.chart_id, r.block, len(r.lines)) for r in H.chart_config(charts, lines).collect()]
-    assert got == [(2, 0, 0), (1, 0, 1000), (1, 1, 1000), (1, 2, 500)]
+    config = H.chart_config(charts, lines)
+    assert [(r.chart_id, r.line_no) for r in config.collect()] == [(2, None), *[(1, n) for n in range(1, 2501)]]
+    assert [(r.chart_id, len(r.lines)) for r in H.chart_nested(config).collect()] == [(2, 0), (1, 2500)]
+
+
+def test_a_second_server_changes_nothing_of_the_first(spark, sf_dir):
+    from fleetscope.plans.inputs import Inputs
+
+    i = Inputs(spark, sf_dir)
+    one = [t.where("host_id = 1") for t in (i.catalog_tables, i.catalog_statistics, i.catalog_columns)]
+    both = [t.union(t.withColumn("host_id", F.lit(77).cast("bigint"))) for t in one]
+    for run in (lambda t, s, c: P.no_primary_key(t, s), lambda t, s, c: P.duplicate_indexes(s), P.table_detail):
+        want, got = run(*one), run(*both).where("host_id = 1")
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0

@@ -87,3 +87,14 @@ def test_sync_is_idempotent_and_keeps_its_position(spark, tmp_path, sf_dir):
     assert synced.select(want.columns).exceptAll(want).count() == 0
     last = events.where("schema_name = 'db1'").groupBy("master_host_id").agg(F.max("log_pos").alias("p"))
     assert {(r.master_host_id, r.log_pos) for r in streams.sync_position(spark, target).collect()} == {(r.master_host_id, r.p) for r in last.collect()}
+
+
+def test_table_stream_reads_a_file_and_a_folder_of_files(spark, tmp_path, sf_dir):
+    spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    counts = []
+    for n, source in enumerate((sf_dir, str(tmp_path))):
+        out = str(tmp_path / f"out{n}")
+        stream = streams.table_stream(spark, source, "orders").select("o_orderkey")
+        streams.start(stream, "append", streams.batch_sink(out), str(tmp_path / f"check{n}"), {"availableNow": True}).awaitTermination()
+        counts.append(spark.read.parquet(out).count())
+    assert counts[0] == counts[1] > 0
