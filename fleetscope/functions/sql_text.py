@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 # list of any length is matched in a loop and cannot overflow the matcher's stack.
 STRING = r"'(?:[^'\\]++|\\[\s\S]|'')*+'"
 DOUBLE_QUOTED = r'"(?:[^"\\]++|\\[\s\S])*+"'
-NUMBER = r"\b[0-9]+(?:\.[0-9]+)?\b"
+NUMBER = r"\b0x[0-9a-f]+\b|\b[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?\b"
+BITS = r"\b[xb]'[0-9a-f]*'"
+COMMENT = r"/\*(?:[^*]|\*+[^*/])*\*+/|--[ \t][^\n]*|#[^\n]*"
 # One pattern, so that whichever literal starts first wins and quotes inside the other kind are text.
 QUOTED = f"{STRING}|{DOUBLE_QUOTED}"
-LITERAL = f"{QUOTED}|{NUMBER}"
+LITERAL = f"{BITS}|{QUOTED}|{NUMBER}"
+# Quoted text is kept as it is, so that a comment sign inside it starts nothing.
+QUOTED_OR_COMMENT = f"({QUOTED})|{COMMENT}"
+SIGNED = r"([=(,<>] ?)[-+] ?\?"
 VALUE_LIST = r"\( ?\?(?: ?, ?\?)*+ ?\)"
-FINGERPRINT_RULES = ((LITERAL, "?"), (r"\s+", " "), (VALUE_LIST, "(?+)"))
+FINGERPRINT_RULES = ((QUOTED_OR_COMMENT, "$1"), (LITERAL, "?"), (r"\s+", " "), (SIGNED, "$1?"), (VALUE_LIST, "(?+)"))
 TABLE_LIST = r"\b(?:FROM|JOIN|UPDATE|INTO)\s+((?:[\w`.$]++(?:\s+(?:AS\s+)?\w+)?\s*,\s*)*+[\w`.$]+)"
 
 
@@ -23,7 +28,7 @@ def _col(c: str | Column) -> Column:
 
 
 def sql_fingerprint(text: str | Column) -> Column:
-    """Lower case, literals as ``?``, value lists as ``(?+)``, single spaces."""
+    """Lower case without comments, literals and their signs as ``?``, value lists as ``(?+)``, single spaces."""
     out = F.lower(_col(text))
     for pattern, new in FINGERPRINT_RULES:
         out = F.regexp_replace(out, pattern, new)

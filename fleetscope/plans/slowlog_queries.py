@@ -19,6 +19,7 @@ def _quote(pattern: str) -> str:
 
 FP = "lower(sql_text)"
 for _pattern, _new in X.FINGERPRINT_RULES:
+    _new = _new.replace("$", "\\")
     FP = f"regexp_replace({FP}, {_quote(_pattern)}, '{_new}', 'g')"
 PRINTED = {"fp": f"SELECT *, trim({FP}) AS fingerprint, substr(md5(trim({FP})), 17, 16) AS checksum FROM query_log"}
 
