@@ -83,7 +83,8 @@ DIGEST_MEASURES = ["query_time", "lock_time", "rows_sent", "rows_examined"]
 def fingerprint_digest(queries: DataFrame) -> DataFrame:
     """Statements to one row per fingerprint: counts, sums, extremes, 95th percentile, a sample."""
     printed = with_fingerprint(queries)
-    aggs = [F.max("fingerprint").alias("fingerprint"), F.count("*").alias("ts_cnt"),
+    # The text is a key beside its checksum: as a maximum it would be an aggregate that Spark sorts for.
+    aggs = [F.count("*").alias("ts_cnt"),
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
             F.max("default_db").alias("db_max"), F.max("user_name").alias("user_max"), F.max("host_id").alias("serverid_max"),
             F.max_by("sql_text", F.struct("query_time", F.negate("query_id"))).alias("sample")]
@@ -92,13 +93,13 @@ def fingerprint_digest(queries: DataFrame) -> DataFrame:
                  F.max(m).cast("double").alias(f"{m}_max")]
     tails = nearest_rank(printed, ["checksum"], DIGEST_MEASURES, 95, "_pct_95")
     tails = tails.select("checksum", *[F.col(f"{m}_pct_95").cast("double").alias(f"{m}_pct_95") for m in DIGEST_MEASURES])
-    return printed.groupBy("checksum").agg(*aggs).join(tails, "checksum")
+    return printed.groupBy("checksum", "fingerprint").agg(*aggs).join(tails, "checksum")
 
 
 def general_digest(queries: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Fingerprints with first and last seen, count and whether ``reviewed`` lists the checksum."""
-    digests = with_fingerprint(queries).groupBy("checksum").agg(
-        F.max("fingerprint").alias("fingerprint"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+    digests = with_fingerprint(queries).groupBy("checksum", "fingerprint").agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.count("*").alias("ts_cnt"))
     marks = reviewed.select("checksum").distinct().withColumn("is_reviewed", F.lit(1))
     return digests.join(marks, "checksum", "left").withColumn("is_reviewed", F.coalesce("is_reviewed", F.lit(0)))

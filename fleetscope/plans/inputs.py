@@ -162,6 +162,7 @@ INNODB_LOCKS_SECOND = [
     "'t' || CAST(event_id % 5 AS STRING) AS lock_table", "'idx_a' AS lock_index",
 ]
 INNODB_LOCK_WAITS = ["event_id AS requesting_trx_id", "event_id - 1 - event_id % 3 AS blocking_trx_id"]
+# Only some transactions wait: the fixture is a wait graph, not all pairs of neighbours.
 LOCK_WAIT_ROWS = "event_type = 'error' AND event_id > 3"
 
 QUERY_LOG = [
@@ -328,6 +329,7 @@ class Inputs:
 
     @cached_property
     def slave_hosts(self) -> DataFrame:
+        # The first servers have no replica rows, so the topology has hosts without a known role.
         return self.table("supplier").where("s_suppkey >= 4").selectExpr(*SLAVE_HOSTS)
 
     @cached_property
@@ -385,6 +387,7 @@ class Inputs:
 
     @cached_property
     def file_sizes(self) -> DataFrame:
+        # One table has no file, so that the join with the sizes has rows without a match.
         return self.table_sizes.where("table_name <> 't4'").selectExpr(*FILE_SIZES)
 
     @cached_property
@@ -429,6 +432,7 @@ class Inputs:
         days = (self.table("events")
                 .selectExpr("user_id % 10 AS host_id", "CAST(ts AS DATE) AS d").distinct()
                 .selectExpr("*", "CAST(day(d) AS BIGINT) AS n"))
+        # Some days have no backup, which the audit must find.
         days = days.where("(n + host_id) % 9 <> 4")
         return numbered(days, ["host_id"], ["d"], "line_no").selectExpr(*BACKUP_LINE)
 
