@@ -87,10 +87,13 @@ def spin_ratios(status: DataFrame) -> DataFrame:
 
 
 def write_amplification(status: DataFrame) -> DataFrame:
-    """Pages per double-write call, page size in KB and uptime in whole days (at least 1)."""
-    return status.select(
+    """Pages per double-write call, both as changes too, page size in KB and uptime in whole days (at least 1)."""
+    calls = ["Innodb_dblwr_writes", "Innodb_dblwr_pages_written"]
+    d = counter_deltas(status.select("host_id", "poll_id", "ts", *calls, "Innodb_page_size", "Uptime"), calls)
+    return d.select(
         "host_id", "poll_id",
         zero_if_null(ratio2("Innodb_dblwr_pages_written", "Innodb_dblwr_writes")).alias("pages_per_dblwr"),
+        *[F.col(f"d_{c}").alias(c.removeprefix("Innodb_")) for c in calls],
         F.expr("Innodb_page_size div 1024").alias("page_size_kb"),
         F.expr("greatest(Uptime div 86400, 1L)").alias("uptime_days"))
 
@@ -98,7 +101,7 @@ def write_amplification(status: DataFrame) -> DataFrame:
 def semi_sync(status: DataFrame) -> DataFrame:
     """Semi-synchronous replication: flag, levels and the two wait-time deltas."""
     p = "Rpl_semi_sync_master_"
-    levels = ["clients", "net_waits", "tx_waits", "no_tx", "yes_tx"]
+    levels = ["clients", "net_waits", "net_avg_wait_time", "tx_waits", "tx_avg_wait_time", "no_tx", "yes_tx", "no_times", "wait_sessions"]
     times = ["net_wait_time", "tx_wait_time"]
     d = counter_deltas(status.select("host_id", "poll_id", "ts", *[p + n for n in levels + times]),
                        [p + n for n in times])

@@ -142,11 +142,12 @@ ENTRIES = {
         lambda i: C.write_amplification(_status(i, "Innodb_dblwr_", "Innodb_page_size", "Uptime")),
         with_views("SELECT host_id, poll_id, CASE WHEN Innodb_dblwr_writes = 0 THEN 0 ELSE"
                    " floor(CAST(Innodb_dblwr_pages_written AS DOUBLE) * 100 / CAST(Innodb_dblwr_writes AS DOUBLE) + 0.5) / 100 END AS pages_per_dblwr,"
+                   f" {_lag('Innodb_dblwr_writes')} AS dblwr_writes, {_lag('Innodb_dblwr_pages_written')} AS dblwr_pages_written,"
                    " Innodb_page_size // 1024 AS page_size_kb, greatest(Uptime // 86400, 1) AS uptime_days FROM st", {"st": PIVOT_SQL})),
     "semi_sync": Entry(
         lambda i: C.semi_sync(_status(i, "Rpl_semi_sync_", "Uptime")),
         with_views(f"SELECT host_id, poll_id, CASE WHEN {SEMI}clients IS NULL THEN 0 ELSE 1 END AS rpl_semi_sync, "
-                   + ", ".join(f"coalesce({SEMI}{n}, 0) AS {n}" for n in ("clients", "net_waits", "tx_waits", "no_tx", "yes_tx")) + ", "
+                   + ", ".join(f"coalesce({SEMI}{n}, 0) AS {n}" for n in ("clients", "net_waits", "net_avg_wait_time", "tx_waits", "tx_avg_wait_time", "no_tx", "yes_tx", "no_times", "wait_sessions")) + ", "
                    + ", ".join(f"{_lag(SEMI + n)} AS {n}" for n in ("net_wait_time", "tx_wait_time")) + " FROM st", {"st": PIVOT_SQL})),
     "latest_state": Entry(
         lambda i: C.latest_state(i.counter_samples),

@@ -73,6 +73,10 @@ STATUS_VALUES = {
     "Rpl_semi_sync_master_net_wait_time": "CASE WHEN host_id % 2 = 0 THEN com_commit * 13 END",
     "Rpl_semi_sync_master_tx_waits": "CASE WHEN host_id % 2 = 0 THEN com_insert END",
     "Rpl_semi_sync_master_tx_wait_time": "CASE WHEN host_id % 2 = 0 THEN com_insert * 17 END",
+    "Rpl_semi_sync_master_net_avg_wait_time": "CASE WHEN host_id % 2 = 0 THEN 13 END",
+    "Rpl_semi_sync_master_tx_avg_wait_time": "CASE WHEN host_id % 2 = 0 THEN 17 END",
+    "Rpl_semi_sync_master_no_times": "CASE WHEN host_id % 2 = 0 THEN com_rollback END",
+    "Rpl_semi_sync_master_wait_sessions": "CASE WHEN host_id % 2 = 0 THEN threads_running END",
     "Rpl_semi_sync_master_no_tx": "CASE WHEN host_id % 2 = 0 THEN com_delete END",
     "Rpl_semi_sync_master_yes_tx": "CASE WHEN host_id % 2 = 0 THEN com_update END",
 }
