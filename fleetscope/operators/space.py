@@ -91,6 +91,12 @@ def hosts_by_space(report: DataFrame, order_by: int = 6) -> DataFrame:
     return report.orderBy(F.col(HOST_ORDER.get(order_by, "free_total")).desc(), "host_id")
 
 
+def newest_day(space: DataFrame) -> DataFrame:
+    """The rows of each host's last day."""
+    last = space.groupBy("host_id").agg(F.max("snap_date").alias("snap_date"))
+    return space.join(last, ["host_id", "snap_date"], "left_semi")
+
+
 def tables_by_space(space: DataFrame, order_by: int = 6, page: int = 1, name: str = "",
                     host_id: int | None = None) -> DataFrame:
     """One page of 20 tables by the chosen size, highest first."""

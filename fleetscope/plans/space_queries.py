@@ -84,8 +84,9 @@ ENTRIES = {
                    + " FROM totals s LEFT JOIN totals y ON s.host_id = y.host_id AND y.snap_date = s.snap_date - 1", TOTALS)),
     "hosts_by_space": Entry(lambda i: P.hosts_by_space(P.daily_space_report(_totals(i))), with_views(LATEST, TOTALS)),
     "tables_by_space": Entry(
-        lambda i: P.tables_by_space(_space(i), order_by=5, page=2, name="t"),
-        with_views("SELECT * FROM space WHERE contains(table_name, 't') ORDER BY file_size DESC, host_id, db_name, table_name, snap_date LIMIT 20 OFFSET 20", SPACE)),
+        lambda i: P.tables_by_space(P.newest_day(_space(i)), order_by=5, name="t", host_id=3),
+        with_views("SELECT * FROM space WHERE contains(table_name, 't') AND host_id = 3 AND snap_date = (SELECT max(snap_date) FROM space WHERE host_id = 3)"
+                   " ORDER BY file_size DESC, db_name, table_name LIMIT 20", SPACE)),
     "fragmented_top": Entry(
         lambda i: P.fragmented_top(_space(i), 3),
         with_views("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY host_id, snap_date ORDER BY free_size DESC, db_name, table_name) AS rn FROM space) x WHERE rn <= 3", SPACE)),
