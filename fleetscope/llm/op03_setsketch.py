@@ -222,7 +222,7 @@ def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
     most = F.floor((100 - PERCENT) / (100 + PERCENT) * (F.col("n") + F.col("n") * 100 / PERCENT) + 1e-9)
     size = F.size("apart")
     small, large = (size - F.greatest(F.lit(1), F.ceil(size - m)) + 1 for m in (most / 2, most))
-    lengths = rows.select("pivot", "node", "comp", size.alias("size"), small.alias("small"), large.alias("large"))
+    lengths = rows.select("pivot", "node", "comp", "n", size.alias("size"), small.alias("small"), large.alias("large"))
     order = Window.partitionBy("pivot", "node").orderBy("holders", "element")
     placed = elements.join(shared, ["pivot", "element"]).withColumn("place", F.row_number().over(order))
     number = placed.groupBy("pivot", "node").agg(F.count("*").alias("shared"))
@@ -230,14 +230,16 @@ def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
                .groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")))
     prefix = store(placed.join(lengths.join(number, ["pivot", "node"]).join(largest, "pivot"), ["pivot", "node"])
                    .withColumn("place", F.col("size") - F.col("shared") + F.col("place")).where("place <= large")
-                   .select("pivot", "element", "node", "comp", "size", (F.col("place") <= F.col("small")).alias("short"),
+                   .select("pivot", "element", "node", "comp", "n", "size", "place", (F.col("place") <= F.col("small")).alias("short"),
                            (F.col("comp") != F.col("largest")).alias("rest")), "prefixes")
 
     def side(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select("pivot", "element", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "comp", "size")])
+        return rows.select("pivot", "element", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "comp", "n", "size", "place")])
 
     ordered = "comp_x <> comp_y AND (size_x < size_y OR (size_x = size_y AND node_x < node_y))"
-    found = [side("x", prefix.where(x)).join(side("y", prefix.where(y)), ["pivot", "element"]).where(ordered)
+    # From their first shared element on, what is left of the shorter rest must do for all they have to share.
+    enough = F.expr(f"2 * (1 + least(size_x - place_x, size_y - place_y)) >= size_x + size_y - floor({100 - PERCENT} * (n_x + n_y) / {100 + PERCENT})")
+    found = [side("x", prefix.where(x)).join(side("y", prefix.where(y)), ["pivot", "element"]).where(F.expr(ordered) & enough)
              for x, y in (("short AND rest", "true"), ("short AND NOT rest", "rest"))]
     return (found[0].union(found[1]).groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
             .agg(F.min("pivot").alias("pivot")))
