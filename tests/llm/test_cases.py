@@ -315,3 +315,20 @@ def test_template_text_inside_articles_is_left_out(spark):
         assert got[k] == got[100 + k] == f"Title {k}\nstory {k}\nmore of {k}"
     # Two pages are too few for a template, however often one is repeated.
     assert got[200] == got[239] == "Title 0\nstory 0\nFollow us for more\nmore of 0"
+
+
+def test_distinct_documents_of_shared_boilerplate(spark):
+    """Documents that share several template lines are distinct; copies swell neither side; many documents suffice without a share."""
+    rng = random.Random(12)
+    template = [" ".join(f"line{j}x{k}" for k in range(25)) for j in range(4)]
+    unique = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(60)]
+    rows = [(k, "h", "\n".join([*template, unique[k]])) for k in range(60)]
+    copy = " ".join(f"copy{k}" for k in range(60))
+    rows += [(100 + k, "h", copy) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r.doc_id: (r.clean, r.kept) for r in op10_quality_rules.line_rules(docs).select("doc.doc_id", "clean", "kept").collect()}
+    assert all(got[k] == (unique[k], False) for k in range(60)) and got[100] == (copy, True)
+    measured = spark.createDataFrame([("h", k, [(1,)] if k < 30 else []) for k in range(1000)], "host string, text_key bigint, lines array<struct<line:bigint>>")
+    named = spark.range(1000).select(F.col("id").alias("text_key"), F.col("id").alias("document"))
+    assert op10_quality_rules.frequent_lines(measured, named).count() == 0
+    assert [r.line_docs for r in op10_quality_rules.frequent_lines(measured, named, many=20).collect()] == [30]
