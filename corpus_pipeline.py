@@ -21,8 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return line_rules(docs).where("kept").select("doc.*")
+    """Documents that the quality rules keep, without their hosts' frequent lines."""
+    return _with_text(line_rules(docs).where("kept"), docs, F.col("clean"), F.col("left_words") < F.col("n_words"))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

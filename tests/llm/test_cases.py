@@ -317,6 +317,23 @@ def test_template_text_inside_articles_is_left_out(spark):
     assert got[200] == got[239] == "Title 0\nstory 0\nFollow us for more\nmore of 0"
 
 
+def test_frequent_lines_are_removed(spark):
+    """The lines above the limit go from the texts, with their breaks; the rest keeps its bytes, in the pipeline too."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        own = " ".join("é" + "".join(rng.choices("abcdef", k=6)) for _ in range(80))
+        rows.append((k, "h", f"Accept ALL cookies {k}\n{own}\n\n  \naccept all  cookies 7\nend {own[:50]}\nAccept all cookies {k % 10}", 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, n_chars bigint")
+    want = {k: "\n".join([t.split("\n")[j] for j in (1, 2, 3, 5)]) + "\n" for k, _, t, _ in rows}
+    out = {r.doc_id: r.clean for r in op10_quality_rules.line_rules(docs).select("doc.doc_id", "clean").collect()}
+    assert out == want
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
 def test_distinct_documents_of_shared_boilerplate(spark):
     """Documents that share several template lines are distinct; copies swell neither side; many documents suffice without a share."""
     rng = random.Random(12)
