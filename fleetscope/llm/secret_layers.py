@@ -38,6 +38,13 @@ _MARKS = {"private_key": "-----BEGIN ", "github": "gh", "slack": "xox", "google"
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 over several lines, the last of any length; margins may be quoted or indented.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>#*]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t>#*]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=-]+[#*>]*")
+_SEPARATOR = re.compile(r"[/_+-]+")
+# Printable runs of decoded bytes, of one byte a character and of two, in either order.
+_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}){8,}")
+_WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){8,}"), "utf-16-be": re.compile(rb"(?:\x00[\t\n\r\x20-\x7E]){8,}")}
 _HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 # A token that could be encoded is at least so long; the shortest secret, in base64.
 SHORTEST_TOKEN = 16
@@ -123,10 +130,14 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, _ESCAPE, _character)
     if _long_token(text, SHORTEST_TOKEN):
         for m in _BASE64.finditer(text):
-            yield from _opened(layer, m, _from_base64(m[0]))
+            yield from _aligned(layer, m.start(), m[0])
+        if "\n" in text:
+            for m in _WRAPPED.finditer(text):
+                if "\n" in m[0]:
+                    yield from _aligned(layer, m.start(), m[0])
         if _long_token(text, 24):
             for m in _HEX_BYTES.finditer(text):
-                yield from _opened(layer, m, binascii.unhexlify(m[0]))
+                yield from _opened(layer, m.start(), m.end(), binascii.unhexlify(m[0]))
 
 
 def _character(escape: str) -> str:
@@ -158,32 +169,68 @@ def _from_base64(token: str) -> bytes:
         return b""
 
 
-def _opened(layer: Layer, m: re.Match, data: bytes) -> Iterator[Layer]:
-    """Layers of decoded bytes: their text if it reads as text, or what they hold compressed."""
-    whole = layer.outer(m.start(), m.end())
+def _aligned(layer: Layer, start: int, token: str) -> Iterator[Layer]:
+    """The layers of a base64 token read from each of four alignments, and from behind each separator in it.
+
+    What begins behind a separator is at one of the four alignments of the whole, so plain text is found by
+    those; compressed data are only known by their first bytes, which are looked for at every separator.
+    """
+    end = start + len(token)
+    joined = _BREAK.sub("", token)
+    for k in range(4):
+        data = _from_base64(joined[k:])
+        # Another alignment of data that is no text gives no long printable runs; compressed data begin a token.
+        yield from _opened(layer, start, end, data)
+    for m in _SEPARATOR.finditer(joined):
+        for at in range(m.start() + 1, m.end() + 1):
+            if at > 3 and any(_from_base64(joined[at:at + 12]).startswith(h) for h in _HEADS):
+                yield from _opened(layer, start, end, _from_base64(joined[at:]))
+
+
+def _opened(layer: Layer, start: int, end: int, data: bytes) -> Iterator[Layer]:
+    """Layers of decoded bytes: the text in them, or in what they hold compressed."""
+    whole = layer.outer(start, end)
     for piece in _decompressed(data):
-        text = _readable(piece)
-        if text:
+        for text in _texts(piece):
             yield Layer(text, whole)
 
 
-def _decompressed(data: bytes) -> Iterator[bytes]:
-    opener = None
+# First bytes of gzip, bzip2, xz, zstandard and the common zlib levels.
+_HEADS = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+
+
+def _opener(data: bytes):
+    """A new decompressor for data that begin like its format."""
     if data[:2] == b"\x1f\x8b":
-        opener = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        opener = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _decompressed(data: bytes) -> Iterator[bytes]:
+    """The data as they are, and what they hold compressed."""
+    yield data
+    if data[:4] == b"\x28\xb5\x2f\xfd":
         yield from _overlapping(_zstd(data))
-        return
-    if opener is None:
+    elif _opener(data) is not None:
+        yield from _overlapping(_members(data))
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """What all members of a stream give, one after the other; what follows the last is given as it is."""
+    while (opener := _opener(data)) is not None:
+        yield from _pieces(opener, data)
+        if not opener.eof:
+            return
+        # Members may be padded with zeros.
+        data = opener.unused_data.lstrip(b"\x00")
+    if data:
         yield data
-        return
-    yield from _overlapping(_pieces(opener, data))
 
 
 def _pieces(opener, data: bytes) -> Iterator[bytes]:
@@ -202,7 +249,7 @@ def _pieces(opener, data: bytes) -> Iterator[bytes]:
 
 def _zstd(data: bytes) -> Iterator[bytes]:
     try:
-        with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
             while piece := reader.read(PIECE):
                 yield piece
     except zstandard.ZstdError:
@@ -216,16 +263,16 @@ def _overlapping(pieces: Iterator[bytes]) -> Iterator[bytes]:
         tail = piece[-OVERLAP:]
 
 
-def _readable(data: bytes) -> str:
-    """The bytes as text if nearly all of it is printable, else nothing."""
-    if len(data) < 8:
-        return ""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = data.decode("utf-8", "replace")
-    good = sum(c.isprintable() or c in "\t\n\r" for c in text) - text.count("�")
-    return text if good >= 0.9 * len(text) else ""
+def _texts(data: bytes) -> Iterator[str]:
+    """The printable runs of the bytes, one a line, and those of two bytes a character."""
+    runs = _RUN.findall(data)
+    if runs:
+        yield "\n".join(r.decode("utf-8", "replace") for r in runs)
+    if b"\x00" in data:
+        for name, pattern in _WIDE.items():
+            wide = [r.decode(name) for r in pattern.findall(data)]
+            if wide:
+                yield "\n".join(wide)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -349,3 +349,39 @@ def test_distinct_documents_of_shared_boilerplate(spark):
     named = spark.range(1000).select(F.col("id").alias("text_key"), F.col("id").alias("document"))
     assert op10_quality_rules.frequent_lines(measured, named).count() == 0
     assert [r.line_docs for r in op10_quality_rules.frequent_lines(measured, named, many=20).collect()] == [30]
+
+
+def test_secrets_in_layers_that_are_not_plain_text():
+    """UTF-16, mixed binary, wrapped lines, glued tokens and concatenated members are read."""
+    import bz2
+    import io
+    import tarfile
+    import textwrap
+
+    rng = random.Random(5)
+    secret = 'password = "hunter2hunter2"'
+    noise = bytes(rng.randrange(128, 256) for _ in range(400))
+    lines = "\n".join(f"line {rng.random()}" for _ in range(40)) + "\n" + secret
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as f:
+        info = tarfile.TarInfo("config")
+        info.size = len(secret)
+        f.addfile(info, io.BytesIO(secret.encode()))
+
+    def packed(data):
+        return base64.b64encode(data).decode()
+
+    cases = {"utf-16-le": packed(secret.encode("utf-16")), "utf-16-be": packed(secret.encode("utf-16-be")), "mixed": packed(noise + secret.encode() + noise),
+             "tar": packed(tar.getvalue()), "gzip members": packed(gzip.compress(b"nothing here" * 9) + gzip.compress(secret.encode())),
+             "bz2 members": packed(bz2.compress(b"nothing here" * 9) + bz2.compress(secret.encode()))}
+    for width in (64, 76):
+        cases[f"text {width}"] = "\n".join(textwrap.wrap(packed(lines.encode()), width))
+        cases[f"gzip {width}"] = "\r\n".join(textwrap.wrap(packed(gzip.compress(lines.encode())), width))
+    for glue in ("a/", "key-", "x_", "ab/cde-"):
+        cases[f"text {glue}"] = glue + packed(secret.encode())
+        cases[f"gzip {glue}"] = glue + packed(gzip.compress(secret.encode()))
+    for name, token in cases.items():
+        text = f"before\n\n{token}\n\nafter"
+        spans = secret_spans(text)
+        assert any(k == "assign" and 8 <= a and b <= 8 + len(token) for k, a, b in spans), name
+        assert redacted(text, spans).startswith("before") and redacted(text, spans).endswith("after"), name
