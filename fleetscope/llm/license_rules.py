@@ -1,8 +1,10 @@
 """Signature rules of licences: ordered patterns, each behind two keywords.
 
 A rule is a label, a priority (0 goes first), a confidence, two keywords that must begin in a text
-before the pattern is tried, and a pattern for texts with letters folded. Keywords are held
-against the words of a text joined by single spaces. Rules are made from a list
+before the pattern is tried, and a pattern for texts with letters folded. Both keywords are in
+whatever the pattern matches: names of different words are families of their own. Keywords are held
+against the words of a text joined by single spaces; a space of a pattern stands for any white
+space, with the comment leaders of lines that begin in it. Rules are made from a list
 of licence families and a few ways to name a licence, and from phrases of licence texts.
 """
 
@@ -29,7 +31,8 @@ FAMILIES = [
     ("mit-0", ["mit-0"], "mit", r"(?:the )?mit no attribution"),
     ("apache-2", ["apache-2\\.0"], "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version|v)?\.? ?2(?:\.0)?"),
     ("apache-1.1", ["apache-1\\.1"], "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version|v)?\.? ?1\.1"),
-    ("bsd-2-clause", ["bsd-2-clause"], "bsd", r"(?:the )?(?:bsd[ -]2[ -]clause|2[ -]clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", ["bsd-2-clause"], "bsd", r"(?:the )?(?:bsd[ -]2[ -]clause|2[ -]clause bsd|simplified bsd)"),
+    ("bsd-2-clause", [], "freebsd", r"(?:the )?freebsd"),
     ("bsd-3-clause", ["bsd-3-clause"], "bsd", r"(?:the )?(?:bsd[ -]3[ -]clause|3[ -]clause bsd|new bsd|modified bsd)"),
     ("bsd-4-clause", ["bsd-4-clause"], "bsd", r"(?:the )?(?:bsd[ -]4[ -]clause|4[ -]clause bsd|original bsd)"),
     ("bsd", ["0bsd"], "bsd", r"(?:the |a )?bsd(?:[ -]style)?"),
@@ -47,7 +50,8 @@ FAMILIES = [
     ("mpl-1.1", ["mpl-1\\.1"], "mozilla", r"(?:the )?mozilla public licen[cs]e,? ?(?:version|v)?\.? ?1\.1"),
     ("epl-1", ["epl-1\\.0"], "eclipse", r"(?:the )?eclipse public licen[cs]e(?: -)?,? ?(?:version|v)?\.? ?1(?:\.0)?"),
     ("epl-2", ["epl-2\\.0"], "eclipse", r"(?:the )?eclipse public licen[cs]e(?: -)?,? ?(?:version|v)?\.? ?2(?:\.0)?"),
-    ("cddl-1", ["cddl-1\\.[01]"], "cddl", r"(?:the )?(?:common development and distribution licen[cs]e|cddl)"),
+    ("cddl-1", ["cddl-1\\.[01]"], "cddl", r"(?:the )?cddl"),
+    ("cddl-1", [], "common development", r"(?:the )?common development and distribution licen[cs]e"),
     ("cpl-1", ["cpl-1\\.0"], "common public", r"(?:the )?common public licen[cs]e"),
     ("artistic-2", ["artistic-2\\.0"], "artistic", r"(?:the )?artistic licen[cs]e,? ?(?:version|v)?\.? ?2(?:\.0)?"),
     ("isc", ["isc"], "isc", r"(?:the )?isc"),
@@ -56,7 +60,8 @@ FAMILIES = [
     ("busl-1.1", ["busl-1\\.1"], "business source", r"(?:the )?business source licen[cs]e"),
     ("unlicense", ["unlicense"], "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", ["wtfpl"], "wtfpl", r"(?:the )?wtfpl"),
-    ("eupl-1.2", ["eupl-1\\.[12]"], "eupl", r"(?:the )?(?:european union public licen[cs]e|eupl)"),
+    ("eupl-1.2", ["eupl-1\\.[12]"], "eupl", r"(?:the )?eupl"),
+    ("eupl-1.2", [], "european union public", r"(?:the )?european union public licen[cs]e"),
     ("upl-1", ["upl-1\\.0"], "universal permissive", r"(?:the )?universal permissive licen[cs]e"),
     ("ms-pl", ["ms-pl"], "microsoft public", r"(?:the )?microsoft public licen[cs]e"),
     ("ms-rl", ["ms-rl"], "microsoft reciprocal", r"(?:the )?microsoft reciprocal licen[cs]e"),
@@ -70,13 +75,13 @@ FAMILIES = [
     ("sspl-1", ["sspl-1\\.0"], "server side public", r"(?:the )?server side public licen[cs]e"),
     ("elastic-2", ["elastic-2\\.0"], "elastic", r"(?:the )?elastic licen[cs]e"),
     ("cc0", ["cc0-1\\.0"], "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1\.0)?"),
-    ("cc-by", ["cc-by-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by|creative commons attribution)(?: ?[1-4]\.[05])?(?![ -](?:nc|sa|nd|non|share|no))"),
+    ("cc-by", ["cc-by-[1-4]\\.[05]"], "cc by", r"(?:the |a )?cc[ -]by(?: ?[1-4]\.[05])?(?![ -](?:nc|sa|nd|non|share|no))"),
     ("cc-by-sa", ["cc-by-sa-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by[ -]sa)(?: ?[1-4]\.[05])?"),
     ("cc-by-nd", ["cc-by-nd-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by[ -]nd)(?: ?[1-4]\.[05])?"),
     ("cc-by-nc", ["cc-by-nc-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by[ -]nc)(?![ -](?:sa|nd))(?: ?[1-4]\.[05])?"),
     ("cc-by-nc-sa", ["cc-by-nc-sa-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by[ -]nc[ -]sa)(?: ?[1-4]\.[05])?"),
     ("cc-by-nc-nd", ["cc-by-nc-nd-[1-4]\\.[05]"], "cc by", r"(?:the |a )?(?:cc[ -]by[ -]nc[ -]nd)(?: ?[1-4]\.[05])?"),
-    ("cc-by", [], "creative commons", r"(?:the |a )?creative commons[ -]attribution(?:[ -]international)?(?![ -](?:non|share|no))"),
+    ("cc-by", [], "creative commons", r"(?:the |a )?creative commons[ -]attribution(?:[ -]international)?(?: ?[1-4]\.[05])?(?![ -](?:non|share|no))"),
     ("cc-by-sa", [], "creative commons", r"(?:the |a )?creative commons[ -]attribution[ -]share[ -]?alike"),
     ("cc-by-nd", [], "creative commons", r"(?:the |a )?creative commons[ -]attribution[ -]no[ -]?deriv(?:s|atives)"),
     ("cc-by-nc", [], "creative commons", r"(?:the |a )?creative commons[ -]attribution[ -]non[ -]?commercial(?![ -](?:share|no))"),
@@ -90,23 +95,24 @@ PHRASINGS = [
     (1, 0.9, "under", r"\b(?:released|distributed|published|provided|available|shared|made available) under (?:the terms of )?{name}\b(?:,? licen[cs]e)?"),
     (1, 0.9, "licen", r"\blicen[cs]e ?: ?{name}\b"),
     (2, 0.8, "licen", r"\b{name} licen[cs]e\b"),
-    (2, 0.8, "licen", r"\bsee {name}(?: licen[cs]e)? (?:for|in)\b"),
+    (2, 0.8, "see", r"\bsee {name}(?: licen[cs]e)? (?:for|in)\b"),
 ]
 
 # Names that stand for themselves, without a phrase around them.
-BARE = {"gpl", "lgpl", "agpl", "general public", "lesser general", "affero", "mozilla", "eclipse", "cddl", "wtfpl", "eupl", "cc by", "cc0", "creative commons"}
+BARE = {"gpl", "lgpl", "agpl", "general public", "lesser general", "affero", "mozilla", "eclipse", "cddl", "common development", "wtfpl", "eupl", "european union public", "cc by", "cc0", "creative commons"}
 
 # Phrases of licence texts and addresses: label, priority, confidence, keywords, pattern.
 PHRASES = [
     ("mit", 1, 0.95, "hereby granted", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("mit", 1, 0.95, "opensource.org", "mit", r"opensource\.org/licenses?/mit"),
+    ("mit", 1, 0.95, "mit", "opensource.org", r"opensource\.org/licenses?/mit"),
     ("mit", 2, 0.8, "under the mit", "licen", r"\bunder the mit licen[cs]e\b"),
     ("apache-2", 0, 1.0, "apache.org", "license-2", r"apache\.org/licenses/license-2\.0"),
     ("apache-2", 2, 0.8, "apache license", "version 2", r"\bapache license,? version 2(?:\.0)?"),
-    ("bsd-3-clause", 1, 0.9, "endorse or promote", "neither the name", r"neither the name of .{1,120}? may be used to endorse or promote"),
+    ("bsd-3-clause", 1, 0.9, "endorse or promote", "neither the name", r"neither the name of [\s\S]{1,120}? may be used to endorse or promote"),
     ("bsd", 2, 0.8, "redistribution and use", "binary", r"redistribution and use in source and binary forms, with or without modification"),
     ("gpl", 2, 0.8, "general public", "licen", r"gnu general public licen[cs]e"),
-    ("lgpl", 2, 0.8, "lesser general", "licen", r"gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", 2, 0.8, "lesser general", "licen", r"gnu lesser general public licen[cs]e"),
+    ("lgpl", 2, 0.8, "library general", "licen", r"gnu library general public licen[cs]e"),
     ("agpl", 2, 0.8, "affero", "licen", r"gnu affero general public licen[cs]e"),
     ("gpl", 1, 0.9, "gnu.org", "licenses/gpl", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     ("lgpl", 1, 0.9, "gnu.org", "licenses/lgpl", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
@@ -130,14 +136,23 @@ PHRASES = [
     ("copyright", 3, 0.5, "all rights reserved", "reserved", r"\ball rights reserved\b"),
     ("copyright", 3, 0.4, "copyright", "copyright", r"\bcopyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}\b"),
     ("proprietary", 2, 0.7, "confidential", "proprietary", r"\b(?:confidential and proprietary|proprietary and confidential)\b"),
-    ("proprietary", 2, 0.6, "without the prior written", "permission", r"\bwithout the (?:express )?prior written (?:permission|consent)\b"),
+    ("proprietary", 2, 0.6, "prior written", "without the", r"\bwithout the (?:express )?prior written (?:permission|consent)\b"),
 ]
 
 
+# White space; where a line begins in it, with what leads comments and quoted text there.
+_GAP = r"(?:[ \t\f\r]*+\n\s*+(?:(?://+|/?\*+/?|#+|;+|--+|>+|%+|\|+|dnl|rem)\s++)*+|\s++)"
+
+
 def _keyword(text: str) -> str:
-    """A keyword as it stands in words joined by spaces; a short one must be a whole word."""
+    """A keyword as words joined by spaces begin with it; common words must be whole."""
     words = " ".join("".join(c if c.isalnum() else " " for c in text).split())
-    return f" {words} " if len(words) <= 3 or words == "under" else f" {words}"
+    return f" {words} " if words in ("under", "see") else f" {words}"
+
+
+def _spaced(pattern: str) -> str:
+    """The pattern with any gap where it has a space."""
+    return pattern.replace("[ -]", "(?:\0|-)").replace(" ", "\0").replace("\0", _GAP)
 
 
 def rules() -> list[Rule]:
@@ -149,4 +164,4 @@ def rules() -> list[Rule]:
         if keyword in BARE:
             out.append(Rule(label, 3, 0.6, keyword, keyword, rf"\b{name}\b"))
     out += [Rule(*p) for p in PHRASES]
-    return [Rule(r.label, r.priority, r.confidence, _keyword(r.keyword), _keyword(r.second), r.pattern) for r in out]
+    return [Rule(r.label, r.priority, r.confidence, _keyword(r.keyword), _keyword(r.second), _spaced(r.pattern)) for r in out]

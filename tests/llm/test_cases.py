@@ -385,3 +385,20 @@ def test_secrets_in_layers_that_are_not_plain_text():
         spans = secret_spans(text)
         assert any(k == "assign" and 8 <= a and b <= 8 + len(token) for k, a, b in spans), name
         assert redacted(text, spans).startswith("before") and redacted(text, spans).endswith("after"), name
+
+
+def test_every_alternative_of_a_licence_is_reached(spark):
+    """Versions glued to short names, other words for one licence, and headers wrapped in comments."""
+    cases = {"This is GPLv2 code": "gpl-2", "released under GPLv3": "gpl-3", "license: GPL3": "gpl-3", "under the FreeBSD license": "bsd-2-clause",
+             "the Common Development and Distribution License": "cddl-1", "European Union Public Licence": "eupl-1.2", "GNU Library General Public License": "lgpl",
+             "without the express prior written consent": "proprietary", "see Apache 2.0 for details": "apache-2", "Creative Commons Attribution 4.0": "cc-by",
+             " * Licensed under the\n *  Apache License,\n * Version 2.0 (the": "apache-2", "// GNU General\r\n// Public   License": "gpl",
+             "# Permission is hereby granted, free of\n#\n# charge, to any person\n# obtaining a copy": "mit",
+             "Neither the name of the\nowner nor others may be used to\nendorse or promote": "bsd-3-clause"}
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in op06_license_scan.license_scan(rows).select("doc.doc_id", "labels", "found").collect()}
+    for k, (text, label) in enumerate(cases.items()):
+        assert label in got[k].labels.split(","), (text, got[k].labels)
+    wrapped = list(cases)[10]
+    # Places are those of the given text.
+    assert (3, wrapped.index(" (the")) in [(f.start, f.end) for f in got[10].found]
