@@ -17,6 +17,11 @@ from fleetscope.llm.op07_lm_scoring import op7_context_mixing
 from fleetscope.llm.op08_quality_gam import op8_quality_gam
 from fleetscope.llm.op09_secret_scan import op9_secret_scan
 from fleetscope.llm.op10_quality_rules import op10_line_rules
+from fleetscope.llm.op11_spelling import op11_spelling
+from fleetscope.llm.op12_repeated_phrases import SQL as REPEATED_PHRASES
+from fleetscope.llm.op12_repeated_phrases import op12_repeated_phrases
+from fleetscope.llm.op13_hard_negatives import SQL as HARD_NEGATIVES
+from fleetscope.llm.op13_hard_negatives import op13_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -29,5 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_gam": op8_quality_gam,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_rules": op10_line_rules,
+    "op11_spelling": op11_spelling,
+    "op12_repeated_phrases": op12_repeated_phrases,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION}
+SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION, "op12_repeated_phrases": REPEATED_PHRASES, "op13_hard_negatives": HARD_NEGATIVES}
