@@ -37,9 +37,12 @@ PHRASE = 13
 SEED = 5
 # Phrases that follow each other with one seed are handed on together, at most so many.
 TOGETHER = 16
-# Words of a shard or of a task, and of the passages in one automaton.
-SHARD_WORDS = 1 << 20
-AUTOMATON_WORDS = 1 << 18
+# Words of a shard on average, of a task at most (or one text), and of the passages in one automaton.
+SHARD_WORDS = 1 << 18
+TASK_WORDS = 1 << 20
+AUTOMATON_WORDS = 1 << 16
+# A word is two letters of so many values: an automaton's states have few arcs, which it searches one by one.
+LETTERS = 512
 # Shards at least, so that a small table is still spread.
 LEAST_SHARDS = 24
 LAST_ID = (1 << 63) - 1
@@ -238,16 +241,19 @@ def _automaton(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ahocoras
     automaton = ahocorasick.Automaton()
     for doc, words in held:
         letters = _letters(vocabulary, words)
-        for k in range(len(letters) - PHRASE + 1):
-            automaton.add_word(letters[k:k + PHRASE], doc)
+        for k in range(len(words) - PHRASE + 1):
+            automaton.add_word(letters[2 * k:2 * (k + PHRASE)], doc)
     automaton.make_automaton()
     return vocabulary, automaton
 
 
 def _letters(vocabulary: np.ndarray, words: np.ndarray) -> str:
-    """One character a word; words outside the vocabulary, as separators, are character 1."""
+    """Two characters a word, of different alphabets; words outside the vocabulary, as separators, are twice character 1."""
     at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    codes = np.where(vocabulary[at] == words, at + 2, 1).astype("<u4")
+    known = vocabulary[at] == words
+    codes = np.empty((len(words), 2), "<u4")
+    codes[:, 0] = np.where(known, 2 + at // LETTERS, 1)
+    codes[:, 1] = np.where(known, 2 + LETTERS + at % LETTERS, 1)
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
@@ -270,7 +276,7 @@ def _locate(found: pa.Table, shares: pa.Table) -> pa.Table:
             hits = list(automaton.iter(_letters(vocabulary, stream)))
             if not hits:
                 continue
-            end, first = origin[np.array([h[0] for h in hits])], np.array([h[1] for h in hits], np.int64)
+            end, first = origin[np.array([h[0] // 2 for h in hits])], np.array([h[1] for h in hits], np.int64)
             end = end[first < ids[end]]
             np.add.at(cover, end - PHRASE + 1, 1)
             np.add.at(cover, end + 1, -1)
@@ -326,7 +332,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     split = store(_split(texts.join(runs.drop("n"), "row", "left"), shards, with_text), "phrases-texts")
     shares = split.where("shares IS NOT NULL").select("id", "row", F.explode("shares").alias("s")).select("id", "row", "s.*")
     found = store(passages(shares, confirmed(shares)), "phrases-passages")
-    sizes = shares.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / (8 * SHARD_WORDS)).cast("int").alias("parts"))
+    sizes = shares.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / (8 * TASK_WORDS)).cast("int").alias("parts"))
     dealt = shares.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).drop("parts")
     copies = found.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     located = copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(_locate, "row bigint, starts bigint, ends bigint")
