@@ -164,13 +164,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+# Spark removes the shuffle files of an execution when it has ended, instead of when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it again, which cuts its lineage."""
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it again, which cuts its lineage and frees its shuffle files."""
     from fleetscope.session import scratch_path
 
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
