@@ -3,7 +3,7 @@
 A phrase is 13 consecutive words; a word goes if a phrase around it also starts in a document with a
 smaller id. Three steps, none of which brings documents together in pairs:
 
-* Recur. The least of the nine five-word runs in a phrase is its seed, the same wherever the phrase
+* Recur. The least of the seven seven-word runs in a phrase is its seed, the same wherever the phrase
   stands. Seeds of at least two documents are found by one aggregate; only phrases with such a seed can
   recur. A seed's first document decides the shard of its phrases, so a copied passage goes to one shard in one piece.
 * Confirm. Phrases of these passages are counted by document. Those of several documents are confirmed,
@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from fleetscope.llm.common import U64, WHITE, carried, chunks, hash_spans, mix, signed, small_batches, store, table, text_buffers, windows, word_spans
 
 PHRASE = 13
-SEED = 5
+SEED = 7
 # Phrases that follow each other with one seed are handed on together, at most so many.
 TOGETHER = 16
 # Words of a shard on average, of a task at most (or one text), and of the passages in one automaton.
@@ -184,10 +184,13 @@ def confirmed(shares: DataFrame) -> DataFrame:
     """(shard, doc, phrases): the phrases of several documents, with the first of these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, doc, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "sizes", "words")), strict=True):
-                hashes = np.unique(_phrases_of(np.frombuffer(sizes, np.int64), np.frombuffer(words, U64))[0])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(hashes), shard), pa.int32()), "phrase": pa.array(signed(hashes)),
-                                                  "doc": pa.array(np.full(len(hashes), doc), pa.int64())})
+            sizes = [np.frombuffer(x, np.int64) for x in batch.column("sizes").to_pylist()]
+            words = [np.frombuffer(x, U64) for x in batch.column("words").to_pylist()]
+            if not words:
+                continue
+            hashes, at = _phrases_of(np.concatenate(sizes), np.concatenate(words))
+            row = pa.array(np.searchsorted(np.cumsum([len(w) for w in words]), at, "right"))
+            yield pa.RecordBatch.from_pydict({"shard": batch.column("shard").take(row), "phrase": pa.array(signed(hashes)), "doc": batch.column("id").take(row)})
 
     rows = shares.select("shard", "id", "sizes", "words").mapInArrow(run, "shard int, phrase bigint, doc bigint")
     counted = rows.groupBy("shard", "phrase").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc < last")
@@ -198,17 +201,18 @@ def passages(shares: DataFrame, phrases: DataFrame) -> DataFrame:
     """(shard, doc, sizes, words): the maximal passages of confirmed phrases in the first document that has them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: dict[str, list] = {"shard": [], "doc": [], "sizes": [], "words": []}
             for r in batch.to_pylist():
                 _, sizes, words = _share_arrays(r)
                 hashes, at = _phrases_of(sizes, words)
                 stay = at[np.isin(hashes, np.array(r["phrases"], np.int64).view(U64))]
-                if not len(stay):
-                    continue
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(stay) != 1]))
-                a, b = stay[begin], stay[np.append(begin[1:], len(stay)) - 1] + PHRASE
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array([r["shard"]], pa.int32()), "doc": pa.array([r["id"]], pa.int64()), "sizes": pa.array([(b - a).tobytes()], pa.binary()),
-                    "words": pa.array([np.concatenate([words[i:j] for i, j in zip(a, b, strict=True)]).tobytes()], pa.binary())})
+                if len(stay):
+                    begin = np.flatnonzero(np.concatenate([[True], np.diff(stay) != 1]))
+                    a, b = stay[begin], stay[np.append(begin[1:], len(stay)) - 1] + PHRASE
+                    cut = np.concatenate([words[i:j] for i, j in zip(a, b, strict=True)])
+                    for name, value in zip(out, (r["shard"], r["id"], (b - a).tobytes(), cut.tobytes()), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     first = shares.join(phrases.withColumnRenamed("doc", "id"), ["shard", "id"])
     return first.select("shard", "id", "starts", "sizes", "words", "phrases").mapInArrow(run, "shard int, doc bigint, sizes binary, words binary")
@@ -336,7 +340,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     dealt = shares.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).drop("parts")
     copies = found.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     located = copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(_locate, "row bigint, starts bigint, ends bigint")
-    spans = located.groupBy("row").agg(F.collect_set(F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"))).alias("spans"))
+    spans = store(located.groupBy("row").agg(F.collect_set(F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"))).alias("spans")), "phrases-spans")
     cut = _finished(split.where("shares IS NOT NULL").join(spans, "row", "left").select("doc", "text", "spans"), with_text)
     whole = split.where("shares IS NULL").select("doc", "n_words", F.lit(0).cast("bigint").alias("n_removed"),
                                                  F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), "kept_sha256", F.col("text").alias("kept_text"))
