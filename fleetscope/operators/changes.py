@@ -173,6 +173,8 @@ def change_stats(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 def change_lag(events: DataFrame) -> DataFrame:
     """Positions and seconds since the previous change of the same table on the same master."""
     rows = events.select(*POSITION, "ts", *TABLE, F.length("log_file").alias("__digits"))
-    before = previous(rows, [*MASTER, *TABLE], ["__digits", "log_file", "log_pos"], {"__pos": "log_pos", "__ts": "ts"})
+    # A slice is a mebibyte of a file.
+    part = F.struct("__digits", "log_file", F.shiftright("log_pos", 20).alias("part"))
+    before = previous(rows, [*MASTER, *TABLE], ["__digits", "log_file", "log_pos"], {"__pos": "log_pos", "__ts": "ts"}, part)
     return before.select(*POSITION, *TABLE, (F.col("log_pos") - F.col("__pos")).alias("position_gap"),
                          F.expr("timestampdiff(SECOND, __ts, ts)").alias("seconds_gap"))

@@ -1,24 +1,21 @@
-"""Ordered operators that stay parallel when one key holds most of the rows.
+"""Ordered operators as prefix scans over slices: one plan whatever the size of a key.
 
-A plain window sorts all rows of a key in one task. That is the right plan while every
-key fits a task, so it is used then. When some key has more than
-``fleetscope.maxGroupRows`` rows, its rows are cut into slices along the order:
+A plain window sorts all rows of a key in one task, so a key with a third of the rows would be one
+task's work. Here the rows of a key are cut into slices along the order. The slice is a function of
+the row's leading order column (:func:`slice_number`), so nothing is counted, stored or sampled to choose it:
 
-* by day, if the order starts with a time and no (key, day) is too large. The slice is a
-  function of the row, so nothing has to be stored;
-* else by a range partitioning on (keys, order), checkpointed so that the slice of a row
-  never changes if a task is retried.
+1. the rows are dealt out once, by key and slice, and a window per slice does the local work;
+2. each slice is summed up in one row, and a window over these few rows gives what comes before each slice;
+3. that row is joined to the rows of its slice, which are where and in the order the join wants them.
 
-What a slice needs from the slices before it (last row, running total, row count) is one
-carry row per (key, slice). Carry rows are put in front of their slice and the window runs
-per (key, slice), so the rows themselves are shuffled once and joined with nothing.
+The summary reads the rows that were dealt out in the first step, so the input is scanned once a level.
 
-``order`` must identify a row within its key, otherwise ties are arbitrary, as in any window.
+``order`` names columns, ``-name`` for a descending one. It must identify a row within its key,
+otherwise ties are arbitrary, as in any window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,169 +24,150 @@ from pyspark.sql import types as T
 
 from fleetscope.session import pin
 
-MAX_GROUP_ROWS = "fleetscope.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 5_000_000
-# Past this many slices they grow instead: a task then sorts more rows and spills.
-MAX_SLICES = 20_000
-SLICE = "__slice"
+# Key and slice of a row.
+PLACE = "__place"
+# Whole numbers are sliced by blocks of 2^16; other numbers by 64 cells for each doubling.
+BLOCK_BITS = 16
+CELLS = 64
+FIRST = -(1 << 62)
 
 RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
-def max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
+def _name(column: str) -> str:
+    return column.removeprefix("-")
 
 
-def _sort_columns(order: Sequence[str | Column]) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+def _sorted(order: Sequence[str]) -> list[Column]:
+    return [F.col(_name(o)).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Largest number of rows of a key and number of rows: one row reaches the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return row[0] or 0, row[1] or 0
+def slice_number(df: DataFrame, column: str) -> Column:
+    """A whole number that never falls along the order of ``column`` (``-name``: descending).
 
+    Days of a time, years of a date, blocks of whole numbers, cells of relative width of other numbers, first letters of texts.
+    """
+    c, kind = F.col(_name(column)), df.schema[_name(column)].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_date(F.to_date(c))
+    elif isinstance(kind, T.DateType):
+        number = F.year(c)
+    elif isinstance(kind, T.IntegralType):
+        number = F.shiftright(c.cast("bigint"), BLOCK_BITS)
+    elif isinstance(kind, T.NumericType):
+        x = c.cast("double")
+        number = F.when(F.isnan(x), F.lit((1 << 63) - 1)).otherwise(F.floor(CELLS * F.signum(x) * F.log2(1 + F.abs(x))))
+    else:
+        number = F.ascii(c)
+    # Missing values come first, or last in a descending order.
+    number = F.when(c.isNull(), F.lit(FIRST)).otherwise(F.greatest(number.cast("bigint"), F.lit(FIRST + 1)))
+    return -number if column.startswith("-") else number
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], bound: DataFrame | None = None) -> bool:
-    """Whether some key is too large for one task.
 
-    The check is one count per key (partial aggregation, key columns only). ``bound`` may
-    name a table that is cheaper to read and has at least as many rows per key: if that
-    one is small, ``df`` need not be computed for the check.
-    """
-    limit = max_group_rows(df)
-    if bound is not None and _sizes(bound, keys)[0] <= limit:
-        return False
-    return _sizes(df, keys)[0] > limit
-
-
-def _day(df: DataFrame, order: Sequence[str | Column]) -> Column | None:
-    """Day of the leading order column, if that is a time."""
-    first = order[0]
-    if isinstance(first, str) and isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(first)
-    return None
-
-
-def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Add a slice column, increasing along the order, if some key is too large for one task."""
-    if not has_hot_key(df, keys, bound):
-        return df, False
-    limit = max_group_rows(df)
-    day = _day(df, order)
-    if day is not None:
-        by_day = df.withColumn(SLICE, day)
-        if _sizes(by_day, [*keys, SLICE])[0] <= limit:
-            return by_day, True
-    slices = min(math.ceil(_sizes(df, keys)[1] / limit) + 1, MAX_SLICES)
-    ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort_columns(order))
-    return pin(ranged.withColumn(SLICE, F.spark_partition_id())), True
-
-
-def _with_carry(sliced: DataFrame, keys: Sequence[str], values: Mapping[str, Column],
-                per_slice: Mapping[str, Column], onward: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """Rows with ``values`` added, and a carry row (``__own`` = 0) in front of every slice.
-
-    ``per_slice`` sums up the values of one slice, ``onward`` combines all slices before one.
-    """
-    own = sliced.select("*", *[v.alias(name) for name, v in values.items()], F.lit(1).alias("__own"))
-    before = (Window.partitionBy(*keys).orderBy(SLICE)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (own.groupBy(*keys, SLICE).agg(*[agg.alias(name) for name, agg in per_slice.items()])
-             .select(*keys, SLICE, *[onward[name](F.col(name)).over(before).alias(name) for name in values],
-                     F.lit(0).alias("__own")))
-    return own.unionByName(carry, allowMissingColumns=True)
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Column | None) -> DataFrame:
+    """Rows dealt out by key and slice; missing keys are keys as well."""
+    place = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)],
+                     (slice_number(df, order[0]) if slices is None else slices).alias("slice"))
+    return df.withColumn(PLACE, place).repartition(PLACE)
 
 
-def _slice_window(keys: Sequence[str], order: Sequence[str | Column]):
-    return Window.partitionBy(*keys, SLICE).orderBy("__own", *_sort_columns(order))
+def _scan(dealt: DataFrame, keys: Sequence[str], local: Mapping[str, Column], per_slice: Mapping[str, Column],
+          onward: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows with their ``local`` values and, as ``__before_`` columns, what the slices before theirs come to."""
+    everything = F.first(F.struct(*dealt.columns))
+    # The condition always holds. It makes the summary read all columns, so that it shares the rows dealt out above.
+    summed = (dealt.groupBy(PLACE).agg(*[v.alias(n) for n, v in per_slice.items()], everything.alias("__all"))
+              .where("__all IS NOT NULL").drop("__all"))
+    earlier = (Window.partitionBy(*[F.col(f"{PLACE}.k{n}") for n in range(len(keys))]).orderBy(f"{PLACE}.slice")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    before = summed.select(PLACE, *[onward[n](F.col(n)).over(earlier).alias(f"__before_{n}") for n in per_slice])
+    return dealt.select("*", *[v.alias(f"__local_{n}") for n, v in local.items()]).join(before, PLACE)
 
 
-def _last(column: Column) -> Column:
-    return F.last(column, ignorenulls=True)
+def _clean(rows: DataFrame, columns: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    return rows.select(*columns, *[v.alias(n) for n, v in values.items()])
+
 
+def _window(order: Sequence[str]):
+    return Window.partitionBy(PLACE).orderBy(*_sorted(order))
 
-def _up_to_here(window):
-    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def _up_to_here(order: Sequence[str]):
+    return _window(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             columns: Mapping[str, str], bound: DataFrame | None = None) -> DataFrame:
-    """``lag`` by one row: ``columns`` maps new names to source columns."""
-    sliced, hot = slice_hot_keys(df, keys, order, bound)
+
+def _last(column: Column) -> Column:
+    return F.last(column, ignorenulls=True)
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
+             slices: Column | None = None) -> DataFrame:
+    """``lag`` by one row: ``columns`` maps new names to source columns. ``order`` must be ascending."""
     pack = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
-    if hot:
-        newest = F.max_by(F.col("__row"), F.struct(*order))
-        rows = _with_carry(sliced, keys, {"__row": pack}, {"__row": newest}, {"__row": _last})
-        out = (rows.withColumn("__prev", F.lag("__row").over(_slice_window(keys, order)))
-               .where("__own = 1").drop("__own", "__row", SLICE))
-    else:
-        out = sliced.withColumn("__prev", F.lag(pack).over(Window.partitionBy(*keys).orderBy(*order)))
-    return (out.withColumns({name: F.col("__prev").getField(name) for name in columns})
-            .drop("__prev"))
+    rows = _scan(_dealt(df, keys, order, slices), keys, {"row": F.lag(pack).over(_window(order))},
+                 {"row": F.max_by(pack, F.struct(*order))}, {"row": _last})
+    found = F.coalesce("__local_row", "__before_row")
+    return _clean(rows, df.columns, {name: found.getField(name) for name in columns})
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-            aggregates: Mapping[str, tuple[str, str]]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggregates: Mapping[str, tuple[str, str]],
+            slices: Column | None = None) -> DataFrame:
     """Running ``sum``, ``min``, ``max`` or ``count``: name -> (function, column)."""
-    sliced, hot = slice_hot_keys(df, keys, order)
-    if not hot:
-        window = _up_to_here(Window.partitionBy(*keys).orderBy(*_sort_columns(order)))
-        return sliced.select("*", *[RUNNING[fn](src).over(window).alias(name)
-                                    for name, (fn, src) in aggregates.items()])
-    # A count is the sum of a one per value, so that counts of earlier slices add to it.
-    values = {f"__{name}": F.col(src) if fn != "count" else F.when(F.col(src).isNotNull(), F.lit(1).cast("bigint"))
-              for name, (fn, src) in aggregates.items()}
-    merge = {f"__{name}": RUNNING["sum" if fn == "count" else fn] for name, (fn, _) in aggregates.items()}
-    rows = _with_carry(sliced, keys, values, {v: fn(v) for v, fn in merge.items()}, merge)
-    window = _up_to_here(_slice_window(keys, order))
-    out = rows.select("*", *[
-        (F.coalesce(merge[f"__{name}"](f"__{name}").over(window), F.lit(0)) if fn == "count"
-         else merge[f"__{name}"](f"__{name}").over(window)).alias(name)
-        for name, (fn, _) in aggregates.items()])
-    return out.where("__own = 1").drop("__own", SLICE, *values)
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-             name: str) -> DataFrame:
-    """``row_number`` within ``keys``; ``order`` may hold descending columns."""
-    sliced, hot = slice_hot_keys(df, keys, order)
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*_sort_columns(order))
-        return sliced.withColumn(name, F.row_number().over(window).cast("bigint"))
-    rows = _with_carry(sliced, keys, {"__n": F.lit(1).cast("bigint")}, {"__n": F.sum("__n")}, {"__n": F.sum})
-    return (rows.withColumn(name, F.sum("__n").over(_up_to_here(_slice_window(keys, order))))
-            .where("__own = 1").drop("__own", "__n", SLICE))
-
-
-def ranked(df: DataFrame, keys: Sequence[str], orders: Mapping[str, Sequence[Column]],
-           bound: DataFrame | None = None) -> DataFrame:
-    """Several row numbers within the same keys, with one size check for all of them."""
-    if not has_hot_key(df, keys, bound):
-        return df.select("*", *[
-            F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint").alias(name)
-            for name, order in orders.items()])
-    out = df
-    for name, order in orders.items():
-        out = numbered(out, keys, order, name)
-    return out
-
-
-def filled(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-           columns: Mapping[str, str]) -> DataFrame:
-    """Last non-null value up to and including the row: new name -> source column."""
-    sliced, hot = slice_hot_keys(df, keys, order)
-    if not hot:
-        window = _up_to_here(Window.partitionBy(*keys).orderBy(*order))
-        return sliced.select("*", *[_last(F.col(src)).over(window).alias(name) for name, src in columns.items()])
-    at = F.struct(*order)
-    values = {f"__{name}": F.col(src) for name, src in columns.items()}
-    newest = {v: F.max_by(v, F.when(F.col(v).isNotNull(), at)) for v in values}
-    rows = _with_carry(sliced, keys, values, newest, {v: _last for v in values})
-    window = _up_to_here(_slice_window(keys, order))
-    out = rows.select("*", *[_last(F.col(f"__{name}")).over(window).alias(name) for name in columns])
-    return out.where("__own = 1").drop("__own", SLICE, *values)
+    window = _up_to_here(order)
+    rows = _scan(_dealt(df, keys, order, slices), keys,
+                 {name: RUNNING[fn](src).over(window) for name, (fn, src) in aggregates.items()},
+                 {name: RUNNING[fn](src) for name, (fn, src) in aggregates.items()},
+                 {name: RUNNING["sum" if fn == "count" else fn] for name, (fn, _) in aggregates.items()})
+
+    kinds = rows.schema
+
+    def both(name: str, fn: str) -> Column:
+        here, before = F.col(f"__local_{name}"), F.col(f"__before_{name}")
+        if fn in ("min", "max"):
+            return {"min": F.least, "max": F.greatest}[fn](here, before)
+        # A sum of sums of decimals is wider than a sum.
+        return F.coalesce(here + before, here, before).cast(kinds[f"__local_{name}"].dataType)
+
+    return _clean(rows, df.columns, {name: both(name, fn) for name, (fn, _) in aggregates.items()})
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, slices: Column | None = None) -> DataFrame:
+    """``row_number`` within ``keys``."""
+    rows = _scan(_dealt(df, keys, order, slices), keys, {"n": F.row_number().over(_window(order))}, {"n": F.count("*")}, {"n": F.sum})
+    return _clean(rows, df.columns, {name: F.col("__local_n").cast("bigint") + F.coalesce("__before_n", F.lit(0))})
+
+
+def ranked(df: DataFrame, keys: Sequence[str], tie: str, orders: Mapping[str, str]) -> DataFrame:
+    """Several row numbers within the same keys: name -> column (``-name``: descending), ties by ``tie``.
+
+    ``df`` is stored. All orders are numbered in one scan over narrow rows (order, key, value, tie), and the
+    numbers are brought back by key and tie, which must identify a row.
+    """
+    stored = pin(df)
+
+    def value(column: str) -> Column:
+        c = F.col(_name(column))
+        if isinstance(df.schema[_name(column)].dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.unix_micros(c.cast("timestamp"))
+        # Missing values come last in a descending order, as they do in a window; whole numbers are exact up to 2^53.
+        return F.coalesce(-c.cast("double"), F.lit(float("inf"))) if column.startswith("-") else c.cast("double")
+
+    entries = F.explode(F.array(*[F.struct(F.lit(name).alias("order"), slice_number(df, column).alias("slice"), value(column).alias("value"))
+                                  for name, column in orders.items()]))
+    narrow = stored.select(*keys, tie, entries.alias("e")).select(*keys, tie, "e.*")
+    numbers = numbered(narrow, [*keys, "order"], ["value", tie], "n", F.col("slice"))
+    wide = (numbers.select(F.struct(*keys, tie).alias("__row"), "order", "n").groupBy("__row")
+            .agg(*[F.max(F.when(F.col("order") == name, F.col("n"))).alias(name) for name in orders]))
+    return stored.withColumn("__row", F.struct(*keys, tie)).join(wide, "__row").drop("__row")
+
+
+def filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str], slices: Column | None = None) -> DataFrame:
+    """Last non-null value up to and including the row: new name -> source column. ``order`` must be ascending."""
+    window, at = _up_to_here(order), F.struct(*order)
+    rows = _scan(_dealt(df, keys, order, slices), keys, {name: _last(F.col(src)).over(window) for name, src in columns.items()},
+                 {name: F.max_by(src, F.when(F.col(src).isNotNull(), at)) for name, src in columns.items()},
+                 {name: _last for name in columns})
+    return _clean(rows, df.columns, {name: F.coalesce(f"__local_{name}", f"__before_{name}") for name in columns})
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -209,7 +187,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
     """Exact nearest-rank percentile of several bigint/decimal measures per key.
 
     Values are counted per (key, measure, value) first, so the ordered part runs over
-    distinct values, and the running count is sliced if a key has too many of them. The
+    distinct values, sliced by cells of relative width. The
     counts are read several times and much smaller than the rows, so they are kept.
     """
     entries = F.explode(F.array(*[

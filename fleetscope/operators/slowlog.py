@@ -50,8 +50,7 @@ def slow_rollup(review: DataFrame, history: DataFrame, host_id: int | None = Non
 def slow_digest_rank(review: DataFrame, history: DataFrame) -> DataFrame:
     """Rollup per (host, digest) with its rank within the host by every order key."""
     rolled = slow_rollup(review, history, keys=("serverid_max", "checksum"))
-    orders = {f"rank_{k}": [F.col(k).desc(), F.col("checksum")] for k in ORDER_KEYS.values()}
-    return ranked(rolled, ["serverid_max"], orders, bound=history)
+    return ranked(rolled, ["serverid_max"], "checksum", {f"rank_{k}": f"-{k}" for k in ORDER_KEYS.values()})
 
 
 def slow_page(rollup: DataFrame, order_by: int = 1, page: int = 1) -> DataFrame:

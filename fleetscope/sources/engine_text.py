@@ -144,7 +144,7 @@ def deadlock_events(df: DataFrame) -> DataFrame:
     shown = F.explode(F.when(count > 5, F.array(F.struct(count.alias("line_count"), F.md5("t0").alias("digest")))))
     polls = (_section_text(df, "LATEST DETECTED DEADLOCK").select("host_id", "poll_id", "ts", shown.alias("d"))
              .select("host_id", "poll_id", "ts", "d.line_count", "d.digest"))
-    return (previous(polls, HOST, POLL, {"__before": "digest"}, bound=df)
+    return (previous(polls, HOST, POLL, {"__before": "digest"})
             .where("__before IS NULL OR __before <> digest").drop("__before"))
 
 

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from fleetscope.operators import ordered
 from fleetscope.session import configure
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,11 +22,10 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def tiny_groups(spark):
-    """Treat every key with more than seven rows as hot, so the sliced plans run."""
-    spark.conf.set("fleetscope.maxGroupRows", "7")
-    yield
-    spark.conf.unset("fleetscope.maxGroupRows")
+def tiny_groups(monkeypatch):
+    """Slices of single whole numbers, so that small data has many."""
+    monkeypatch.setattr(ordered, "BLOCK_BITS", 0)
+    monkeypatch.setattr(ordered, "CELLS", 4096)
 
 
 @pytest.fixture(scope="session")

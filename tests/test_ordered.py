@@ -62,58 +62,52 @@ def _check_all(spark, rows):
     assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(rows)
     assert _result(ordered.filled(df, ["k"], ["ts", "id"], {"f": "v"}), "f") == expected_filled(rows)
     ranks = {i: (n,) for group in _by_key(rows).values() for n, (_, i, _) in enumerate(reversed(group), 1)}
-    assert _result(ordered.numbered(df, ["k"], [F.col("ts").desc(), F.col("id").desc()], "rn"), "rn") == ranks
-
-
-def _as_times(spark, rows):
-    """The same rows with the order column as a time: forty hours, so two days."""
-    return (spark.createDataFrame(rows, SCHEMA)
-            .withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, ts)")))
-
-
-def test_days_are_slices_of_their_own(spark):
-    rows = _skewed(300)
-    spark.conf.set("fleetscope.maxGroupRows", "150")
-    try:
-        df = _as_times(spark, rows)
-        sliced, hot = ordered.slice_hot_keys(df, ["k"], ["ts", "id"])
-        assert hot and sliced.schema[ordered.SLICE].dataType.typeName() == "date"
-        sums = ordered.running(df, ["k"], ["ts", "id"], {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "n": ("count", "v")})
-        assert _result(sums, "s", "lo", "hi", "n") == expected_running(rows)
-        assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(rows)
-        assert _result(ordered.filled(df, ["k"], ["ts", "id"], {"f": "v"}), "f") == expected_filled(rows)
-    finally:
-        spark.conf.unset("fleetscope.maxGroupRows")
-
-
-def test_a_day_with_too_many_rows_is_cut_by_range(spark, tiny_groups):
-    rows = [(k, ts % 5, i, v) for k, ts, i, v in _skewed(80)]
-    df = _as_times(spark, rows)
-    sliced, hot = ordered.slice_hot_keys(df, ["k"], ["ts", "id"])
-    assert hot and sliced.schema[ordered.SLICE].dataType.typeName() == "integer"
-    assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(rows)
+    assert _result(ordered.numbered(df, ["k"], ["-ts", "-id"], "rn"), "rn") == ranks
+
+
+@pytest.mark.parametrize("kind", ["bigint", "timestamp_ntz", "date", "decimal(20,3)", "double", "string"])
+def test_any_order_column(spark, kind):
+    """Days, years, blocks, cells and letters are slices; the order stays that of the column."""
+    rows = [(k, None if ts == 7 else (ts - 20) * 40_000, i, v) for k, ts, i, v in _skewed(120)]
+    made = {"bigint": "ts", "timestamp_ntz": "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, ts)", "date": "date_add(date'2024-01-01', cast(ts / 1000 as int))",
+            "decimal(20,3)": "cast(ts / 1000 as decimal(20,3))", "double": "cast(ts as double) / 7", "string": "lpad(cast(ts + 800000 as string), 7, '0')"}[kind]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.expr(made))
+    assert df.select(ordered.slice_number(df, "ts").alias("s")).distinct().count() > 1
+    known = [(k, -10 ** 9 if ts is None else ts, i, v) for k, ts, i, v in rows]
+    aggregates = {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "n": ("count", "v")}
+    assert _result(ordered.running(df, ["k"], ["ts", "id"], aggregates), "s", "lo", "hi", "n") == expected_running(known)
+    assert _result(ordered.previous(df, ["k"], ["ts", "id"], {"p": "v", "pid": "id"}), "p", "pid") == expected_previous(known)
+    ranks = {i: (n,) for group in _by_key(known).values() for n, (_, i, _) in enumerate(reversed(group), 1)}
+    assert _result(ordered.numbered(df, ["k"], ["-ts", "-id"], "rn"), "rn") == ranks
+
+
+def test_numbers_that_are_not_finite(spark):
+    rows = [(0, x, i, i) for i, x in enumerate([float("nan"), float("inf"), float("-inf"), None, 0.0, -0.5, 1e300, -1e300])]
+    df = spark.createDataFrame(rows, "k BIGINT, ts DOUBLE, id BIGINT, v BIGINT")
+    got = [r.id for r in ordered.numbered(df, ["k"], ["ts", "id"], "rn").orderBy("rn").collect()]
+    assert got == [3, 2, 7, 5, 4, 6, 1, 0]
 
 
-def test_sliced_plan_shuffles_the_rows_once(spark):
-    """One exchange for the rows, one for the carry rows; no join."""
-    spark.conf.set("fleetscope.maxGroupRows", "150")
-    try:
-        out = ordered.previous(_as_times(spark, _skewed(300)), ["k"], ["ts", "id"], {"p": "v"})
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 3
-    finally:
-        spark.conf.unset("fleetscope.maxGroupRows")
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_the_input_is_read_once_whatever_the_levels(spark, tmp_path, levels):
+    """The summary of the slices reads the rows that were dealt out, also when operators are stacked."""
+    spark.createDataFrame(_skewed(300), SCHEMA).repartition(4).write.parquet(str(tmp_path / "rows"))
+    out = spark.read.parquet(str(tmp_path / "rows"))
+    for n in range(levels):
+        out = ordered.running(out, ["k"], ["ts", "id"], {f"s{n}": ("sum", "v" if not n else f"s{n - 1}")})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan") <= levels
 
 
 def test_plain(spark):
-    assert ordered.slice_hot_keys(spark.createDataFrame(_skewed(), SCHEMA), ["k"], ["ts", "id"])[1] is False
     _check_all(spark, _skewed())
 
 
 def test_sliced(spark, tiny_groups):
-    df, hot = ordered.slice_hot_keys(spark.createDataFrame(_skewed(), SCHEMA), ["k"], ["ts", "id"])
-    assert hot
-    assert df.groupBy(ordered.SLICE).count().agg(F.max("count")).first()[0] < 60
+    df = spark.createDataFrame(_skewed(), SCHEMA)
+    assert df.select(ordered.slice_number(df, "ts")).distinct().count() > 30
     _check_all(spark, _skewed())
 
 
@@ -127,7 +121,7 @@ def test_sliced_with_ties_and_nulls(spark, tiny_groups, rows):
 def test_ranked_slices_each_order(spark, tiny_groups):
     rows = _skewed(60)
     df = spark.createDataFrame(rows, SCHEMA)
-    out = ordered.ranked(df, ["k"], {"up": [F.col("id")], "down": [F.col("id").desc()]})
+    out = ordered.ranked(df, ["k"], "id", {"up": "id", "down": "-id"})
     sizes = {k: len(g) for k, g in _by_key(rows).items()}
     for r in out.collect():
         assert r["up"] + r["down"] == sizes[r["k"]] + 1
@@ -150,8 +144,3 @@ def test_top_per_key_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
     for k, group in _by_key(_skewed()).items():
         assert {r["id"] for r in top.where(F.col("k").eqNullSafe(F.lit(k))).collect()} == {i for _, i, _ in group[-5:]}
-
-
-def test_bound_spares_the_check_of_the_larger_plan(spark):
-    df = spark.createDataFrame(_skewed(20), SCHEMA)
-    assert ordered.has_hot_key(df, ["k"], bound=df) is False
