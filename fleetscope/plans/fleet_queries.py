@@ -9,6 +9,7 @@ from fleetscope.plans.change_queries import FORWARD, KEYS
 from fleetscope.plans.counter_queries import ENTRIES as COUNTER_ENTRIES
 from fleetscope.plans.counter_queries import METRICS_SQL, _lag
 from fleetscope.plans.inputs import QUERY_LOG, Inputs
+from fleetscope.operators.slowlog import DIGEST_MEASURES
 from fleetscope.plans.registry import Entry
 from fleetscope.plans.slowlog_queries import PRINTED
 from fleetscope.plans.space_queries import SPACE, TOTALS
@@ -131,8 +132,8 @@ def _stream_alerts(i: Inputs):
 def _sync(i: Inputs):
     target, checkpoint = _paths(i, "sync", 2)
     pairs = i.host_infos.selectExpr("'db' || CAST(host_id % 2 AS STRING) AS schema_name", "'accounts' AS table_name")
-    streams.sync_apply(streams.land(i.binlog_events, "changes"), pairs, target, checkpoint).awaitTermination()
-    return changes.table_as_of(i.spark.read.parquet(target), KEYS, F.lit(True))
+    streams.sync_apply(streams.land(i.binlog_events, "changes"), pairs, target, checkpoint, KEYS).awaitTermination()
+    return streams.read_synced(i.spark, target, KEYS)
 
 
 ENTRIES = {
@@ -181,7 +182,11 @@ ENTRIES = {
         {"m": METRICS_SQL})),
     "stream_slow_digest": Entry(_stream_digest, with_views(
         "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, checksum, max(fingerprint) AS fingerprint, count(*) AS ts_cnt,"
-        " CAST(sum(query_time) AS DOUBLE) AS query_time_sum, CAST(max(query_time) AS DOUBLE) AS query_time_max FROM fp GROUP BY 1, 2", PRINTED)),
+        " min(ts) AS first_seen, max(ts) AS last_seen, max(default_db) AS db_max, max(user_name) AS user_max, max(host_id) AS serverid_max,"
+        " arg_max(sql_text, (query_time, -query_id)) AS sample, " + ", ".join(
+            f"CAST(sum({m}) AS DOUBLE) AS {m}_sum, CAST(min({m}) AS DOUBLE) AS {m}_min, CAST(max({m}) AS DOUBLE) AS {m}_max,"
+            f" CAST(list_sort(list({m}))[CAST(ceil(0.95 * count({m})) AS BIGINT)] AS DOUBLE) AS {m}_pct_95" for m in DIGEST_MEASURES)
+        + " FROM fp GROUP BY 1, 2", PRINTED)),
     "stream_alerts": Entry(_stream_alerts, with_views(
         "SELECT DISTINCT host_id, rule, time_bucket(INTERVAL 10 MINUTE, ts) AS since FROM"
         " (SELECT host_id, ts, 'threads' AS rule FROM counter_samples WHERE threads_connected > 1000"

@@ -85,8 +85,9 @@ def report_tsv(space: DataFrame, path: str) -> None:
 
 
 def sql_script_sink(statements: DataFrame, path: str) -> None:
-    """Statements as text, one per line, in log order over the numbered part files."""
-    (statements.repartitionByRange("master_host_id", "log_file", "log_pos").sortWithinPartitions("master_host_id", "log_file", "log_pos")
+    """Statements as text, one per line, in log order over the numbered part files; a longer file name is later."""
+    place = ["master_host_id", F.length("log_file"), "log_file", "log_pos"]
+    (statements.repartitionByRange(*place).sortWithinPartitions(*place)
      .select("sql").write.mode("overwrite").text(path))
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming versions of the operators.
 
-Results go to files under the shared folder. Each micro-batch writes its own
-``batch_id=n`` folder and overwrites it when retried, so restarts do not duplicate rows.
+Results go to files under the shared folder. Rows that stay as they are go to a folder
+``batch_id=n`` for each micro-batch, overwritten when it is retried; rows that are updated go to a merged
+table (:mod:`fleetscope.streaming.merged`). So restarts do not duplicate rows.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetscope.functions.sql_text import sql_checksum, sql_fingerprint
-from fleetscope.operators.changes import MASTER, change_tables, log_order
+from fleetscope.operators.changes import MASTER, TABLE, change_tables, log_order, table_as_of
 from fleetscope.operators.counters import HOST, POLL, counter_rates, latest_state, load_alerts
+from fleetscope.operators.slowlog import DIGEST_MEASURES
 from fleetscope.session import scratch_path
+from fleetscope.streaming.merged import MergedTable
 
 BATCH = "batch_id"
+DIGEST_KEYS = ["window_start", "checksum"]
+SKETCH = 10_000
 
 
 def start(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str,
@@ -38,18 +43,29 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def upserts(spark: SparkSession, path: str, keys: Sequence[str]) -> MergedTable:
+    """The merged table of an update-mode query: the row of the latest micro-batch counts."""
+    return MergedTable(spark, path, keys, F.col(BATCH))
+
+
+def upsert_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Apply each micro-batch of updates to the table of :func:`upserts`."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upserts(batch.sparkSession, path, keys).apply(batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")), batch_id)
+
+    return write
+
+
 def read_upserts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest version of every key over all batches of an update-mode query."""
-    stored = spark.read.parquet(path)
-    rest = [c for c in stored.columns if c not in {*keys, BATCH}]
-    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("r"))
-    return newest.select(*keys, "r.*")
+    return upserts(spark, path, keys).read().drop(BATCH)
 
 
 def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, state: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Rates per interval over a stream of samples.
 
-    The state is the newest sample of every host, one small table per micro-batch. A
+    The state is the newest sample of every host, in one of two folders by turns: a
+    micro-batch reads the one its predecessor wrote and overwrites the other. A
     sample that is not newer than it is late and dropped. A micro-batch is an ordinary
     DataFrame, so a host with most of its rows is sliced as in the batch operator.
     """
@@ -60,7 +76,7 @@ def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, s
         batch = batch.select(*columns).persist()
         rows = batch.withColumn("__old", F.lit(False))
         if batch_id > 0:
-            known = spark.read.schema(batch.schema).parquet(f"{state}/{BATCH}={batch_id - 1}")
+            known = spark.read.schema(batch.schema).parquet(f"{state}/{(batch_id - 1) % 2}")
             newest = known.select("host_id", F.struct(*POLL).alias("__at"))
             fresh = (batch.join(newest, "host_id", "left")
                      .where(F.col("__at").isNull() | (F.struct(*POLL) > F.col("__at"))).drop("__at"))
@@ -68,7 +84,7 @@ def stream_counter_rates(stream: DataFrame, counters: Sequence[str], out: str, s
                     .unionByName(known.withColumn("__old", F.lit(True))))
         rates = counter_rates(rows, counters).where("NOT __old").drop("__old")
         rates.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
-        latest_state(rows.drop("__old")).select(*columns).write.mode("overwrite").parquet(f"{state}/{BATCH}={batch_id}")
+        latest_state(rows.drop("__old")).select(*columns).write.mode("overwrite").parquet(f"{state}/{batch_id % 2}")
         batch.unpersist()
 
     return start(stream, "append", process, checkpoint, trigger)
@@ -79,7 +95,7 @@ def stream_latest(stream: DataFrame, out: str, checkpoint: str, trigger: dict |
     rest = [c for c in stream.columns if c not in HOST]
     newest = (stream.groupBy(*HOST).agg(F.max_by(F.struct(*rest), F.struct(*POLL)).alias("s"))
               .select(*HOST, "s.*"))
-    return start(newest, "update", batch_sink(out), checkpoint, trigger)
+    return start(newest, "update", upsert_sink(out, HOST), checkpoint, trigger)
 
 
 def stream_running_stats(stream: DataFrame, metrics: Sequence[str], out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -89,21 +105,28 @@ def stream_running_stats(stream: DataFrame, metrics: Sequence[str], out: str, ch
     totals = stream.groupBy(*HOST).agg(*aggs)
     averages = {f"{m}_avg": F.try_divide(F.col(f"{m}_sum").cast("double"), F.col(f"{m}_count").cast("double"))
                 for m in metrics}
-    return start(totals.withColumns(averages), "update", batch_sink(out), checkpoint, trigger)
+    return start(totals.withColumns(averages), "update", upsert_sink(out, HOST), checkpoint, trigger)
 
 
 def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Digest per fingerprint and five-minute window; open windows are updated, not held back."""
+    """Digest per fingerprint and five-minute window; open windows are updated, not held back.
+
+    The measures are those of the batch digest. The 95th percentile is a mergeable sketch: off by
+    one in ``SKETCH`` ranks of a window at most, and exact in windows of fewer statements.
+    """
     printed = (stream.withColumn("ts", F.col("ts").cast("timestamp"))
                .withColumn("fingerprint", sql_fingerprint("sql_text"))
                .withColumn("checksum", sql_checksum("fingerprint")))
+    measures = {"sum": F.sum, "min": F.min, "max": F.max, "pct_95": lambda m: F.percentile_approx(m, 0.95, SKETCH)}
     digest = (printed.withWatermark("ts", delay)
               .groupBy(F.window("ts", "5 minutes").alias("w"), "checksum")
-              .agg(F.count("*").alias("ts_cnt"), F.sum("query_time").cast("double").alias("query_time_sum"),
-                   F.max("query_time").cast("double").alias("query_time_max"), F.max("fingerprint").alias("fingerprint"))
-              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "checksum", "fingerprint", "ts_cnt",
-                      "query_time_sum", "query_time_max"))
-    return start(digest, "update", batch_sink(out), checkpoint, trigger)
+              .agg(F.count("*").alias("ts_cnt"), F.max("fingerprint").alias("fingerprint"),
+                   F.min("ts").cast("timestamp_ntz").alias("first_seen"), F.max("ts").cast("timestamp_ntz").alias("last_seen"),
+                   F.max("default_db").alias("db_max"), F.max("user_name").alias("user_max"), F.max("host_id").alias("serverid_max"),
+                   F.max_by("sql_text", F.struct("query_time", F.negate("query_id"))).alias("sample"),
+                   *[fn(m).cast("double").alias(f"{m}_{name}") for m in DIGEST_MEASURES for name, fn in measures.items()]))
+    digest = digest.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *[c for c in digest.columns if c != "w"])
+    return start(digest, "update", upsert_sink(out, DIGEST_KEYS), checkpoint, trigger)
 
 
 def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
@@ -115,21 +138,31 @@ def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10
     return start(alerts, "append", batch_sink(out), checkpoint, trigger)
 
 
-def sync_apply(stream: DataFrame, pairs: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def synced(spark: SparkSession, target: str, keys: Sequence[str]) -> MergedTable:
+    """The merged table that :func:`sync_apply` keeps: the newest event of every row, deletions included."""
+    return MergedTable(spark, target, [*MASTER, *TABLE, *keys], log_order(F.col("log_file"), F.col("log_pos")))
+
+
+def sync_apply(stream: DataFrame, pairs: DataFrame, target: str, checkpoint: str, keys: Sequence[str], trigger: dict | None = None) -> StreamingQuery:
     """Copy the changes of the listed tables to ``target``; the checkpoint holds the position.
 
-    A micro-batch is appended under its id, which costs as much as the batch and not as
-    much as the table. Reading merges by key and position, so a repeated event is harmless.
+    A micro-batch costs as much as the batch, and its share of the merges. Rows are merged by key and
+    position, so a repeated event is harmless, in whatever batch it comes.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        change_tables(batch, pairs).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        synced(batch.sparkSession, target, keys).apply(change_tables(batch, pairs), batch_id)
 
     return start(stream, "append", process, checkpoint, trigger)
 
 
-def sync_position(spark: SparkSession, target: str) -> DataFrame:
-    """Newest applied log position of each master."""
-    return (spark.read.parquet(target).groupBy(*MASTER).agg(F.max(log_order(F.col("log_file"), F.col("log_pos"))).alias("p"))
+def read_synced(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of the copied tables as they are now."""
+    return table_as_of(synced(spark, target, keys).read(), keys, F.lit(True))
+
+
+def sync_position(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """Newest applied log position of each master: that of the newest event of some row."""
+    return (synced(spark, target, keys).read().groupBy(*MASTER).agg(F.max(log_order(F.col("log_file"), F.col("log_pos"))).alias("p"))
             .select(*MASTER, "p.log_file", "p.log_pos"))
 
 

@@ -55,12 +55,17 @@ def test_latest_and_running_stats_over_batches(spark, tmp_path):
 
 def test_digest_updates_open_windows(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
-    schema = "ts TIMESTAMP_NTZ, sql_text STRING, query_time DECIMAL(18,2)"
+    schema = ("ts TIMESTAMP_NTZ, sql_text STRING, query_time DECIMAL(18,2), lock_time BIGINT, rows_sent BIGINT, rows_examined BIGINT, default_db STRING,"
+              " user_name STRING, host_id BIGINT, query_id BIGINT")
     for n in range(2):
-        _feed(spark, source, [(T0 + timedelta(seconds=60 * k), f"select {n + k}", None) for k in range(6)], schema)
+        _feed(spark, source, [(T0 + timedelta(seconds=60 * k), f"select {n + k}", None, k, 10 * n + k, 7, f"db{n}", "u", n, 10 * n + k) for k in range(6)], schema)
         streams.stream_slow_digest(spark.readStream.schema(schema).parquet(source), out, checkpoint).awaitTermination()
-    got = {r.window_start: r.ts_cnt for r in streams.read_upserts(spark, out, ["window_start", "checksum"]).collect()}
-    assert got == {T0: 10, T0 + timedelta(minutes=5): 2}
+    got = {r.window_start: r for r in streams.read_upserts(spark, out, ["window_start", "checksum"]).collect()}
+    assert {w: r.ts_cnt for w, r in got.items()} == {T0: 10, T0 + timedelta(minutes=5): 2}
+    first = got[T0]
+    assert (first.first_seen, first.last_seen, first.db_max, first.serverid_max) == (T0, T0 + timedelta(minutes=4), "db1", 1)
+    assert (first.rows_sent_min, first.rows_sent_max, first.rows_sent_sum, first.rows_sent_pct_95) == (0, 14, 70, 14)
+    assert first.query_time_sum is None and first.query_time_pct_95 is None and first.rows_examined_pct_95 == 7
 
 
 def test_alerts_are_not_repeated(spark, tmp_path):
@@ -80,13 +85,13 @@ def test_sync_is_idempotent_and_keeps_its_position(spark, tmp_path, sf_dir):
     for part in ("log_pos < 500", "log_pos >= 500 AND log_pos < 900", "log_pos >= 880"):  # the last one repeats some
         events.where(part).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
-        streams.sync_apply(stream, pairs, target, checkpoint).awaitTermination()
-    synced = changes.table_as_of(spark.read.parquet(target), ["pk"], F.lit(True))
+        streams.sync_apply(stream, pairs, target, checkpoint, ["pk"]).awaitTermination()
+    synced = streams.read_synced(spark, target, ["pk"])
     want = changes.table_as_of(events.where("schema_name = 'db1'"), ["pk"], F.lit(True))
     assert synced.count() == want.count() > 0
     assert synced.select(want.columns).exceptAll(want).count() == 0
     last = events.where("schema_name = 'db1'").groupBy("master_host_id").agg(F.max("log_pos").alias("p"))
-    assert {(r.master_host_id, r.log_pos) for r in streams.sync_position(spark, target).collect()} == {(r.master_host_id, r.p) for r in last.collect()}
+    assert {(r.master_host_id, r.log_pos) for r in streams.sync_position(spark, target, ["pk"]).collect()} == {(r.master_host_id, r.p) for r in last.collect()}
 
 
 def test_table_stream_reads_a_file_and_a_folder_of_files(spark, tmp_path, sf_dir):
