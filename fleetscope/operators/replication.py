@@ -79,60 +79,61 @@ def binlog_size(logs: DataFrame) -> DataFrame:
 
 
 def lock_waits(trx: DataFrame, locks: DataFrame, waits: DataFrame, distinct: bool = False) -> DataFrame:
-    """Who waits for whom: both transactions and their locks.
+    """Who waits for whom on each server: both transactions and their locks.
 
-    A transaction with several locks gives several rows, as locks are found by
+    Servers number their transactions from one, so the server is part of every key. A transaction with several locks gives several rows, as locks are found by
     transaction only. Joins are left to the optimizer: sides that measure small are
     broadcast, a blocker many wait for is a skewed partition that is split.
     """
     def side(name: str) -> DataFrame:
-        t = trx.select(F.col("trx_id").alias(f"{name}_trx_id"), F.col("trx_mysql_thread_id").alias(f"{name}_thread"),
+        t = trx.select("host_id", F.col("trx_id").alias(f"{name}_trx_id"), F.col("trx_mysql_thread_id").alias(f"{name}_thread"),
                        F.col("trx_state").alias(f"{name}_state"), F.col("trx_query").alias(f"{name}_query"),
                        *([F.col("trx_isolation_level")] if name == "waiting" else []))
-        k = locks.select(F.col("lock_trx_id").alias(f"{name}_trx_id"), *[
+        k = locks.select("host_id", F.col("lock_trx_id").alias(f"{name}_trx_id"), *[
             F.col(f"lock_{c}").alias(f"{name}_lock_{c}") for c in ("mode", "type", "table", "index")])
-        return t.join(k, f"{name}_trx_id")
+        return t.join(k, ["host_id", f"{name}_trx_id"])
 
-    out = (waits.select(F.col("requesting_trx_id").alias("waiting_trx_id"), "blocking_trx_id")
-           .join(side("waiting"), "waiting_trx_id").join(side("blocking"), "blocking_trx_id"))
+    out = (waits.select("host_id", F.col("requesting_trx_id").alias("waiting_trx_id"), "blocking_trx_id")
+           .join(side("waiting"), ["host_id", "waiting_trx_id"]).join(side("blocking"), ["host_id", "blocking_trx_id"]))
     return out.distinct() if distinct else out
 
 
 def trx_lock_counts(trx: DataFrame, waits: DataFrame) -> DataFrame:
-    """Number of transactions and of lock waits, one row each."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("total")).select(F.lit(name).alias("name"), "total")
+    """Number of transactions and of lock waits of each server, one row each."""
+    def one(df: DataFrame, name: str) -> DataFrame:
+        return df.select("host_id", *[F.lit(int(n == name)).cast("bigint").alias(n) for n in ("trx", "lock_waits")])
 
-    return counted(trx, "trx").unionByName(counted(waits, "lock_waits"))
+    both = one(trx, "trx").unionByName(one(waits, "lock_waits")).groupBy("host_id").agg(F.sum("trx").alias("trx"), F.sum("lock_waits").alias("lock_waits"))
+    return both.unpivot(["host_id"], ["trx", "lock_waits"], "name", "total")
 
 
 def lock_chains(waits: DataFrame) -> DataFrame:
-    """Root blocker, depth and number of waiters behind that root, for every wait.
+    """Root blocker, depth and number of waiters behind that root, for every wait of every server.
 
     A transaction that waits for several others follows the oldest one. Pointers are
     doubled, so a chain of length n takes log2(n) rounds; each round is checkpointed. A
     round that resolves nothing more leaves only cycles: their root is null.
     """
-    state = pin(waits.groupBy(F.col("requesting_trx_id").alias("node")).agg(F.min("blocking_trx_id").alias("ptr"))
-                .select("node", "ptr", F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("done")))
+    state = pin(waits.groupBy("host_id", F.col("requesting_trx_id").alias("node")).agg(F.min("blocking_trx_id").alias("ptr"))
+                .select("host_id", "node", "ptr", F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("done")))
     open_rows = state.count()
     while open_rows:
-        step = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
-        moved = (state.where("NOT done").join(step, "ptr", "left")
-                 .select("node", F.coalesce("next", "ptr").alias("ptr"),
+        step = state.select("host_id", F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
+        moved = (state.where("NOT done").join(step, ["host_id", "ptr"], "left")
+                 .select("host_id", "node", F.coalesce("next", "ptr").alias("ptr"),
                          (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNull().alias("done")))
         state = pin(state.where("done").unionByName(moved))
         remaining = state.where("NOT done").count()
         if remaining == open_rows:
             break
         open_rows = remaining
-    found = state.select(F.col("node").alias("blocking_trx_id"), "ptr", "dist", "done")
-    chains = waits.join(found, "blocking_trx_id", "left").select(
-        "requesting_trx_id", "blocking_trx_id",
+    found = state.select("host_id", F.col("node").alias("blocking_trx_id"), "ptr", "dist", "done")
+    chains = waits.join(found, ["host_id", "blocking_trx_id"], "left").select(
+        "host_id", "requesting_trx_id", "blocking_trx_id",
         F.when(F.col("done").isNull(), F.col("blocking_trx_id")).when(F.col("done"), F.col("ptr")).alias("root_trx_id"),
         F.when(F.coalesce("done", F.lit(True)), F.coalesce("dist", F.lit(0)) + 1).alias("depth"),
         (~F.coalesce("done", F.lit(True))).cast("int").alias("in_cycle"))
     # A transaction may have several waits with one root; distinct pairs are shuffled by pair first.
-    sizes = (chains.select("root_trx_id", "requesting_trx_id").distinct()
-             .groupBy("root_trx_id").agg(F.count("*").alias("root_waiters")))
-    return chains.join(sizes, "root_trx_id", "left")
+    sizes = (chains.select("host_id", "root_trx_id", "requesting_trx_id").distinct()
+             .groupBy("host_id", "root_trx_id").agg(F.count("*").alias("root_waiters")))
+    return chains.join(sizes, ["host_id", "root_trx_id"], "left")

@@ -153,21 +153,23 @@ BINLOG_IMAGES = [
     "CASE WHEN rn % 4 = 0 THEN NULL WHEN note = '5-LOW' THEN NULL ELSE note END AS after_note",
 ]
 
+# Two servers with the same transaction numbers.
+TRX = "CAST(floor(event_id / 2) AS BIGINT)"
 INNODB_TRX = [
-    "event_id AS trx_id", "CASE WHEN event_type = 'error' THEN 'LOCK WAIT' ELSE 'RUNNING' END AS trx_state",
+    "event_id % 2 AS host_id", f"{TRX} AS trx_id", "CASE WHEN event_type = 'error' THEN 'LOCK WAIT' ELSE 'RUNNING' END AS trx_state",
     "'REPEATABLE READ' AS trx_isolation_level", "user_id AS trx_mysql_thread_id", "props AS trx_query",
 ]
 INNODB_LOCKS = [
-    "event_id AS lock_trx_id", "'X' AS lock_mode", "'RECORD' AS lock_type",
+    "event_id % 2 AS host_id", f"{TRX} AS lock_trx_id", "'X' AS lock_mode", "'RECORD' AS lock_type",
     "'t' || CAST(event_id % 5 AS STRING) AS lock_table", "'PRIMARY' AS lock_index",
 ]
 INNODB_LOCKS_SECOND = [
-    "event_id AS lock_trx_id", "'S' AS lock_mode", "'RECORD' AS lock_type",
+    "event_id % 2 AS host_id", f"{TRX} AS lock_trx_id", "'S' AS lock_mode", "'RECORD' AS lock_type",
     "'t' || CAST(event_id % 5 AS STRING) AS lock_table", "'idx_a' AS lock_index",
 ]
-INNODB_LOCK_WAITS = ["event_id AS requesting_trx_id", "event_id - 1 - event_id % 3 AS blocking_trx_id"]
+INNODB_LOCK_WAITS = ["event_id % 2 AS host_id", f"{TRX} AS requesting_trx_id", f"{TRX} - 1 - event_id % 3 AS blocking_trx_id"]
 # Only some transactions wait: the fixture is a wait graph, not all pairs of neighbours.
-LOCK_WAIT_ROWS = "event_type = 'error' AND event_id > 3"
+LOCK_WAIT_ROWS = "event_type = 'error' AND event_id > 7"
 
 QUERY_LOG = [
     "o_orderkey AS query_id", "o_custkey % 10 AS host_id", "'db' || CAST(o_custkey % 3 AS STRING) AS default_db",

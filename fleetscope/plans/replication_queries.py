@@ -41,7 +41,7 @@ def _expected(i):
 
 LOCK_FIELDS = ("mode", "type", "table", "index")
 # A transaction with each lock it holds or asks for; the two ends of a wait are two readings of it.
-HOLDINGS = {"holding": "SELECT * FROM innodb_trx JOIN innodb_locks ON lock_trx_id = trx_id"}
+HOLDINGS = {"holding": "SELECT t.*, k.* EXCLUDE (host_id) FROM innodb_trx t JOIN innodb_locks k ON k.lock_trx_id = t.trx_id AND k.host_id = t.host_id"}
 
 
 def _end(name: str, alias: str) -> str:
@@ -73,18 +73,21 @@ ENTRIES = {
                          with_views("SELECT host_id, CAST(sum(file_size) AS BIGINT) AS binlog_size_total FROM master_logs GROUP BY host_id")),
     "lock_waits": Entry(
         lambda i: R.lock_waits(i.innodb_trx, i.innodb_locks, i.innodb_lock_waits),
-        with_views(f"SELECT x.trx_isolation_level, {_end('waiting', 'x')}, {_end('blocking', 'y')} FROM holding x"
-                   " JOIN innodb_lock_waits w ON w.requesting_trx_id = x.trx_id JOIN holding y ON y.trx_id = w.blocking_trx_id", HOLDINGS)),
+        with_views(f"SELECT x.host_id, x.trx_isolation_level, {_end('waiting', 'x')}, {_end('blocking', 'y')} FROM holding x"
+                   " JOIN innodb_lock_waits w ON w.requesting_trx_id = x.trx_id AND w.host_id = x.host_id"
+                   " JOIN holding y ON y.trx_id = w.blocking_trx_id AND y.host_id = w.host_id", HOLDINGS)),
     "lock_chains": Entry(
         lambda i: R.lock_chains(i.innodb_lock_waits),
-        with_views("SELECT c.requesting_trx_id, c.blocking_trx_id, c.root AS root_trx_id, c.depth, 0 AS in_cycle, n.root_waiters FROM ends c"
-                   " JOIN (SELECT root, count(DISTINCT requesting_trx_id) AS root_waiters FROM ends GROUP BY root) n ON c.root = n.root",
-                   {"walk": "SELECT requesting_trx_id, blocking_trx_id, blocking_trx_id AS root, CAST(1 AS BIGINT) AS depth FROM innodb_lock_waits"
-                            " UNION ALL SELECT k.requesting_trx_id, k.blocking_trx_id, w.blocking_trx_id, k.depth + 1 FROM walk k JOIN innodb_lock_waits w ON k.root = w.requesting_trx_id",
-                    "ends": "SELECT * FROM walk WHERE root NOT IN (SELECT requesting_trx_id FROM innodb_lock_waits)"}).replace("WITH ", "WITH RECURSIVE ", 1)),
+        with_views("SELECT c.host_id, c.requesting_trx_id, c.blocking_trx_id, c.root AS root_trx_id, c.depth, 0 AS in_cycle, n.root_waiters FROM ends c"
+                   " JOIN (SELECT host_id, root, count(DISTINCT requesting_trx_id) AS root_waiters FROM ends GROUP BY host_id, root) n ON c.root = n.root AND c.host_id = n.host_id",
+                   {"walk": "SELECT host_id, requesting_trx_id, blocking_trx_id, blocking_trx_id AS root, CAST(1 AS BIGINT) AS depth FROM innodb_lock_waits"
+                            " UNION ALL SELECT k.host_id, k.requesting_trx_id, k.blocking_trx_id, w.blocking_trx_id, k.depth + 1 FROM walk k"
+                            " JOIN innodb_lock_waits w ON k.root = w.requesting_trx_id AND k.host_id = w.host_id",
+                    "ends": "SELECT * FROM walk WHERE (host_id, root) NOT IN (SELECT (host_id, requesting_trx_id) FROM innodb_lock_waits)"}).replace("WITH ", "WITH RECURSIVE ", 1)),
     "trx_lock_counts": Entry(
         lambda i: R.trx_lock_counts(i.innodb_trx, i.innodb_lock_waits),
-        with_views("SELECT 'trx' AS name, count(*) AS total FROM innodb_trx UNION ALL SELECT 'lock_waits', count(*) FROM innodb_lock_waits")),
+        with_views("SELECT host_id, name, CAST(count(*) FILTER (WHERE name = kind) AS BIGINT) AS total FROM (SELECT host_id, 'trx' AS kind FROM innodb_trx"
+                   " UNION ALL SELECT host_id, 'lock_waits' FROM innodb_lock_waits) b CROSS JOIN (VALUES ('trx'), ('lock_waits')) n(name) GROUP BY 1, 2")),
     "backup_outcomes": Entry(
         lambda i: B.backup_outcomes(_log(i)),
         with_views("SELECT host_id, mode, count(*) AS backups, CAST(sum(CASE WHEN is_ok <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS failures,"

@@ -41,26 +41,31 @@ def test_failover(spark):
 
 
 def test_several_locks_fan_out(spark):
-    trx = spark.createDataFrame([(1, "RUNNING", "RR", 11, "a"), (2, "LOCK WAIT", "RR", 12, "b")],
-                                "trx_id BIGINT, trx_state STRING, trx_isolation_level STRING, trx_mysql_thread_id BIGINT, trx_query STRING")
-    locks = spark.createDataFrame([(1, "X", "RECORD", "t", "PRIMARY"), (1, "X", "RECORD", "t", "PRIMARY"), (2, "S", "RECORD", "t", "PRIMARY")],
-                                  "lock_trx_id BIGINT, lock_mode STRING, lock_type STRING, lock_table STRING, lock_index STRING")
-    waits = spark.createDataFrame([(2, 1)], "requesting_trx_id BIGINT, blocking_trx_id BIGINT")
-    assert R.lock_waits(trx, locks, waits).count() == 2
+    trx = spark.createDataFrame([(h, n, state, "RR", 10 * h + n, q) for h in (1, 2) for n, state, q in ((1, "RUNNING", "a"), (2, "LOCK WAIT", "b"))],
+                                "host_id BIGINT, trx_id BIGINT, trx_state STRING, trx_isolation_level STRING, trx_mysql_thread_id BIGINT, trx_query STRING")
+    locks = spark.createDataFrame([(1, 1, "X", "RECORD", "t", "PRIMARY"), (1, 1, "X", "RECORD", "t", "PRIMARY"), (1, 2, "S", "RECORD", "t", "PRIMARY"), (2, 1, "X", "RECORD", "u", "i")],
+                                  "host_id BIGINT, lock_trx_id BIGINT, lock_mode STRING, lock_type STRING, lock_table STRING, lock_index STRING")
+    waits = spark.createDataFrame([(1, 2, 1)], "host_id BIGINT, requesting_trx_id BIGINT, blocking_trx_id BIGINT")
+    # Transaction 1 of the other server has the same number and nobody waits for it.
+    assert [(r.host_id, r.blocking_thread, r.blocking_lock_table) for r in R.lock_waits(trx, locks, waits).collect()] == [(1, 11, "t")] * 2
     assert R.lock_waits(trx, locks, waits, distinct=True).count() == 1
+    assert {(r.host_id, r.name, r.total) for r in R.trx_lock_counts(trx, waits).collect()} == {(1, "trx", 2), (1, "lock_waits", 1), (2, "trx", 2), (2, "lock_waits", 0)}
 
 
 def test_chains_long_shared_and_cyclic(spark):
-    chain = [(n, n - 1) for n in range(2, 40)]
-    waits = spark.createDataFrame(chain + [(100, 5), (100, 7), (201, 202), (202, 203), (203, 201), (204, 203)],
-                                  "requesting_trx_id BIGINT, blocking_trx_id BIGINT")
-    got = {(r.requesting_trx_id, r.blocking_trx_id): r for r in R.lock_chains(waits).collect()}
-    assert len(got) == len(chain) + 6
-    assert all((got[n, n - 1].root_trx_id, got[n, n - 1].depth, got[n, n - 1].in_cycle) == (1, n - 1, 0) for n, _ in chain)
-    assert (got[100, 7].root_trx_id, got[100, 7].depth, got[100, 5].depth) == (1, 7, 5)
-    assert got[39, 38].root_waiters == 39
+    chain = [(1, n, n - 1) for n in range(2, 40)]
+    more = [(1, 100, 5), (1, 100, 7), (1, 201, 202), (1, 202, 203), (1, 203, 201), (1, 204, 203)]
+    # On another server the same numbers form a shorter chain, and no cycle.
+    other = [(2, 3, 2), (2, 201, 3)]
+    waits = spark.createDataFrame(chain + more + other, "host_id BIGINT, requesting_trx_id BIGINT, blocking_trx_id BIGINT")
+    got = {(r.host_id, r.requesting_trx_id, r.blocking_trx_id): r for r in R.lock_chains(waits).collect()}
+    assert len(got) == len(chain) + 8
+    assert all((got[1, n, n - 1].root_trx_id, got[1, n, n - 1].depth, got[1, n, n - 1].in_cycle) == (1, n - 1, 0) for _, n, _ in chain)
+    assert (got[1, 100, 7].root_trx_id, got[1, 100, 7].depth, got[1, 100, 5].depth) == (1, 7, 5)
+    assert got[1, 39, 38].root_waiters == 39
     for edge in ((201, 202), (202, 203), (203, 201), (204, 203)):
-        assert got[edge].in_cycle == 1 and got[edge].root_trx_id is None and got[edge].depth is None
+        assert got[1, *edge].in_cycle == 1 and got[1, *edge].root_trx_id is None and got[1, *edge].depth is None
+    assert [(r.root_trx_id, r.depth, r.root_waiters) for r in (got[2, 3, 2], got[2, 201, 3])] == [(2, 1, 2), (2, 2, 2)]
 
 
 def test_gtid_gaps(spark):
