@@ -117,16 +117,22 @@ def _stream_stats(i: Inputs):
 def _stream_digest(i: Inputs):
     out, checkpoint = _paths(i, "digest", 2)
     queries = streams.table_stream(i.spark, i.sf_dir, "orders").selectExpr(*QUERY_LOG)
-    # The statements are not in time order, so the watermark has to wait for the whole span.
-    streams.stream_slow_digest(queries, out, checkpoint, delay="7300 days").awaitTermination()
+    # The statements are not in time order, but they are read in one micro-batch, in which none is late.
+    streams.stream_slow_digest(queries, out, checkpoint).awaitTermination()
     return streams.read_upserts(i.spark, out, ["window_start", "checksum"])
 
 
+# Silences of this length occur at every size of the given tables.
+DOWN_SECONDS = 6 * 3600
+
+
 def _stream_alerts(i: Inputs):
-    out, checkpoint = _paths(i, "alerts", 2)
+    out, checkpoint, silent, checkpoint_silent = _paths(i, "alerts", 4)
     samples = streams.land(i.counter_samples.select("host_id", "ts", "threads_connected", "threads_running"), "samples")
-    streams.stream_alerts(samples, out, checkpoint, delay="60 days").awaitTermination()
-    return i.spark.read.parquet(out).select("host_id", "rule", F.col("since").cast("timestamp_ntz").alias("since"))
+    replicas = streams.land(i.slave_status.select("host_id", "ts", "slave_io_running", "slave_sql_running"), "replicas")
+    streams.stream_alerts(samples, out, checkpoint, replicas=replicas).awaitTermination()
+    streams.stream_host_down(samples, silent, checkpoint_silent, DOWN_SECONDS).awaitTermination()
+    return i.spark.read.parquet(out).unionByName(i.spark.read.parquet(silent)).select("host_id", "rule", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
 def _sync(i: Inputs):
@@ -190,7 +196,12 @@ ENTRIES = {
     "stream_alerts": Entry(_stream_alerts, with_views(
         "SELECT DISTINCT host_id, rule, time_bucket(INTERVAL 10 MINUTE, ts) AS since FROM"
         " (SELECT host_id, ts, 'threads' AS rule FROM counter_samples WHERE threads_connected > 1000"
-        " UNION ALL SELECT host_id, ts, 'threads_running' FROM counter_samples WHERE threads_running > 5) a")),
+        " UNION ALL SELECT host_id, ts, 'threads_running' FROM counter_samples WHERE threads_running > 5"
+        " UNION ALL SELECT host_id, ts, 'io_state' FROM slave_status WHERE slave_io_running <> 'Yes'"
+        " UNION ALL SELECT host_id, ts, 'sql_state' FROM slave_status WHERE slave_sql_running <> 'Yes') a"
+        " UNION ALL SELECT host_id, 'host_down', time_bucket(INTERVAL 10 MINUTE, ts + down) FROM (SELECT host_id, ts, max(ts) OVER () AS newest,"
+        f" INTERVAL {DOWN_SECONDS} SECOND AS down, lead(ts) OVER (PARTITION BY host_id ORDER BY ts) AS following FROM counter_samples) s"
+        " WHERE following > ts + down OR (following IS NULL AND ts + down < newest - INTERVAL 10 MINUTE)")),
     "sync_apply": Entry(_sync, with_views(
         "SELECT master_host_id, schema_name, table_name, pk, after_amt AS amt, after_note AS note FROM (SELECT *, row_number() OVER"
         " (PARTITION BY master_host_id, schema_name, table_name, pk ORDER BY log_file DESC, log_pos DESC) AS rn FROM binlog_events"

@@ -7,15 +7,18 @@ table (:mod:`fleetscope.streaming.merged`). So restarts do not duplicate rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetscope.functions.sql_text import sql_checksum, sql_fingerprint
 from fleetscope.operators.changes import MASTER, TABLE, change_tables, log_order, table_as_of
-from fleetscope.operators.counters import HOST, POLL, counter_rates, latest_state, load_alerts
+from fleetscope.operators.counters import HOST, POLL, counter_rates, latest_state, load_alerts, replica_alerts
 from fleetscope.operators.slowlog import DIGEST_MEASURES
 from fleetscope.session import scratch_path
 from fleetscope.streaming.merged import MergedTable
@@ -129,15 +132,53 @@ def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str
     return start(digest, "update", upsert_sink(out, DIGEST_KEYS), checkpoint, trigger)
 
 
-def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Threshold alerts, one per host, rule and ten minutes."""
-    alerts = (load_alerts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-              .withWatermark("ts", delay)
+def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None,
+                  replicas: DataFrame | None = None) -> StreamingQuery:
+    """Threshold alerts, and those of stopped threads if a stream of replica states is given; one per host, rule and ten minutes."""
+    def timed(df: DataFrame) -> DataFrame:
+        return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+    alerts = load_alerts(timed(stream))
+    if replicas is not None:
+        alerts = alerts.unionByName(replica_alerts(timed(replicas)))
+    alerts = (alerts
               .withColumn("since", F.window("ts", "10 minutes")["start"])
               .dropDuplicatesWithinWatermark(["host_id", "rule", "since"]))
     return start(alerts, "append", batch_sink(out), checkpoint, trigger)
 
 
+def stream_host_down(stream: DataFrame, out: str, checkpoint: str, down_seconds: int, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
+    """One alert for every silence of a host longer than ``down_seconds``, dated when the host counted as down.
+
+    The state of a host is its newest sample; its timer fires when event time, less ``delay``, has passed
+    the limit and nothing came. A silence that ends within a micro-batch is seen when it ends. A sample
+    that comes late into a silence already reported withdraws nothing.
+    """
+    limit = down_seconds * 1_000_000
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        down: list[int] = []
+        if state.hasTimedOut:
+            down.append(state.get[0] + limit)
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for at in np.sort(np.concatenate([b["at"].to_numpy(np.int64) for b in batches])).tolist():
+                if last is not None and at - last > limit:
+                    down.append(last + limit)
+                last = at if last is None else max(last, at)
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"host_id": np.full(len(down), key[0]), "at": np.array(down, np.int64)})
+
+    samples = (stream.select("host_id", F.col("ts").cast("timestamp").alias("ts")).where("host_id IS NOT NULL AND ts IS NOT NULL")
+               .withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")))
+    silent = samples.groupBy("host_id").applyInPandasWithState(watch, "host_id BIGINT, at BIGINT", "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+    alerts = silent.select("host_id", F.timestamp_micros("at").alias("ts"), F.lit("host_down").alias("rule"), F.lit("No").alias("value"),
+                           F.window(F.timestamp_micros("at"), "10 minutes")["start"].alias("since"))
+    return start(alerts, "append", batch_sink(out), checkpoint, trigger)
+
+
 def synced(spark: SparkSession, target: str, keys: Sequence[str]) -> MergedTable:
     """The merged table that :func:`sync_apply` keeps: the newest event of every row, deletions included."""
     return MergedTable(spark, target, [*MASTER, *TABLE, *keys], log_order(F.col("log_file"), F.col("log_pos")))

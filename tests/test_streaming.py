@@ -78,6 +78,36 @@ def test_alerts_are_not_repeated(spark, tmp_path):
     assert [(r.host_id, r.rule) for r in spark.read.parquet(out).collect()] == [(1, "threads")]
 
 
+def test_stopped_threads_are_alerts_too(spark, tmp_path):
+    loads = "host_id BIGINT, ts TIMESTAMP_NTZ, threads_connected BIGINT, threads_running BIGINT"
+    states = "host_id BIGINT, ts TIMESTAMP_NTZ, slave_io_running STRING, slave_sql_running STRING"
+    for n in range(2):
+        _feed(spark, str(tmp_path / "load"), [(1, T0 + timedelta(seconds=n), 1, 6)], loads)
+        _feed(spark, str(tmp_path / "replica"), [(2, T0 + timedelta(seconds=n), "No", "Yes"), (3, T0 + timedelta(minutes=30 * n), "Yes", "No")], states)
+        streams.stream_alerts(spark.readStream.schema(loads).parquet(str(tmp_path / "load")), str(tmp_path / "out"), str(tmp_path / "check"),
+                              replicas=spark.readStream.schema(states).parquet(str(tmp_path / "replica"))).awaitTermination()
+    got = sorted((r.host_id, r.rule) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "threads_running"), (2, "io_state"), (3, "sql_state"), (3, "sql_state")]
+
+
+def test_silent_hosts_over_restarts(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "host_id BIGINT, ts TIMESTAMP_NTZ"
+
+    def minute(host, m):
+        return (host, T0 + timedelta(minutes=m))
+
+    # Host 1 always answers. Host 2 falls silent for good, host 3 comes back in a later batch, host 4 within one; host 5 is silent for less.
+    parts = [[minute(1, m) for m in range(30)] + [minute(2, 5), minute(3, 1), minute(4, 0), minute(4, 25), minute(5, 20)],
+             [minute(1, m) for m in range(30, 60)] + [minute(5, 29)], [minute(1, m) for m in range(60, 90)] + [minute(3, 85), minute(4, 30)]]
+    for part in parts:
+        _feed(spark, source, part, schema)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.stream_host_down(stream, out, checkpoint, 600, delay="2 minutes").awaitTermination()
+    got = sorted((r.host_id, (r.ts - datetime(2024, 1, 1)).total_seconds() / 60) for r in spark.read.parquet(out).selectExpr("host_id", "cast(ts as timestamp_ntz) ts").collect())
+    assert got == [(2, 15), (3, 11), (4, 10), (4, 35), (5, 39)]
+
+
 def test_sync_is_idempotent_and_keeps_its_position(spark, tmp_path, sf_dir):
     events = Inputs(spark, sf_dir).binlog_events
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "target", "check"))
