@@ -255,7 +255,7 @@ def _confirmed_apart(pairs: DataFrame, apart: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(set_key, component_id) of every distinct set; ``rows`` is what ``sketched`` made, stored."""
+    """(set_key, component_id, comp) of every distinct set, ``comp`` being its class even where no id is known; ``rows`` is what ``sketched`` made, stored."""
     sets = (rows.where("n_shingles > 0").groupBy("set_key", "n_shingles", "registers")
             .agg(F.min("id").alias("least_id"), F.min("row_key").alias("row_key")))
     reps = store(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
@@ -265,7 +265,7 @@ def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = store(banded.join(buckets, "bucket").select("bucket", "pivot", "node"), "members")
     if members.isEmpty():
-        return reps.select("set_key", F.col("least_id").alias("component_id"))
+        return reps.select("set_key", F.col("least_id").alias("component_id"), F.col("node").alias("comp"))
     sketches = store(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "registers"), "sketches")
     full = store(_full_sets(docs, text, id_col, reps.join(sketches.select("node"), "node", "left_semi").select("row_key", "node", "set_key")), "shingles")
     # Round one: each member against the most similar of its pivots.
@@ -287,7 +287,7 @@ def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "
         comps = components(edges)
     named = reps.select("node", "set_key", "least_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    return named.join(least, "comp").select("set_key", "component_id")
+    return named.join(least, "comp").select("set_key", "component_id", "comp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -300,6 +300,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return grouped.union(alone).select("doc", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with one row for each class of near-duplicates: the one of least id, known ids first, and one of several with that id.
+
+    Rows without words are linked with nothing, so all of them stay.
+    """
+    rows = store(sketched(docs, text, id_col).withColumn("row", F.monotonically_increasing_id()), "sketched")
+    labels = linked(docs, rows.drop("doc", "row"), text, id_col).select("set_key", "comp")
+    first = (rows.where("n_shingles > 0").select("row", "id", "set_key").join(labels, "set_key")
+             .groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row")).select("row"))
+    alone = rows.where("n_shingles = 0").select("doc")
+    return rows.select("row", "doc").join(first, "row", "left_semi").select("doc").union(alone).select("doc.*")
+
+
 def op3_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc.doc_id", "n_shingles", "component_id", "kept")

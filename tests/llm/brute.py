@@ -24,6 +24,26 @@ def line_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), failed
 
 
+def normal_lines(text):
+    """(normalised words, number of words) of each line with a word."""
+    digits = str.maketrans("123456789", "000000000")
+    lines = [WHITE.findall(x.translate(FOLD).translate(digits)) for x in (text or "").split("\n")]
+    return [(tuple(x), len(x)) for x in lines if x]
+
+
+def left_words(rows, name, least=5, percent=10, many=1000):
+    """Words of each (id, host, text) that are in no line too many documents of the host hold; ``name`` says what a text counts as."""
+    names, holders = {}, {}
+    for _, host, text in rows:
+        names.setdefault(host, set()).add(name(text or ""))
+        for line, _ in normal_lines(text):
+            holders.setdefault((host, line), set()).add(name(text or ""))
+    def stays(host, line):
+        n = len(holders[host, line])
+        return n <= least or not (100 * n > percent * len(names[host]) or n > many)
+    return {i: sum(n for line, n in normal_lines(text) if stays(host, line)) for i, host, text in rows}
+
+
 def shingles(text):
     words = WHITE.findall((text or "").translate(FOLD))
     if len(words) < 5:

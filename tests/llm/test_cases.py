@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import hits, shingles
+from brute import hits, left_words, line_measures, shingles
 from pyspark.sql import functions as F
 
 from fleetscope.llm import boosted_gam, common, op01_language_id, op02_bpe, op03_setsketch, op04_html_wrapper, op05_decontamination
@@ -334,6 +334,38 @@ def test_frequent_lines_are_removed(spark):
     assert got == {k: (t, len(t)) for k, t in want.items()}
 
 
+def test_line_verdicts_are_those_of_the_plain_version(spark):
+    """Hosts of several sizes, lines that differ in case, digits and spaces, copies, near copies, nulls."""
+    def name(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return op10_quality_rules._measure(data, np.array([0, len(data)]))["document"][0].as_py()
+
+    rng = random.Random(21)
+    pool = [" ".join(rng.choices("red green blue grey pink gold".split(), k=6)) for _ in range(12)]
+    rows = []
+    for k in range(240):
+        lines = [rng.choice(["", "  ", str(k), rng.choice(pool), rng.choice(pool).upper(), f"page {k} of 9", "x" * (k % 7)]) for _ in range(rng.randrange(9))]
+        lines += [" ".join(f"own{rng.randrange(999)}" for _ in range(rng.randrange(40, 90)))] * rng.randrange(2)
+        rows.append((k, rng.choice(["a", "a", "a", "b", None]), "\n".join(lines) if k % 31 else None))
+    rows += [(1000 + k, "a", rows[1][2]) for k in range(40)] + [(2000 + k, "b", (rows[2][2] or "") + f"\nedit{k}") for k in range(40)]
+    out = op10_quality_rules.line_rules(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+    got = {r.doc_id: (r.left_words, r.kept) for r in out.select("doc.doc_id", "left_words", "kept").collect()}
+    want = left_words(rows, name)
+    assert got == {i: (want[i], not line_measures(t)[5] and want[i] >= 0.3 * line_measures(t)[0]) for i, _, t in rows}
+    assert any(w < line_measures(t)[0] for (_, _, t), w in zip(rows, want.values(), strict=True))
+
+
+def test_one_row_of_each_class(spark, docs, none):
+    """Repeated ids and unknown ids leave one row a class; other rows and columns stay as they are."""
+    out = op03_setsketch.one_of_each(docs)
+    assert out.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(i for i, t in got if t and t.split() and i is not None) == [1, 6, 8, 9]
+    twice = spark.createDataFrame([(5, PLAIN), (5, PLAIN), (5, PLAIN + " more"), (None, LONG), (None, LONG), (7, "other words " * 30)], "doc_id bigint, text string")
+    assert sorted(str(r.doc_id) for r in op03_setsketch.one_of_each(twice).collect()) == ["5", "7", "None"]
+    assert op03_setsketch.one_of_each(none).count() == 0
+
+
 def test_distinct_documents_of_shared_boilerplate(spark):
     """Documents that share several template lines are distinct; copies swell neither side; many documents suffice without a share."""
     rng = random.Random(12)
