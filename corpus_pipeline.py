@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import store, table
 from fleetscope.llm.op02_bpe import encode
-from fleetscope.llm.op03_setsketch import near_duplicates
+from fleetscope.llm.op03_setsketch import one_of_each
 from fleetscope.llm.op05_decontamination import contamination, without_spans
 from fleetscope.llm.op09_secret_scan import secrets
 from fleetscope.llm.op10_quality_rules import line_rules
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id."""
-    return near_duplicates(docs).where("kept").select("doc.*")
+    """One row of each class of near-duplicates, the one with the least id."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
