@@ -10,7 +10,6 @@ import html
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
@@ -43,13 +42,19 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[
 _BREAK = re.compile(r"[^A-Za-z0-9+/_=-]+[#*>]*")
 _SEPARATOR = re.compile(r"[/_+-]+")
 # Printable runs of decoded bytes, of one byte a character and of two, in either order.
-_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}){8,}")
-_WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){8,}"), "utf-16-be": re.compile(rb"(?:\x00[\t\n\r\x20-\x7E]){8,}")}
+_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}){8,}+")
+_WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){8,}+"), "utf-16-be": re.compile(rb"(?:\x00[\t\n\r\x20-\x7E]){8,}+")}
 _HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 # A token that could be encoded is at least so long; the shortest secret, in base64.
 SHORTEST_TOKEN = 16
-# Decompressed data is looked at in pieces of this size, which overlap.
+# Decompressed data is looked at in pieces of this size, which overlap, and which do not end inside an encoded token.
 PIECE, OVERLAP = 1 << 20, 1 << 12
+# An encoded token that reaches the end of a piece: base64 in one or more lines, hexadecimal or escapes, of one or two bytes a character.
+_TOKEN = rb"(?:[A-Za-z0-9+/_=%\\&#;-]\x00?)"
+_NEXT_LINE = rb"(?:[ \t]\x00?)*(?:\r\x00?)?\n\x00?(?:[ \t>#*]\x00?)*"
+_LINES = rb"(?:" + _NEXT_LINE + _TOKEN + rb"{16,}+)*(?:" + _NEXT_LINE + _TOKEN + rb"{0,15})?"
+_OPEN = re.compile(_TOKEN + rb"++" + _LINES)
+_REST = re.compile(_TOKEN + rb"*+" + _LINES)
 
 
 def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
@@ -107,9 +112,13 @@ class Layer:
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of the text that hold a secret, plainly or under any nesting of encodings."""
     found = set(base_spans(text))
-    work, seen = deque([Layer(text, (0, len(text)), root=True)]), set()
+    # Depth first: of each level only the layer being read is held, what follows it is decoded when its turn comes.
+    work, seen = [iter([Layer(text, (0, len(text)), root=True)])], set()
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         name = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if not layer.root else b""
         # The same layer in another place is a find of its own; the same in its own place is a cycle.
         if (name, layer.whole) in seen:
@@ -117,7 +126,7 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
         seen.add((name, layer.whole))
         for kind, start, end in all_spans(layer.text):
             found.add((kind, *layer.outer(start, end)))
-        work.extend(unwrapped(layer))
+        work.append(unwrapped(layer))
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 
@@ -257,10 +266,40 @@ def _zstd(data: bytes) -> Iterator[bytes]:
 
 
 def _overlapping(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    tail = b""
+    """The pieces with what went before them: 4 KiB, and all of a token that is still open, which is held until it ends.
+
+    A piece equal to an earlier one, as in data that repeat themselves, is given once.
+    """
+    held, opened, seen = [], False, set()
     for piece in pieces:
-        yield tail + piece
-        tail = piece[-OVERLAP:]
+        if opened and _REST.match(piece).end() == len(piece):
+            held.append(piece)
+            continue
+        whole = b"".join([*held, piece])
+        name = hashlib.blake2b(whole, digest_size=16).digest()
+        if name not in seen:
+            seen.add(name)
+            yield whole
+        start = _open_start(whole)
+        opened = start < len(whole)
+        held = [whole[max(0, start - OVERLAP):]]
+    if opened and len(held) > 1:
+        yield b"".join(held)
+
+
+def _open_start(data: bytes) -> int:
+    """Where the token that reaches the end of the data begins, or their end."""
+    size = OVERLAP
+    while True:
+        last, tail = None, data[-size:]
+        for last in _OPEN.finditer(tail):
+            pass
+        if last is None or last.end() < len(tail):
+            return len(data)
+        # A token that begins with the tail, or shortly after, may have begun before it.
+        if last.start() > size // 2 or size >= len(data):
+            return len(data) - len(tail) + last.start()
+        size *= 8
 
 
 def _texts(data: bytes) -> Iterator[str]:

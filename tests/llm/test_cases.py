@@ -419,6 +419,37 @@ def test_secrets_in_layers_that_are_not_plain_text():
         assert redacted(text, spans).startswith("before") and redacted(text, spans).endswith("after"), name
 
 
+def test_secrets_across_the_edges_of_pieces(monkeypatch):
+    """A nested token is found wherever a piece ends in it, in one line or many, and however long it is."""
+    from fleetscope.llm import secret_layers
+
+    monkeypatch.setattr(secret_layers, "PIECE", 3000)
+    monkeypatch.setattr(secret_layers, "OVERLAP", 64)
+    rng = random.Random(5)
+    secret = "password = 'hunter2hunter2'"
+    inner = gzip.compress((" ".join(str(rng.randrange(10**9)) for _ in range(900)) + "\n" + secret).encode(), mtime=0)
+    one = base64.b64encode(inner).decode()
+    many = "\n".join(one[k:k + 76] for k in range(0, len(one), 76))
+    assert len(one) > 2 * secret_layers.PIECE
+    for token in (one, many):
+        for before in range(0, 3100, 157):
+            filler = "filler text, " * 300
+            outer = base64.b64encode(gzip.compress((filler[:before] + " " + token + " end of it").encode(), mtime=0)).decode()
+            assert ("assign", 4, 4 + len(outer)) in secret_spans("see " + outer + " there"), before
+
+
+def test_data_that_repeat_themselves_take_little_memory():
+    """Forty megabytes out of a short token: a few pieces are held, equal ones are read once."""
+    import tracemalloc
+
+    token = base64.b64encode(gzip.compress(b"some words of a line\n" * (2 << 20) + b"token: abcdefgh1234", mtime=0)).decode()
+    tracemalloc.start()
+    assert secret_spans(token) == [("assign", 0, len(token))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 def test_every_alternative_of_a_licence_is_reached(spark):
     """Versions glued to short names, other words for one licence, and headers wrapped in comments."""
     cases = {"This is GPLv2 code": "gpl-2", "released under GPLv3": "gpl-3", "license: GPL3": "gpl-3", "under the FreeBSD license": "bsd-2-clause",
