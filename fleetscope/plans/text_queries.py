@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.constants import STATUS_SECTIONS
+from fleetscope.plans.inputs import BINLOG_TEXT_LINES, Inputs
 from fleetscope.plans.registry import Entry
 from fleetscope.plans.views import with_views
+from fleetscope.session import scratch_path
 from fleetscope.sources import engine_text as T
 from fleetscope.sources import logs as L
 from fleetscope.sources import os_text as O
@@ -87,6 +90,28 @@ BACKUP_PARSED = (
     f" {_backup(7, None)} AS dir_name, CASE WHEN n NOT IN (8, 10) THEN line END AS bad_record"
     " FROM (SELECT *, string_split(line, ':') AS f, len(string_split(line, ':')) AS n FROM backup_log_lines) x")
 
+CHANGE_ROWS = with_views(
+    "SELECT master_host_id, log_file, min(log_pos) AS log_pos, lower(max(regexp_extract(line, '^### (INSERT|UPDATE|DELETE) ', 1))) AS op,"
+    " max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 1)) AS schema_name, max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 2)) AS table_name, "
+    + ", ".join([_image("WHERE", 1, "before_1"), _image("WHERE", 2, "before_2"), _image("SET", 1, "after_1"), _image("SET", 2, "after_2")])
+    + " FROM parts GROUP BY master_host_id, log_file, rec", DECODED)
+
+
+def _change_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("master_host_id", "log_file", "log_pos", "op", "schema_name", "table_name",
+                       *[F.col(m).getItem(k).alias(f"{m}_{k}") for m in ("before", "after") for k in (1, 2)])
+
+
+def _decoded_files(i: Inputs) -> str:
+    """The folder of a decoded change log: text files as the server's tool writes them, a folder a log."""
+    header = F.format_string("# at %d\n#240101  0:00:00 server id %d  end_log_pos %d", "log_pos", "master_host_id", "log_pos")
+    lines = [F.expr(e) for e in BINLOG_TEXT_LINES.values()]
+    path = scratch_path(i.spark, "decoded-change-log")
+    # A log holds a thousand positions, so no folder is large; each is written by one task.
+    i.binlog_events.select("log_file", F.concat_ws("\n", header, *lines).alias("value")).repartition("log_file").write.partitionBy("log_file").text(path)
+    return path
+
+
 ENTRIES = {
     "status_sections": Entry(
         lambda i: T.status_sections(i.innodb_status_text),
@@ -181,14 +206,7 @@ ENTRIES = {
             " max(CASE WHEN line NOT LIKE '#%' AND line NOT LIKE 'use %' AND line NOT LIKE 'SET timestamp%' THEN rtrim(line, ';') END) AS sql_text"
             " FROM r GROUP BY log_file, rec HAVING NOT max(regexp_extract(line, '^# User@Host: ([^\\[]+)\\[', 1)) LIKE 'serverdev%'",
             {"r": "SELECT *, sum(CASE WHEN line LIKE '# User@Host:%' THEN 1 ELSE 0 END) OVER (PARTITION BY log_file ORDER BY line_no) AS rec FROM slow_log_text"})),
-    "change_text_decode": Entry(
-        lambda i: L.change_text_decode(i.binlog_text).select(
-            "master_host_id", "log_file", "log_pos", "op", "schema_name", "table_name",
-            *[F.col(m).getItem(k).alias(f"{m}_{k}") for m in ("before", "after") for k in (1, 2)]),
-        with_views(
-            "SELECT master_host_id, log_file, min(log_pos) AS log_pos, lower(max(regexp_extract(line, '^### (INSERT|UPDATE|DELETE) ', 1))) AS op,"
-            " max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 1)) AS schema_name, max(regexp_extract(line, '`([^`]+)`\\.`([^`]+)`', 2)) AS table_name, "
-            + ", ".join([_image("WHERE", 1, "before_1"), _image("WHERE", 2, "before_2"), _image("SET", 1, "after_1"), _image("SET", 2, "after_2")])
-            + " FROM parts GROUP BY master_host_id, log_file, rec", DECODED)),
+    "change_text_decode": Entry(lambda i: _change_columns(L.change_text_decode(i.binlog_text)), CHANGE_ROWS),
+    "change_log_files": Entry(lambda i: _change_columns(L.read_change_log(i.spark, _decoded_files(i))), CHANGE_ROWS),
     "backup_log_parse": Entry(lambda i: L.backup_log_parse(i.backup_log_lines), with_views(BACKUP_PARSED)),
 }

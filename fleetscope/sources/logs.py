@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fleetscope.operators.ordered import running
 
 SLOW_HEADER = "# User@Host:"
+# Each event of a decoded change log begins with a line of its position.
+EVENT_HEADER = "# at "
 
 
 def _records(lines: DataFrame, keys: list[str], order: list[str], starts: Column) -> DataFrame:
@@ -61,14 +63,39 @@ def slow_log_ingest(records: DataFrame) -> DataFrame:
         .where("sql_text <> ''"))
 
 
-def change_text_decode(lines: DataFrame) -> DataFrame:
-    """Decoded change-log text to (op, schema, table, before map, after map) rows.
+def read_change_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Decoded change-log files as one row per changed row, in batch or as a stream of arriving files.
 
-    Values are kept as text without quotes; ``NULL`` becomes null.
+    The position line is the line separator, so Spark splits large files between tasks, an event is read whole
+    by one of them, and no ordered pass is needed. Position, time and server are those the event states;
+    ``row_no`` counts the rows of an event, whose size the server bounds. What precedes the first event is left out.
+    The log is named by the file, or by a ``log_file=`` folder.
     """
+    reader = spark.readStream if stream else spark.read
+    files = reader.option("lineSep", "\n" + EVENT_HEADER).text(path)
+    name = F.col("log_file") if "log_file" in files.columns else F.col("_metadata.file_name")
+    whole = F.regexp_replace(F.translate("value", "\r", ""), f"^{EVENT_HEADER}", "")
+    header = r"^\d+\n#(\d{6}\s+\d{1,2}:\d\d:\d\d)\s+server id\s+(\d+)"
+    events = files.select(name.alias("log_file"), whole.alias("event")).select(
+        F.regexp_extract("event", header, 2).try_cast("bigint").alias("master_host_id"), "log_file",
+        F.regexp_extract("event", r"^(\d+)\s*(?:\n|$)", 1).try_cast("bigint").alias("log_pos"),
+        F.try_to_timestamp(F.regexp_replace(F.regexp_extract("event", header, 1), r"\s+", " "), F.lit("yyMMdd H:mm:ss")).alias("ts"),
+        F.posexplode(F.slice(F.split("event", r"(?m)^(?=### (?:INSERT|UPDATE|DELETE) )"), 2, 1 << 30)).alias("row_no", "text"))
+    return change_rows(events.where("log_pos IS NOT NULL"))
+
+
+def change_text_decode(lines: DataFrame) -> DataFrame:
+    """Decoded change-log lines that carry their positions to changed rows."""
     events = _records(lines.where(F.col("line").startswith("###")), ["master_host_id", "log_file"], ["log_pos", "line_no"],
                       F.col("line").rlike("^### (INSERT|UPDATE|DELETE) "))
+    return change_rows(events.select("master_host_id", "log_file", F.col("at.log_pos").alias("log_pos"), "text"))
+
+
+def change_rows(events: DataFrame) -> DataFrame:
+    """The text of one changed row each to (op, schema, table, before map, after map), after the other columns.
 
+    Values are kept as text without quotes; ``NULL`` becomes null.
+    """
     def image(part: str) -> Column:
         block = F.regexp_extract("text", rf"(?s)### {part}\n(.*?)(?:\n### (?:SET|WHERE)\b|$)", 1)
         rows = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^###\s+@\d+="))
@@ -82,7 +109,7 @@ def change_text_decode(lines: DataFrame) -> DataFrame:
 
     op = F.lower(F.regexp_extract("text", r"^### (\w+)", 1))
     return events.select(
-        "master_host_id", "log_file", F.col("at.log_pos").alias("log_pos"), op.alias("op"),
+        *[c for c in events.columns if c != "text"], op.alias("op"),
         F.regexp_extract("text", r"^### [A-Z ]+`([^`]+)`\.`([^`]+)`", 1).alias("schema_name"),
         F.regexp_extract("text", r"^### [A-Z ]+`([^`]+)`\.`([^`]+)`", 2).alias("table_name"),
         image("WHERE").alias("before"), image("SET").alias("after"))

@@ -121,6 +121,37 @@ def test_change_text(spark):
     assert (delete.op, delete.before, delete.after, delete.table_name) == ("delete", {1: "7"}, None, "t")
 
 
+def test_change_log_files(spark, tmp_path):
+    """Positions, times and servers come from the text; files are cut inside events; preambles and other events give nothing."""
+    def event(pos, *rows):
+        return f"# at {pos}\n#240105  9:30:0{pos % 10} server id 3  end_log_pos {pos + 90} CRC32 0x1 \tUpdate_rows: table id 8\n" + "".join(rows)
+
+    def insert(k):
+        return f"### INSERT INTO `s`.`t`\n### SET\n###   @1={k} /* INT meta=0 */\n###   @2='# at {k} \\x0a'\n"
+
+    update = "### UPDATE `s`.`u`\r\n### WHERE\r\n###   @1=1\r\n### SET\r\n###   @1=NULL\r\n"
+    for n, name in enumerate(["log.000001", "log.000002"]):
+        body = "".join(event(100 * k, insert(k), insert(-k)) for k in range(1, 200)) + event(50_000, update) + "# at 50100\n#240105 server id 3 Xid\nCOMMIT/*!*/;\n"
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes((("DELIMITER /*!*/;\n" if n else "") + body).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    try:
+        got = logs.read_change_log(spark, str(tmp_path / "in"))
+        assert got.rdd.getNumPartitions() > 20
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(f, 100 * k, r, v) for f in ("log.000001", "log.000002") for k in range(1, 200) for r, v in ((0, str(k)), (1, str(-k)))}
+    assert {(r.log_file, r.log_pos, r.row_no, r.after[1]) for r in rows if r.op == "insert"} == want and len(rows) == len(want) + 2
+    assert all(r.after[2].startswith("# at ") for r in rows if r.op == "insert")
+    last = [r for r in rows if r.op == "update"]
+    assert [(r.master_host_id, r.log_pos, str(r.ts), r.before, r.after, r.table_name) for r in last] == [(3, 50_000, "2024-01-05 09:30:00", {1: "1"}, {1: None}, "u")] * 2
+    query = (logs.read_change_log(spark, str(tmp_path / "in"), stream=True).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
 def test_backup_lines(spark):
     lines = spark.createDataFrame([
         (1, 1, "1:/d:/l:s:e:2024-01-01:1:full"), (1, 2, "2:/d:f:l:s:e:2024-01-02:0:1:0"), (1, 3, "garbage"), (1, 4, "1:/d:/l:s:e:someday:1:x")],
