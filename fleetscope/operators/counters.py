@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.constants import CHART_POINTS, CHARTS, MAX_THREADS, MAX_THREADS_RUNNING
+from fleetscope.constants import CHART_POINTS, CHARTS, MAX_THREADS, MAX_THREADS_RUNNING, STATUS_LEVELS, STATUS_NAMES
 from fleetscope.functions.ratios import percent2, ratio2, zero_if_null
 from fleetscope.operators.ordered import previous, running, top_per_key
 
@@ -155,6 +156,16 @@ def running_stats(metrics: DataFrame, names: Sequence[str] = STATISTICS_METRICS)
     return out.select("host_id", "poll_id", *aggregates, *averages)
 
 
+def status_changes(status: DataFrame, names: Sequence[str] = STATUS_NAMES, levels: Sequence[str] = STATUS_LEVELS) -> DataFrame:
+    """A status poll as it is reported: levels as they are, every other counter as its change since the poll before.
+
+    All counters share one ordered pass. The first poll of a host has no changes.
+    """
+    counters = [n for n in names if n not in levels]
+    d = counter_deltas(status.select("host_id", "poll_id", "ts", *names), counters)
+    return d.select("host_id", "poll_id", "ts", *[F.col(f"d_{n}").alias(n) if n in counters else n for n in names])
+
+
 def chart_select(df: DataFrame, charts: Mapping[str, Sequence[tuple[str, str]]] = CHARTS) -> DataFrame:
     """Long chart points (chart, line, value) of the charts whose metrics ``df`` has."""
     keys = [c for c in ("host_id", "poll_id", "ts") if c in df.columns]
@@ -163,20 +174,16 @@ def chart_select(df: DataFrame, charts: Mapping[str, Sequence[tuple[str, str]]]
     return df.select(*keys, F.explode(F.array(*points)).alias("p")).select(*keys, "p.chart", "p.line", "p.value")
 
 
-def metrics_long(df: DataFrame, family: str, metrics: Sequence[str]) -> DataFrame:
-    """Unpivot metric columns to (host, poll, family, metric, value)."""
-    return (df.select("host_id", "poll_id", *[F.col(m).cast("double").alias(m) for m in metrics])
-            .unpivot(["host_id", "poll_id"], list(metrics), "metric", "value")
-            .withColumn("family", F.lit(family)))
+def metrics_long(df: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Metric columns of one frame to (host, poll, ts, family, metric, value): all families in one pass over it."""
+    points = [F.struct(F.lit(family).alias("family"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+              for family, metrics in families.items() for m in metrics]
+    return df.select("host_id", "poll_id", "ts", F.inline(F.array(*points)))
 
 
-def fleet_metrics_long(families: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Stack the metrics of all families."""
-    stacked = [metrics_long(df, family, metrics) for family, (df, metrics) in families.items()]
-    out = stacked[0]
-    for other in stacked[1:]:
-        out = out.unionByName(other)
-    return out
+def fleet_metrics_long(frames: Sequence[tuple[DataFrame, Mapping[str, Sequence[str]]]]) -> DataFrame:
+    """Stack the metrics of several frames; a frame that holds many families is read once for all of them."""
+    return reduce(DataFrame.unionByName, [metrics_long(df, families) for df, families in frames])
 
 
 def _flag(condition: Column, rule: str, value: Column) -> Column:

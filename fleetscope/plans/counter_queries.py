@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetscope.constants import CHARTS, STATUS_NAMES, VARIABLE_NAMES
+from fleetscope.constants import CHARTS, STATUS_LEVELS, STATUS_NAMES, VARIABLE_NAMES
 from fleetscope.operators import counters as C
 from fleetscope.plans.inputs import STATUS_VALUES, VARIABLE_VALUES
 from fleetscope.plans.registry import Entry
@@ -47,7 +47,9 @@ METRICS_SQL = f"""SELECT host_id, poll_id, ts, {_lag('questions')} AS qps,
  {_lag('com_insert')} + {_lag('com_update')} + {_lag('com_delete')} AS tps,
  {_lag('com_insert')} AS insert_count, {_lag('com_update')} AS update_count, {_lag('com_delete')} AS delete_count,
  threads_connected, threads_running, {_lag('created_tmp_tables')} AS tmp_tables,
- {_lag('created_tmp_disk_tables')} AS tmp_disk_tables, {_lag('com_commit')} + {_lag('com_rollback')} AS trx_count
+ {_lag('created_tmp_disk_tables')} AS tmp_disk_tables, {_lag('com_commit')} + {_lag('com_rollback')} AS trx_count,
+ {_lag('com_commit')} AS commit, {_lag('com_rollback')} AS rollback, {_lag('connections')} AS connections,
+ {_lag('bytes_sent')} AS send_bytes, {_lag('bytes_received')} AS receive_bytes
  FROM counter_samples"""
 
 
@@ -73,8 +75,7 @@ CHART_FRAMES = {
 
 
 def _charts(i):
-    frames = [C.interval_metrics(i.counter_samples), os_text.os_loadavg(i.os_text), os_text.os_io(i.os_text),
-              os_text.os_cpu_process(i.os_text), i.slave_status]
+    frames = [C.interval_metrics(i.counter_samples), os_text.os_metrics(i.os_text), i.slave_status]
     parts = [C.chart_select(f).drop("ts") for f in frames]
     out = parts[0]
     for part in parts[1:]:
@@ -97,6 +98,10 @@ ENTRIES = {
     "counter_deltas": Entry(
         lambda i: C.counter_deltas(i.counter_samples, DELTAS).select("host_id", "poll_id", *[f"d_{c}" for c in DELTAS]),
         with_views(f"SELECT host_id, poll_id, {DELTA_SQL} FROM counter_samples")),
+    "status_changes": Entry(
+        lambda i: C.status_changes(i.status_polls),
+        with_views("SELECT host_id, poll_id, ts, " + ", ".join(
+            n if n in STATUS_LEVELS else f"CAST({_lag(n)} AS BIGINT) AS {n}" for n in STATUS_NAMES) + " FROM status_polls")),
     "counter_rates": Entry(
         lambda i: C.counter_rates(i.counter_samples.select("host_id", "poll_id", "ts", *RATES), RATES).select(
             "host_id", "poll_id", "elapsed_us", *[f"{c}_{s}" for c in RATES for s in ("rate", "reset")]),

@@ -13,6 +13,7 @@ from fleetscope.operators.slowlog import DIGEST_MEASURES
 from fleetscope.plans.registry import Entry
 from fleetscope.plans.slowlog_queries import PRINTED
 from fleetscope.plans.space_queries import SPACE, TOTALS
+from fleetscope.plans.text_queries import ENTRIES as TEXT_ENTRIES
 from fleetscope.plans.text_queries import GAPS
 from fleetscope.plans.views import with_views
 from fleetscope.session import scratch_path
@@ -21,7 +22,14 @@ from fleetscope.streaming import streams
 
 RATES = ["questions", "bytes_sent", "bytes_received"]
 STATS = ["qps", "tps", "threads_connected"]
-STATUS_METRICS = ["qps", "tps", "threads_connected", "threads_running", "tmp_tables"]
+STATUS_METRICS = ["qps", "tps", "insert_count", "update_count", "delete_count", "commit", "rollback", "connections", "threads_connected",
+                  "threads_running", "tmp_tables", "tmp_disk_tables", "send_bytes", "receive_bytes", "trx_count"]
+REPLICATION_METRICS = ["seconds_behind_master", "read_master_log_pos", "exec_master_log_pos"]
+OS_FAMILIES = {
+    "loadavg": os_text.LOAD, "memory": [*os_text.MEMORY.values(), "memory_free_total"], "disk": ["disk_value", "total_disk_value"],
+    "network": list(os_text.NETWORK), "io": ["io_qps", "io_tps", "io_read", "io_write", "io_util", "io_await", "io_svctm"],
+    "cpu_process": ["cpu_user", "cpu_nice", "cpu_system", "cpu_iowait", "cpu_steal", "cpu_idle", "mysql_cpu", "mysql_memory"],
+}
 ENGINE_METRICS = ["log_flush_diff", "page_flush_diff", "checkpoint_diff"]
 
 
@@ -41,9 +49,7 @@ def _status_log(i: Inputs):
 
 
 def _os_log(i: Inputs):
-    times = i.os_text.where("kind = 'loadavg'").select("host_id", "poll_id", "ts")
-    rows = sinks.os_log_rows(os_text.os_loadavg(i.os_text), os_text.os_io(i.os_text), os_text.os_cpu_process(i.os_text),
-                             times, space.space_totals(_space(i)))
+    rows = sinks.os_log_rows(os_text.os_metrics(i.os_text), space.space_totals(_space(i)))
     spark, path = _written(i, "os_log", lambda p: sinks.os_log_append(rows, p))
     return spark.read.parquet(path)
 
@@ -76,16 +82,15 @@ def _snapshots(i: Inputs):
 
 
 def _fleet_metrics(i: Inputs):
-    os_metrics = os_text.os_loadavg(i.os_text)
-    return counters.fleet_metrics_long({
-        "status": (counters.interval_metrics(i.counter_samples), STATUS_METRICS),
-        "replication": (i.slave_status, ["seconds_behind_master", "read_master_log_pos", "exec_master_log_pos"]),
-        "engine": (engine_text.lsn_gaps(i.innodb_status_text), ENGINE_METRICS),
-        "os": (os_metrics, ["cpu_1", "cpu_5", "cpu_15"])})
+    return counters.fleet_metrics_long([
+        (counters.interval_metrics(i.counter_samples), {"status": STATUS_METRICS}),
+        (i.slave_status, {"replication": REPLICATION_METRICS}),
+        (engine_text.lsn_gaps(i.innodb_status_text), {"engine": ENGINE_METRICS}),
+        (os_text.os_metrics(i.os_text), OS_FAMILIES)])
 
 
 def _long(source: str, family: str, metrics: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT host_id, poll_id, '{family}' AS family, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {source}"
+    return " UNION ALL ".join(f"SELECT host_id, poll_id, ts, '{family}' AS family, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {source}"
                               for m in metrics)
 
 
@@ -145,12 +150,12 @@ def _sync(i: Inputs):
 ENTRIES = {
     "fleet_metrics_long": Entry(_fleet_metrics, with_views(" UNION ALL ".join([
         _long("m", "status", STATUS_METRICS),
-        _long("slave_status", "replication", ["seconds_behind_master", "read_master_log_pos", "exec_master_log_pos"]),
+        _long("slave_status", "replication", REPLICATION_METRICS),
         _long("gaps", "engine", ENGINE_METRICS),
-        _long("o", "os", ["cpu_1", "cpu_5", "cpu_15"])]),
-        {**GAPS, "m": METRICS_SQL,
-         "o": "SELECT host_id, poll_id, split_part(line, ' ', 1) AS cpu_1, split_part(line, ' ', 2) AS cpu_5, split_part(line, ' ', 3) AS cpu_15"
-              " FROM os_text WHERE kind = 'loadavg'"})),
+        *[_long(f"o_{family}", family, metrics) for family, metrics in OS_FAMILIES.items()]]),
+        {**GAPS, "m": METRICS_SQL, "times": "SELECT host_id, poll_id, max(ts) AS ts FROM os_text GROUP BY host_id, poll_id",
+         **{f"o_{family}": f"SELECT o.*, t.ts FROM ({TEXT_ENTRIES['os_' + family].sql}) o JOIN times t ON o.host_id = t.host_id AND o.poll_id = t.poll_id"
+            for family in OS_FAMILIES}})),
     "status_log_append": Entry(_status_log, with_views(
         f"SELECT host_id, {_lag('questions')} AS qps, {_lag('com_insert')} + {_lag('com_update')} + {_lag('com_delete')} AS tps,"
         f" {_lag('com_commit')} AS commit, {_lag('com_rollback')} AS rollback, {_lag('connections')} AS connections,"

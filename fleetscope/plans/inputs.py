@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.constants import STATUS_LEVELS, STATUS_NAMES
 from fleetscope.operators.ordered import numbered, previous, running
 
 HOST_INFOS = [
@@ -81,6 +82,13 @@ STATUS_VALUES = {
     "Rpl_semi_sync_master_yes_tx": "CASE WHEN host_id % 2 = 0 THEN com_update END",
 }
 
+# Wide polls with every status name: those above, and by a rule for the others sums of counters, or levels that come and go.
+STATUS_POLLS = [
+    "host_id", "poll_id", "ts",
+    *[f"CAST({STATUS_VALUES.get(n) or (f'poll_id % {50 + k}' if n in STATUS_LEVELS else f'questions * {1 + k % 17} + com_insert * {k % 5} + {k}')} AS BIGINT) AS {n}"
+      for k, n in enumerate(STATUS_NAMES)],
+]
+
 VARIABLE_VALUES = {
     "version": "'8.0.' || CAST(poll_id % 5 AS STRING)",
     "version_comment": "CASE WHEN host_id % 2 = 0 THEN 'Percona Server' ELSE 'MariaDB Server' END",
@@ -347,6 +355,10 @@ class Inputs:
         return (running(steps, ["host_id"], ["ts", "poll_id"], sums)
                 .selectExpr("host_id", "poll_id", "ts", *COUNTER_STEPS, *COUNTERS_DERIVED))
 
+    @cached_property
+    def status_polls(self) -> DataFrame:
+        return self.counter_samples.selectExpr(*STATUS_POLLS)
+
     def _key_values(self, values: dict[str, str]) -> DataFrame:
         pairs = ", ".join(f"struct('{n}' AS variable_name, CAST({e} AS STRING) AS value)"
                           for n, e in values.items())

@@ -34,12 +34,12 @@ def _value(section: str, pattern: str, group: int = 1) -> str:
 
 GAPS = {
     **SECTION_STEPS,
-    "lsn": "SELECT host_id, poll_id, " + ", ".join(
+    "lsn": "SELECT host_id, poll_id, max(ts) AS ts, " + ", ".join(
         f"{_value('LOG', p)} AS {c}" for c, p in {
             "log_lsn": r"Log sequence number\s+(\d+)", "flushed": r"Log flushed up to\s+(\d+)",
             "pages": r"Pages flushed up to\s+(\d+)", "checkpoint": r"Last checkpoint at\s+(\d+)"}.items())
            + " FROM section_lines GROUP BY host_id, poll_id",
-    "gaps": "SELECT host_id, poll_id, log_lsn, log_lsn - flushed AS log_flush_diff, log_lsn - pages AS page_flush_diff, log_lsn - checkpoint AS checkpoint_diff FROM lsn",
+    "gaps": "SELECT host_id, poll_id, ts, log_lsn, log_lsn - flushed AS log_flush_diff, log_lsn - pages AS page_flush_diff, log_lsn - checkpoint AS checkpoint_diff FROM lsn",
 }
 SECTION_OF = {"t0": "TRANSACTIONS", "t1": "INSERT BUFFER AND ADAPTIVE HASH INDEX", "t2": "SEMAPHORES"}
 POOLS = {

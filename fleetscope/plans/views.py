@@ -34,6 +34,7 @@ VIEWS = {
     + " FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "counter_samples": _select(["*", *I.COUNTERS_DERIVED], "counter_base"),
     "status_kv": _key_values(I.STATUS_VALUES, "counter_samples"),
+    "status_polls": _select(I.STATUS_POLLS, "counter_samples"),
     "variables_kv": _key_values(I.VARIABLE_VALUES, "counter_samples"),
     "processlist": _select(I.PROCESSLIST, "events"),
     "slow_history": _select(I.SLOW_HISTORY, "lineitem"),

@@ -73,7 +73,7 @@ def lsn_gaps(df: DataFrame) -> DataFrame:
         _number("t0", r"Log flushed up to\s+(\d+)").alias("flushed"),
         _number("t0", r"Pages flushed up to\s+(\d+)").alias("pages"),
         _number("t0", r"Last checkpoint at\s+(\d+)").alias("checkpoint"))
-    return t.select("host_id", "poll_id", "log_lsn", (F.col("log_lsn") - F.col("flushed")).alias("log_flush_diff"),
+    return t.select("host_id", "poll_id", "ts", "log_lsn", (F.col("log_lsn") - F.col("flushed")).alias("log_flush_diff"),
                     (F.col("log_lsn") - F.col("pages")).alias("page_flush_diff"),
                     (F.col("log_lsn") - F.col("checkpoint")).alias("checkpoint_diff"))
 

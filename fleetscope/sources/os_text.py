@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["host_id", "poll_id"]
 AMOUNT = "DECIMAL(18,2)"
+# Commands, and the places and names of their numbers.
+KINDS = ["loadavg", "meminfo", "df", "sar", "iostat", "cpu", "pid", "top"]
+LOAD = ["cpu_1", "cpu_5", "cpu_15"]
+MEMORY = {"MemTotal": "memory_total", "MemFree": "memory_free", "Buffers": "memory_buffers",
+          "Cached": "memory_cache", "SwapTotal": "swap_total", "SwapFree": "swap_free"}
+NETWORK = {"net_receive_packet": (2, 1), "net_send_packet": (3, 1),
+           "net_receive_byte": (4, 1024), "net_send_byte": (5, 1024)}
 
 
 def _lines(df: DataFrame, kind: str) -> DataFrame:
@@ -20,68 +29,121 @@ def _field(n: int, type_name: str = AMOUNT) -> Column:
 
 def os_loadavg(df: DataFrame) -> DataFrame:
     """Load over 1, 5 and 15 minutes."""
-    return _lines(df, "loadavg").select(
-        *KEY, *[_field(n, "DOUBLE").alias(c) for n, c in enumerate(["cpu_1", "cpu_5", "cpu_15"])])
+    return _lines(df, "loadavg").select(*KEY, *[_field(n, "DOUBLE").alias(c) for n, c in enumerate(LOAD)])
+
+
+def _memory_values() -> dict[str, Column]:
+    name = F.regexp_extract("line", r"^(\w+):", 1)
+    size = F.expr(r"try_cast(regexp_extract(line, r':\s+(\d+)', 1) AS BIGINT) * 1024")
+    return ({c: F.when(name == n, size) for n, c in MEMORY.items()}
+            | {"memory_free_total": F.when(name.isin("MemFree", "Buffers", "Cached"), size)})
 
 
 def os_memory(df: DataFrame) -> DataFrame:
     """Memory sizes in bytes; free total = free + buffers + cached."""
-    sized = _lines(df, "meminfo").select(
-        *KEY, F.regexp_extract("line", r"^(\w+):", 1).alias("name"),
-        F.expr(r"try_cast(regexp_extract(line, r':\s+(\d+)', 1) AS BIGINT) * 1024").alias("bytes"))
-    columns = {"MemTotal": "memory_total", "MemFree": "memory_free", "Buffers": "memory_buffers",
-               "Cached": "memory_cache", "SwapTotal": "swap_total", "SwapFree": "swap_free"}
-    sums = [F.sum(F.when(F.col("name") == n, F.col("bytes"))).alias(c) for n, c in columns.items()]
-    free = F.sum(F.when(F.col("name").isin("MemFree", "Buffers", "Cached"), F.col("bytes")))
-    return sized.groupBy(*KEY).agg(*sums, free.alias("memory_free_total"))
+    return _lines(df, "meminfo").groupBy(*KEY).agg(*[F.sum(v).alias(c) for c, v in _memory_values().items()])
+
+
+def _is_disk() -> Column:
+    return (F.col("line_no") > 1) & ~F.col("line").contains("tmpfs")
+
+
+def _disk_use() -> Column:
+    return F.expr(r"try_cast(regexp_extract(line, r'(\d+)%', 1) AS BIGINT)")
+
+
+def _disk_blocks() -> Column:
+    return F.when(F.size("f") == 6, _field(1, "BIGINT")).when(F.size("f") == 5, _field(0, "BIGINT"))
+
+
+def _whole_gigabytes(blocks: Column) -> Column:
+    return F.shiftright(blocks, 20)
 
 
 def os_disk(df: DataFrame) -> DataFrame:
     """Highest use in percent and total size (1K blocks / 1024 / 1024); tmpfs is left out."""
-    blocks = F.when(F.size("f") == 6, _field(1, "BIGINT")).when(F.size("f") == 5, _field(0, "BIGINT"))
-    used = F.expr(r"try_cast(regexp_extract(line, r'(\d+)%', 1) AS BIGINT)")
-    return (_lines(df, "df").where("line_no > 1 AND line NOT LIKE '%tmpfs%'")
-            .groupBy(*KEY).agg(F.max(used).alias("disk_value"), F.sum(blocks).alias("blocks"))
-            .select(*KEY, "disk_value", F.expr("blocks div 1048576").alias("total_disk_value")))
+    return (_lines(df, "df").where(_is_disk())
+            .groupBy(*KEY).agg(F.max(_disk_use()).alias("disk_value"), _whole_gigabytes(F.sum(_disk_blocks())).alias("total_disk_value")))
+
+
+def _is_interface() -> Column:
+    return F.col("line").startswith("Average") & ~F.col("line").contains("IFACE")
 
 
 def os_network(df: DataFrame) -> DataFrame:
     """Average packets and bytes per second, summed over interfaces."""
-    total = {"net_receive_packet": (2, 1), "net_send_packet": (3, 1),
-             "net_receive_byte": (4, 1024), "net_send_byte": (5, 1024)}
-    return (_lines(df, "sar").where("line LIKE 'Average%' AND line NOT LIKE '%IFACE%'")
-            .groupBy(*KEY)
-            .agg(*[(F.sum(_field(n)) * scale).cast("double").alias(c) for c, (n, scale) in total.items()]))
+    return (_lines(df, "sar").where(_is_interface()).groupBy(*KEY)
+            .agg(*[(F.sum(_field(n)) * scale).cast("double").alias(c) for c, (n, scale) in NETWORK.items()]))
 
 
-def os_io(df: DataFrame) -> DataFrame:
-    """Device numbers found by header name in the last report, summed over devices."""
-    lines = _lines(df, "iostat")
-    header = (lines.where("line LIKE 'Device%'").groupBy(*KEY)
-              .agg(F.max_by("f", "line_no").alias("names"), F.max("line_no").alias("header_line")))
-    # The size of parsed lines cannot be estimated before they are read: never broadcast.
-    devices = lines.join(header.hint("merge"), KEY).where("line_no > header_line")
+def _carried(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Lines of some commands; each has its fields, the last device header of its poll and the pid of its poll.
+
+    Both are read in one window over the poll, so what is grouped by poll afterwards needs no
+    further exchange and no join. A poll is the output of a few commands, never a large group.
+    """
+    poll = Window.partitionBy(*KEY)
+    header = (F.col("kind") == "iostat") & F.col("line").startswith("Device")
+    lines = df.where(F.col("kind").isin(list(kinds))).withColumn("f", F.split(F.trim("line"), r"\s+"))
+    return lines.withColumns({
+        "names": F.max_by(F.when(header, F.col("f")), F.when(header, F.col("line_no"))).over(poll),
+        "header_line": F.max(F.when(header, F.col("line_no"))).over(poll),
+        "pid": F.max_by(F.when(F.col("kind") == "pid", _field(0, "BIGINT")), F.when(F.col("kind") == "pid", F.col("line_no"))).over(poll)})
+
+
+def _newest(condition: Column, value: Column) -> Column:
+    return F.max_by(F.when(condition, value), F.when(condition, F.col("line_no")))
+
+
+def _io() -> dict[str, Column]:
+    """Device numbers under their header names, summed over the last report; null in a poll without a report."""
+    device = (F.col("kind") == "iostat") & (F.col("line_no") > F.col("header_line"))
 
     def total(name: str) -> Column:
         at = F.array_position("names", name).cast("int")
         value = F.when(at > 0, F.get("f", at - 1)).try_cast(AMOUNT)
-        return F.coalesce(F.sum(value), F.lit(0)).cast(AMOUNT)
+        return F.sum(F.when(device, F.coalesce(value, F.lit(0)))).cast(AMOUNT)
 
     whole = {"r/s": "io_qps", "w/s": "io_tps", "rkB/s": "io_read", "wkB/s": "io_write"}
     real = {"%util": "io_util", "await": "io_await", "svctm": "io_svctm"}
-    return devices.groupBy(*KEY).agg(
-        *[F.floor(total(n)).cast("bigint").alias(c) for n, c in whole.items()],
-        *[total(n).cast("double").alias(c) for n, c in real.items()])
+    return ({c: F.floor(total(n)).cast("bigint") for n, c in whole.items()}
+            | {c: total(n).cast("double") for n, c in real.items()})
 
 
-def os_cpu_process(df: DataFrame) -> DataFrame:
-    """CPU split in percent, and CPU and memory of the process whose pid the host reports."""
+def _cpu() -> dict[str, Column]:
     names = ["cpu_user", "cpu_nice", "cpu_system", "cpu_iowait", "cpu_steal", "cpu_idle"]
-    newest = (_lines(df, "cpu").where("line NOT LIKE 'avg-cpu%'")
-              .groupBy(*KEY).agg(F.max_by("f", "line_no").alias("f")))
-    cpu = newest.select(*KEY, *[_field(n, "DOUBLE").alias(c) for n, c in enumerate(names)])
-    pid = _lines(df, "pid").select(*KEY, _field(0, "BIGINT").alias("pid"))
-    top = _lines(df, "top").select(*KEY, _field(0, "BIGINT").alias("pid"), _field(8, "DOUBLE").alias("mysql_cpu"),
-                                   _field(9, "DOUBLE").alias("mysql_memory"))
-    process = top.join(pid.hint("merge"), [*KEY, "pid"]).drop("pid")
-    return cpu.join(process.hint("merge"), KEY, "left")
+    split = (F.col("kind") == "cpu") & ~F.col("line").startswith("avg-cpu")
+    process = (F.col("kind") == "top") & (_field(0, "BIGINT") == F.col("pid"))
+    return ({c: _newest(split, _field(n, "DOUBLE")) for n, c in enumerate(names)}
+            | {"mysql_cpu": _newest(process, _field(8, "DOUBLE")), "mysql_memory": _newest(process, _field(9, "DOUBLE"))})
+
+
+def os_io(df: DataFrame) -> DataFrame:
+    """Device numbers found by header name in the last report, summed over devices."""
+    return _carried(df, ["iostat"]).where("line_no > header_line").groupBy(*KEY).agg(*[v.alias(c) for c, v in _io().items()])
+
+
+def os_cpu_process(df: DataFrame) -> DataFrame:
+    """CPU split in percent, and CPU and memory of the process whose pid the host reports; polls without a CPU line are left out."""
+    has_cpu = F.max((F.col("kind") == "cpu") & ~F.col("line").startswith("avg-cpu"))
+    return (_carried(df, ["cpu", "pid", "top"]).groupBy(*KEY)
+            .agg(*[v.alias(c) for c, v in _cpu().items()], has_cpu.alias("has_cpu")).where("has_cpu").drop("has_cpu"))
+
+
+def os_metrics(df: DataFrame) -> DataFrame:
+    """Every metric of a poll in one row (host, poll, ts): the lines are read, split and exchanged once.
+
+    The columns are those of the single parsers above; a command that is missing in a poll leaves its
+    columns null. If a command is reported several times, load and CPU are those of the last line.
+    """
+    kind = F.col("kind")
+    load = {c: _newest(kind == "loadavg", _field(n, "DOUBLE")) for n, c in enumerate(LOAD)}
+    memory = {c: F.sum(F.when(kind == "meminfo", v)) for c, v in _memory_values().items()}
+    disk = (kind == "df") & _is_disk()
+    net = (kind == "sar") & _is_interface()
+    disks = {"disk_value": F.max(F.when(disk, _disk_use())),
+             "total_disk_value": _whole_gigabytes(F.sum(F.when(disk, _disk_blocks())))}
+    network = {c: (F.sum(F.when(net, _field(n))) * scale).cast("double") for c, (n, scale) in NETWORK.items()}
+    every = load | memory | disks | network | _io() | _cpu()
+    lines = _carried(df.select(*KEY, "ts", "kind", "line_no", "line"), KINDS)
+    return lines.groupBy(*KEY).agg(F.max("ts").alias("ts"), *[v.alias(c) for c, v in every.items()])

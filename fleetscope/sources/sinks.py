@@ -34,13 +34,12 @@ def status_log_append(metrics: DataFrame, path: str) -> None:
     _write_by_day(status_log_rows(metrics), path, "append", "ts")
 
 
-def os_log_rows(load: DataFrame, io: DataFrame, cpu: DataFrame, times: DataFrame, sizes: DataFrame) -> DataFrame:
+def os_log_rows(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
     """The 15 operating-system columns of the history table, with time and day.
 
-    ``times`` gives the time of a poll, ``sizes`` the data size per host and ``snap_date``.
+    ``metrics`` holds all metrics of a poll, ``sizes`` the data size per host and ``snap_date``. A poll without load is left out.
     """
-    key = ["host_id", "poll_id"]
-    polls = times.join(load, key).join(io, key, "left").join(cpu, key, "left").withColumn(DAY, F.col("ts").cast("date"))
+    polls = metrics.where("cpu_1 IS NOT NULL").withColumn(DAY, F.col("ts").cast("date"))
     size = sizes.select("host_id", F.col("snap_date").alias(DAY), F.col("file_total").alias("mysql_size"))
     return polls.join(size, ["host_id", DAY], "left").select(
         "host_id", F.col("cpu_1").alias("cpu1"), F.col("cpu_5").alias("cpu5"), F.col("cpu_15").alias("cpu15"),

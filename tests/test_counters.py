@@ -74,7 +74,7 @@ def test_ratios_without_denominator(spark):
 
 def test_long_metrics_lose_no_value(spark, sf_dir):
     m = C.interval_metrics(Inputs(spark, sf_dir).counter_samples)
-    long = C.fleet_metrics_long({"status": (m, ["qps", "tps"])})
+    long = C.fleet_metrics_long([(m, {"status": ["qps", "tps"]})])
     assert long.count() == 2 * m.count()
     assert long.where("metric = 'qps'").agg(F.sum("value")).first()[0] == m.agg(F.sum("qps")).first()[0]
 

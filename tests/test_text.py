@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from fleetscope.plans.inputs import Inputs
 from fleetscope.sources import engine_text, logs, os_text
 from fleetscope.streaming import streams
 
@@ -63,6 +64,34 @@ def test_device_columns_by_name_in_the_last_report(spark):
     assert (r.io_qps, r.io_tps, r.io_util, r.io_await, r.io_svctm, r.io_read) == (4, 5, 11.25, 1.0, 0.0, 0)
 
 
+def test_all_os_metrics_in_one_row_a_poll(spark):
+    """One reading gives what the single parsers give; missing commands are null, a repeated command counts by its last line."""
+    full = [("loadavg", "0.1 0.2 0.3 1/2 3"), ("loadavg", "0.4 0.5 0.6 1/2 3"), ("meminfo", "MemFree: 2 kB"), ("meminfo", "Cached: x kB"), ("df", "head"),
+            ("df", "/dev/a 3145728 1 2 40% /"), ("df", "tmpfs 9999999 1 2 99% /run"), ("sar", "Average: eth0 1.5 2 3 4"), ("iostat", "Device: %util r/s"),
+            ("iostat", "sda 99 99"), ("iostat", "Device: r/s %util"), ("iostat", "sda 1.5 10"), ("iostat", None), ("cpu", "avg-cpu: %user"), ("cpu", "7 0 2 1 0 90"),
+            ("pid", "42"), ("top", "42 m 20 0 9g 2g 1m S 3.5 4.5"), ("top", "43 m 20 0 9g 2g 1m S 9 9"), ("other", "1 2 3")]
+    rows = [(1, 1, k, n, t) for n, (k, t) in enumerate(full)] + [(1, 2, "pid", 1, "42"), (2, 1, "top", 1, "42 m 20 0 9g 2g 1m S 3.5 4.5"), (None, 3, "iostat", 5, "sda 1 2")]
+    df = spark.createDataFrame([(h, p, n, t, k) for h, p, k, n, t in rows], "host_id BIGINT, poll_id BIGINT, line_no INT, line STRING, kind STRING")
+    df = df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("pid", F.lit("clash"))
+    out = os_text.os_metrics(df)
+    got = {(r.host_id, r.poll_id): r.asDict() for r in out.collect()}
+    assert len(got) == out.count() == 4
+    r = got[1, 1]
+    assert (r["cpu_1"], r["cpu_15"], r["memory_free"], r["memory_free_total"], r["memory_total"]) == (0.4, 0.6, 2048, 2048, None)
+    assert (r["disk_value"], r["total_disk_value"], r["net_receive_packet"], r["net_send_byte"]) == (40, 3, 1.5, 4096.0)
+    assert (r["io_qps"], r["io_util"], r["io_tps"], r["cpu_user"], r["cpu_idle"], r["mysql_cpu"], r["mysql_memory"]) == (1, 10.0, 0, 7.0, 90.0, 3.5, 4.5)
+    for key in [(1, 2), (2, 1), (None, 3)]:
+        assert all(v is None for c, v in got[key].items() if c not in ("host_id", "poll_id", "ts"))
+    single = os_text.os_cpu_process(df).unionByName(os_text.os_cpu_process(df.limit(0)))
+    assert [(s.host_id, s.poll_id, s.mysql_cpu) for s in single.collect()] == [(1, 1, 3.5)]
+    assert os_text.os_metrics(df.limit(0)).count() == 0
+
+
+def test_os_metrics_need_one_exchange(spark, sf_dir):
+    plan = os_text.os_metrics(Inputs(spark, sf_dir).os_text)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("FileScan") == 1
+
+
 SLOW_LOG = """/usr/sbin/mysqld, Version: 8.0
 # Time: 2024-01-01T00:00:01
 # User@Host: app[app] @ web [10.0.0.1]
