@@ -6,7 +6,12 @@ several centroids, found by spherical k-means; a text takes the language of the
 A text farther from it than nearly all of the centroid's own members is rejected.
 
 Document frequencies cover all labelled training texts. The centroids are fitted on at most
-``PER_LANGUAGE`` labelled texts of each language, those with the least hash.
+``PER_LANGUAGE`` distinct labelled texts of each language, those with the least hash; a text that is delivered
+many times is one. They are chosen among hashes, with a limit that Spark applies before it shuffles, and only
+the chosen texts are read into the fit. A small cluster is kept, unless it lies nearer to the large clusters of
+another language than to those of its own: then its labels are taken for wrong.
+
+``rejected`` is a further column: a text far from every centroid is flagged, and still gets the nearest language.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if
 nothing was learned; ties go to the language that sorts first; null languages teach nothing;
@@ -24,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import carried, chunks, held_out, map_texts, small_batches, table, text_buffers
+from fleetscope.llm.common import carried, chunks, held_out, map_texts, small_batches, store, table, text_buffers
 
 DIMENSIONS = 1 << 13
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 CENTROIDS = 4
 ROUNDS = 8
-# Clusters with a smaller share of their language's texts are taken for wrong labels.
+# Clusters with a smaller share of their language's texts are compared with other languages.
 LEAST_SHARE = 0.05
 # A text is rejected beyond this quantile of its centroid's members, with some slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.995, 1.15
@@ -117,8 +122,8 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return number, out
 
 
-def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from the mean outwards: centroids of length one, and how far members lie."""
+def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spherical k-means from the mean outwards: centroids of length one, how far members lie, and their share of all."""
     centres = [x.mean(0)]
     while len(centres) < min(k, len(x)):
         closest = (x @ np.array(centres).T).max(1)
@@ -133,8 +138,26 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np
     mine, distance = near.argmax(1), 1 - near.max(1)
     radius = np.array([np.quantile(distance[mine == j], REJECT_QUANTILE) if (mine == j).any() else 0 for j in range(len(c))])
     size = np.bincount(mine, minlength=len(c))
-    large = size >= min(LEAST_SHARE * len(x), size.max())
-    return c[large].astype(np.float32), radius[large]
+    some = size > 0
+    return c[some].astype(np.float32), radius[some], size[some] / len(x)
+
+
+def sampled(labelled: DataFrame) -> DataFrame:
+    """At most ``PER_LANGUAGE`` distinct (text, lang) of each language, those with the least hash."""
+    named = labelled.select("text", "lang", F.xxhash64("text").alias("hash")).where("text IS NOT NULL AND lang IS NOT NULL")
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = store(named.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order))
+                   .where(F.col("place") <= PER_LANGUAGE).drop("place"), "language-sample")
+    return named.join(chosen, ["lang", "hash"]).dropDuplicates(["lang", "hash"]).select("text", "lang")
+
+
+def _well_labelled(centroids: np.ndarray, langs: list[str], shares: np.ndarray) -> np.ndarray:
+    """Which centroids count: large ones, and small ones nearer to their own language than to any other."""
+    large = shares >= LEAST_SHARE
+    near = np.where(large[None, :], centroids @ centroids.T, -np.inf)
+    same = np.array(langs)[:, None] == np.array(langs)[None, :]
+    own, other = np.where(same, near, -np.inf).max(1), np.where(same, -np.inf, near).max(1)
+    return large | (own >= other)
 
 
 def fit(labelled: DataFrame) -> dict:
@@ -148,14 +171,15 @@ def fit(labelled: DataFrame) -> dict:
 
     def centroids(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"].sort_values()]).astype(np.float32)
-        c, radius = cluster(x)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [v.tobytes() for v in c], "radius": radius})
+        c, radius, share = cluster(x)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [v.tobytes() for v in c], "radius": radius, "share": share})
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
-    found = (map_texts(sample, "text", ["lang"], features, "vector binary").groupBy("lang")
-             .applyInPandas(centroids, "lang string, centroid binary, radius double").collect())
+    found = (map_texts(sampled(labelled), "text", ["lang"], features, "vector binary").groupBy("lang")
+             .applyInPandas(centroids, "lang string, centroid binary, radius double, share double").collect())
     found.sort(key=lambda r: (r.lang, r.centroid))
+    if found:
+        kept = _well_labelled(np.array([np.frombuffer(r.centroid, np.float32) for r in found]), [r.lang for r in found], np.array([r.share for r in found]))
+        found = [r for r, good in zip(found, kept, strict=True) if good]
     stack = np.stack([np.frombuffer(r.centroid, np.float32) for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)
     return {"idf": idf, "centroids": stack, "lang": [r.lang for r in found], "radius": np.array([r.radius for r in found])}
 

@@ -256,6 +256,57 @@ def test_template_text_is_left_out():
     assert main_text(parse(pages[4]), frozenset(constants), path) == "story 4\nmore of 4"
 
 
+def _texts_of(spark, pages):
+    out = op04_html_wrapper.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    return {r.page_id: r.text for r in out.select("doc.page_id", "text").collect()}
+
+
+def test_articles_keep_what_revisions_share(spark):
+    """Nothing outside an article replaces it, and few or similar pages make no template of its text."""
+    revision = "<body><nav>menu</nav><article><h1>T</h1><p>first shared</p><p>second shared</p><p>end {}</p></article><p>remark {}</p></body>"
+    same = "<body><article><p>the article</p><p>its end</p></article><div>another remark {}</div></body>"
+    pages = [(k, "http://r/", revision.format(k, k)) for k in range(4)] + [(100 + k, "http://s/", same.format(k)) for k in range(4)]
+    pages += [(200 + k, "http://t/", revision.format(k, k)) for k in range(60)] + [(300 + k, "http://t/", f"<article><p>other {k}</p><p>more {k}</p></article>") for k in range(20)]
+    pages += [(400, "http://u/", "<article></article><div>outside</div>")]
+    got = _texts_of(spark, pages)
+    for k in range(4):
+        assert got[k] == f"T\nfirst shared\nsecond shared\nend {k}"
+        assert got[100 + k] == "the article\nits end"
+    for k in range(60):
+        assert got[200 + k] == f"T\nfirst shared\nsecond shared\nend {k}"
+    assert all(got[300 + k] == f"other {k}\nmore {k}" for k in range(20)) and got[400] == ""
+
+
+def test_pages_without_article_and_tables_without_pages(spark):
+    """Two templates on one host: what repeats goes, what varies stays, whatever the template."""
+    one = "<body><div class=top>Site</div><div class=story><p>tale {k}</p><p>rest {k}</p></div><div class=end>About</div></body>"
+    two = "<body><div class=top>Site</div><table><tr><td>cell {k}</td></tr></table><div class=end>About</div></body>"
+    pages = [(k, "http://two/", one.format(k=k)) for k in range(20)] + [(100 + k, "http://two/", two.format(k=k)) for k in range(20)]
+    got = _texts_of(spark, pages)
+    for k in range(20):
+        assert got[k] == f"tale {k}\nrest {k}" and got[100 + k] == f"cell {k}"
+    assert _texts_of(spark, []) == {}
+
+
+def test_languages_are_learned_from_distinct_texts(spark):
+    """A text that is delivered often does not push out the others of its language; a small group of texts is a cluster of its own."""
+    rng = np.random.default_rng(5)
+    vocabularies = {"aa": ["bako", "timu", "rela", "sona", "kipu", "dara"], "bb": ["zwyx", "qorv", "fjel", "hnyg", "vexq", "wulf"]}
+    texts = {lang: [" ".join(rng.choice(words, 12)) for _ in range(300)] for lang, words in vocabularies.items()}
+    odd = [" ".join(rng.choice(["umlo", "chvi", "ggeo"], 12)) for _ in range(8)]
+    rows = [(t, lang) for lang in texts for t in texts[lang][:250]] + [(texts["aa"][0], "aa")] * 1600 + [(t, "aa") for t in odd[:6]]
+    model = op01_language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    held = [(t, lang) for lang in texts for t in texts[lang][250:]] + [(t, "aa") for t in odd[6:]]
+    got = op01_language_id.predict(spark.createDataFrame(held, "text string, lang string"), model).select("doc.lang", "lang_pred").collect()
+    assert len(got) == 102 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_language_sample_moves_hashes_not_texts(spark):
+    docs = spark.createDataFrame([("a b", "en"), ("a b", "en"), ("c d", None), (None, "en")], "text string, lang string")
+    plan = op01_language_id.sampled(docs)
+    assert sorted((r.text, r.lang) for r in plan.collect()) == [("a b", "en")]
+
+
 def test_licences(spark, docs, none):
     out = op06_license_scan.license_scan(docs)
     carries_all(out, docs)
