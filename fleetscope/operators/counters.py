@@ -100,14 +100,22 @@ def write_amplification(status: DataFrame) -> DataFrame:
 
 
 def semi_sync(status: DataFrame) -> DataFrame:
-    """Semi-synchronous replication: flag, levels and the two wait-time deltas."""
+    """Semi-synchronous replication: whether it is installed, the two status flags, levels and the two wait-time deltas.
+
+    It is installed where the server reports the master's status at all, be it ON or OFF.
+    """
+    def state(name: str) -> Column:
+        return F.when(F.col(name) == 1, "ON").when(F.col(name) == 0, "OFF")
+
     p = "Rpl_semi_sync_master_"
     levels = ["clients", "net_waits", "net_avg_wait_time", "tx_waits", "tx_avg_wait_time", "no_tx", "yes_tx", "no_times", "wait_sessions"]
     times = ["net_wait_time", "tx_wait_time"]
-    d = counter_deltas(status.select("host_id", "poll_id", "ts", *[p + n for n in levels + times]),
+    flags = [f"{p}status", "Rpl_semi_sync_slave_status"]
+    d = counter_deltas(status.select("host_id", "poll_id", "ts", *flags, *[p + n for n in levels + times]),
                        [p + n for n in times])
     return d.select(
-        "host_id", "poll_id", F.col(f"{p}clients").isNotNull().cast("int").alias("rpl_semi_sync"),
+        "host_id", "poll_id", F.col(flags[0]).isNotNull().cast("int").alias("rpl_semi_sync"),
+        state(flags[0]).alias("master_status"), state(flags[1]).alias("slave_status"),
         *[F.coalesce(F.col(p + n), F.lit(0)).alias(n) for n in levels],
         *[F.col(f"d_{p}{n}").alias(n) for n in times])
 

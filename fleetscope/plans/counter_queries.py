@@ -21,12 +21,13 @@ RATES = ["questions", "bytes_sent", "bytes_received"]
 BY_HOST = "OVER (PARTITION BY host_id ORDER BY ts, poll_id)"
 DELTA_SQL = ", ".join(f"CAST({c} - lag({c}) {BY_HOST} AS BIGINT) AS d_{c}" for c in DELTAS)
 
+NUMBER = "TRY_CAST(CASE value WHEN 'ON' THEN '1' WHEN 'OFF' THEN '0' ELSE value END AS BIGINT)"
 PIVOT_USED = [n for n in STATUS_VALUES if n in STATUS_NAMES]
 PIVOT_SQL = ("SELECT host_id, poll_id, ts, " + ", ".join(
-    f"max(CASE WHEN variable_name = '{n}' THEN TRY_CAST(value AS BIGINT) END) AS {n}" for n in PIVOT_USED)
+    f"max(CASE WHEN variable_name = '{n}' THEN {NUMBER} END) AS {n}" for n in PIVOT_USED)
     + " FROM status_kv GROUP BY host_id, poll_id, ts")
 ALL_PIVOT_SQL = ("SELECT host_id, poll_id, ts, " + ", ".join(
-    f"max(CASE WHEN variable_name = '{n}' THEN TRY_CAST(value AS BIGINT) END) AS {n}" for n in STATUS_NAMES)
+    f"max(CASE WHEN variable_name = '{n}' THEN {NUMBER} END) AS {n}" for n in STATUS_NAMES)
     + " FROM status_kv GROUP BY host_id, poll_id, ts")
 
 
@@ -151,7 +152,9 @@ ENTRIES = {
                    " Innodb_page_size // 1024 AS page_size_kb, greatest(Uptime // 86400, 1) AS uptime_days FROM st", {"st": PIVOT_SQL})),
     "semi_sync": Entry(
         lambda i: C.semi_sync(_status(i, "Rpl_semi_sync_", "Uptime")),
-        with_views(f"SELECT host_id, poll_id, CASE WHEN {SEMI}clients IS NULL THEN 0 ELSE 1 END AS rpl_semi_sync, "
+        with_views(f"SELECT host_id, poll_id, CASE WHEN {SEMI}status IS NULL THEN 0 ELSE 1 END AS rpl_semi_sync,"
+                   f" CASE {SEMI}status WHEN 1 THEN 'ON' WHEN 0 THEN 'OFF' END AS master_status,"
+                   " CASE Rpl_semi_sync_slave_status WHEN 1 THEN 'ON' WHEN 0 THEN 'OFF' END AS slave_status, "
                    + ", ".join(f"coalesce({SEMI}{n}, 0) AS {n}" for n in ("clients", "net_waits", "net_avg_wait_time", "tx_waits", "tx_avg_wait_time", "no_tx", "yes_tx", "no_times", "wait_sessions")) + ", "
                    + ", ".join(f"{_lag(SEMI + n)} AS {n}" for n in ("net_wait_time", "tx_wait_time")) + " FROM st", {"st": PIVOT_SQL})),
     "latest_state": Entry(

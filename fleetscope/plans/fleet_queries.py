@@ -127,6 +127,15 @@ def _stream_digest(i: Inputs):
     return streams.read_upserts(i.spark, out, ["window_start", "checksum"])
 
 
+def _late_rows(i: Inputs):
+    # Read in one micro-batch, in which none is late; tests/test_streaming.py has rows that are.
+    digest, checkpoint, counts, checkpoint_counts = _paths(i, "late", 4)
+    queries = streams.table_stream(i.spark, i.sf_dir, "orders").selectExpr(*QUERY_LOG)
+    streams.stream_slow_digest(queries, digest, checkpoint).awaitTermination()
+    streams.stream_row_counts(queries, counts, checkpoint_counts).awaitTermination()
+    return streams.late_rows(i.spark, digest, counts)
+
+
 # Silences of this length occur at every size of the given tables.
 DOWN_SECONDS = 6 * 3600
 
@@ -198,6 +207,8 @@ ENTRIES = {
             f"CAST(sum({m}) AS DOUBLE) AS {m}_sum, CAST(min({m}) AS DOUBLE) AS {m}_min, CAST(max({m}) AS DOUBLE) AS {m}_max,"
             f" CAST(list_sort(list({m}))[CAST(ceil(0.95 * count({m})) AS BIGINT)] AS DOUBLE) AS {m}_pct_95" for m in DIGEST_MEASURES)
         + " FROM fp GROUP BY 1, 2", PRINTED)),
+    "stream_late_rows": Entry(_late_rows, with_views(
+        "SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, count(*) AS n_in_windows, CAST(0 AS BIGINT) AS n_late FROM query_log GROUP BY 1")),
     "stream_alerts": Entry(_stream_alerts, with_views(
         "SELECT DISTINCT host_id, rule, time_bucket(INTERVAL 10 MINUTE, ts) AS since FROM"
         " (SELECT host_id, ts, 'threads' AS rule FROM counter_samples WHERE threads_connected > 1000"

@@ -69,6 +69,8 @@ STATUS_VALUES = {
     "Innodb_mutex_os_waits": "questions * 2", "Innodb_mutex_spin_rounds": "questions * 30",
     "Innodb_s_lock_os_waits": "com_select", "Innodb_s_lock_spin_rounds": "com_select * 20",
     "Innodb_x_lock_os_waits": "com_update", "Innodb_x_lock_spin_rounds": "com_insert * 10",
+    "Rpl_semi_sync_master_status": "CASE WHEN host_id % 2 = 0 THEN CASE WHEN poll_id % 5 = 0 THEN 'OFF' ELSE 'ON' END END",
+    "Rpl_semi_sync_slave_status": "CASE WHEN host_id % 2 = 0 THEN CASE WHEN poll_id % 7 = 0 THEN 'ON' ELSE 'OFF' END END",
     "Rpl_semi_sync_master_clients": "CASE WHEN host_id % 2 = 0 THEN 2 END",
     "Rpl_semi_sync_master_net_waits": "CASE WHEN host_id % 2 = 0 THEN com_commit END",
     "Rpl_semi_sync_master_net_wait_time": "CASE WHEN host_id % 2 = 0 THEN com_commit * 13 END",
@@ -83,9 +85,10 @@ STATUS_VALUES = {
 }
 
 # Wide polls with every status name: those above, and by a rule for the others sums of counters, or levels that come and go.
+STATUS_FLAGS = ["Rpl_semi_sync_master_status", "Rpl_semi_sync_slave_status"]
 STATUS_POLLS = [
     "host_id", "poll_id", "ts",
-    *[f"CAST({STATUS_VALUES.get(n) or (f'poll_id % {50 + k}' if n in STATUS_LEVELS else f'questions * {1 + k % 17} + com_insert * {k % 5} + {k}')} AS BIGINT) AS {n}"
+    *[f"CAST({(None if n in STATUS_FLAGS else STATUS_VALUES.get(n)) or (f'poll_id % {50 + k}' if n in STATUS_LEVELS else f'questions * {1 + k % 17} + com_insert * {k % 5} + {k}')} AS BIGINT) AS {n}"
       for k, n in enumerate(STATUS_NAMES)],
 ]
 

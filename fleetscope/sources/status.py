@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def status_pivot(kv: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One wide bigint row per (host, poll); unlisted names dropped, absent names null.
+    """One wide bigint row per (host, poll); unlisted names dropped, absent names null, ``ON`` and ``OFF`` are 1 and 0.
 
     A pivot aggregates by (poll, name) and then by poll. Bringing a poll together first
     serves both, so wide half-filled rows are never shuffled.
@@ -19,7 +19,7 @@ def status_pivot(kv: DataFrame, names: Sequence[str]) -> DataFrame:
             .repartition(*poll)
             .groupBy(*poll)
             .pivot("variable_name", list(names))
-            .agg(F.max(F.expr("try_cast(value AS BIGINT)"))))
+            .agg(F.max(F.expr("try_cast(CASE value WHEN 'ON' THEN '1' WHEN 'OFF' THEN '0' ELSE value END AS BIGINT)"))))
 
 
 def variables_latest(kv: DataFrame, names: Sequence[str]) -> DataFrame:

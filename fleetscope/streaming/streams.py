@@ -132,6 +132,24 @@ def stream_slow_digest(stream: DataFrame, out: str, checkpoint: str, delay: str
     return start(digest, "update", upsert_sink(out, DIGEST_KEYS), checkpoint, trigger)
 
 
+def stream_row_counts(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Rows of every day that a source delivered, late or not; the state is one number a day."""
+    days = stream.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n_rows"))
+    return start(days, "update", upsert_sink(out, ["day"]), checkpoint, trigger)
+
+
+def late_rows(spark: SparkSession, digest: str, counts: str) -> DataFrame:
+    """(day, n_rows, n_in_windows, n_late): what the windows of :func:`stream_slow_digest` have of a day's rows, and what came too late.
+
+    Exact when both streams have read the same files. Rows without a time are in no window; their day is null.
+    """
+    windows = (read_upserts(spark, digest, DIGEST_KEYS).groupBy(F.col("window_start").cast("date").alias("of_day"))
+               .agg(F.sum("ts_cnt").alias("n")))
+    late = read_upserts(spark, counts, ["day"]).join(windows, F.col("day") == F.col("of_day"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return late.select("day", "n_rows", n.alias("n_in_windows"), (F.col("n_rows") - n).alias("n_late"))
+
+
 def stream_alerts(stream: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None,
                   replicas: DataFrame | None = None) -> StreamingQuery:
     """Threshold alerts, and those of stopped threads if a stream of replica states is given; one per host, rule and ten minutes."""

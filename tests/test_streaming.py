@@ -133,3 +133,23 @@ def test_table_stream_reads_a_file_and_a_folder_of_files(spark, tmp_path, sf_dir
         streams.start(stream, "append", streams.batch_sink(out), str(tmp_path / f"check{n}"), {"availableNow": True}).awaitTermination()
         counts.append(spark.read.parquet(out).count())
     assert counts[0] == counts[1] > 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """What comes after its window is closed is in no window, and counted; a restart counts nothing twice."""
+    source, digest, counts, c1, c2 = (str(tmp_path / n) for n in ("in", "digest", "counts", "c1", "c2"))
+    schema = ("ts TIMESTAMP_NTZ, sql_text STRING, query_time DECIMAL(18,2), lock_time BIGINT, rows_sent BIGINT, rows_examined BIGINT, default_db STRING,"
+              " user_name STRING, host_id BIGINT, query_id BIGINT")
+
+    def row(minutes, n):
+        return (None if minutes is None else T0 + timedelta(minutes=minutes), "select 1", None, 1, 1, 1, "d", "u", 1, n)
+
+    # The third part is two hours late, on the day before and on the same day; the watermark has passed it by then.
+    for part in ([row(0, 1), row(180, 2)], [row(181, 3), row(None, 4)], [row(-60, 5), row(60, 6), row(62, 7), row(182, 8)]):
+        _feed(spark, source, part, schema)
+        stream = spark.readStream.schema(schema).parquet(source)
+        for _ in range(2):
+            streams.stream_slow_digest(stream, digest, c1).awaitTermination()
+            streams.stream_row_counts(stream, counts, c2).awaitTermination()
+    got = {str(r.day): (r.n_rows, r.n_in_windows, r.n_late) for r in streams.late_rows(spark, digest, counts).collect()}
+    assert got == {"2024-01-01": (6, 4, 2), "2023-12-31": (1, 0, 1), "None": (1, 0, 1)}
