@@ -34,6 +34,8 @@ RATE = 0.5
 _HASH = np.uint32(0x9E3779B1)
 _STEP = 0x01000193
 _BACK = pow(_STEP, -1, 1 << 32)
+# Powers of the two, as far as they were needed.
+_POWERS: list[np.ndarray] = []
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +71,7 @@ def contexts(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
             continue
         for k in range(seen + 1, order + 1):
             previous = np.zeros(len(symbols), np.uint32)
-            previous[k:] = symbols[:-k]
-            previous[place < k] = 0
+            np.multiply(symbols[:-k], place[k:] >= k, out=previous[k:], dtype=np.uint32, casting="unsafe")
             code = code * np.uint32(257) + previous + np.uint32(1) if k > 1 else previous
         seen = order
         out.append(code if order == 1 else (code * _HASH) >> np.uint32(32 - bits))
@@ -80,16 +81,16 @@ def contexts(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
 def _word_so_far(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A hash of the bytes from the last white space (itself left out) to each symbol (itself left out)."""
     n = len(symbols)
-    power, inverse = np.full(n, _STEP, np.uint32), np.full(n, _BACK, np.uint32)
-    power[:1] = inverse[:1] = 1
-    power, inverse = (np.multiply.accumulate(x, dtype=np.uint32) for x in (power, inverse))
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.multiply.accumulate(np.append(np.uint32(1), np.full(max(n, 1 << 16), x, np.uint32)), dtype=np.uint32) for x in (_STEP, _BACK)]
     sums = np.zeros(n + 1, np.uint32)
-    np.cumsum((symbols.astype(np.uint32) + np.uint32(1)) * power, dtype=np.uint32, out=sums[1:])
-    index = np.arange(n)
-    begin = np.where(place == 0, index, 0)
-    begin[1:] = np.maximum(begin[1:], np.where(WHITE[symbols[:-1]], index[1:], 0))
-    begin = np.maximum.accumulate(begin)
-    code = (sums[:-1] - sums[begin]) * inverse[begin]
+    np.cumsum((symbols.astype(np.uint32) + np.uint32(1)) * _POWERS[0][:n], dtype=np.uint32, out=sums[1:])
+    first = place == 0
+    first[1:] |= WHITE.take(symbols[:-1])
+    # Where the word of each symbol begins.
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, n))
+    code = (sums[:-1] - np.repeat(sums.take(starts), sizes)) * np.repeat(_POWERS[1].take(starts), sizes)
     code ^= code >> np.uint32(15)
     return code * _HASH
 
@@ -97,8 +98,12 @@ def _word_so_far(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
 def count(symbols: np.ndarray, place: np.ndarray, into: list[np.ndarray]) -> None:
     """Add how often each symbol followed each context."""
     for context, total in zip(contexts(symbols, place), into, strict=True):
-        cell, number = np.unique((context << np.uint32(8)) + symbols, return_counts=True)
-        total[cell] += number
+        cells = (context << np.uint32(8)) + symbols
+        if len(total) <= 1 << 16:
+            total += np.bincount(cells, minlength=len(total)).astype(total.dtype)
+        else:
+            cell, number = np.unique(cells, return_counts=True)
+            total[cell] += number
 
 
 def empty_counts() -> list[np.ndarray]:
@@ -171,9 +176,10 @@ def score(symbols: np.ndarray, place: np.ndarray, sizes: np.ndarray, model: Mode
     # A row of weights belongs to a text and a gate.
     owner = np.repeat(np.arange(len(sizes)), sizes) * number + model.gate[codes[-1]]
     by = np.argsort(block * (len(sizes) * number) + owner, kind="stable")
-    owner, symbols, codes = owner[by], symbols[by], [(c[by] << np.uint32(8)).astype(np.int64) for c in codes]
+    # Cells of a table are fewer than 2**31.
+    owner, symbols, codes = owner[by], symbols[by].astype(np.intp), [(c[by] << np.uint32(8)).astype(np.int32) for c in codes]
     edges = np.searchsorted(block[by], np.arange(block.max(initial=0) + 2))
-    depth = len(model.node)
+    depth, nodes = len(model.node), model.node.astype(np.int32)
     weights = np.repeat(np.tile(np.array(START, np.float32), (len(sizes), 1))[:, None, :], depth, 1)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         s, longest = symbols[a:b], model.length[symbols[a:b]]
@@ -183,17 +189,18 @@ def score(symbols: np.ndarray, place: np.ndarray, sizes: np.ndarray, model: Mode
                 more = np.flatnonzero(longest > d)
                 if not len(more):
                     break
-                s, longest, who, at = s[more], longest[more], who[more], [c[more] for c in at]
+                s, longest, who, at = s.take(more), longest.take(more), who.take(more), [c.take(more) for c in at]
             head = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             rows, run = who[head], np.diff(np.append(head, len(who)))
-            node, sign = model.node[d][s], model.sign[d][s]
-            margins = [table[c + node] * sign for table, c in zip(model.odds, at, strict=True)]
+            node, sign = nodes[d].take(s), model.sign[d].take(s)
+            margins = [table.take(c + node) * sign for table, c in zip(model.odds, at, strict=True)]
             z = np.zeros(len(s), np.float32)
             for k, m in enumerate(margins):
                 z += np.repeat(weights[rows, d, k], run) * m
             e = np.exp(-np.clip(z, -30, 30))
-            np.subtract.at(total, rows // number, np.add.reduceat(np.log1p(e), head, dtype=np.float64))
-            miss = e / (1 + e)
+            whole = 1 + e
+            np.subtract.at(total, rows // number, np.add.reduceat(np.log(whole), head, dtype=np.float64))
+            miss = e / whole
             step = RATE / (run + 30)
             for k, m in enumerate(margins):
                 weights[rows, d, k] += step * np.add.reduceat(miss * m, head)
