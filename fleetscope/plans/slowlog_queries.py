@@ -53,6 +53,7 @@ DETAIL = ", ".join(
 
 
 def _reviewed(i):
+    # The statements of one database stand for those that were reviewed, so there are marked and unmarked digests.
     return S.with_fingerprint(i.query_log.where("default_db = 'db0'").select("sql_text"))
 
 
