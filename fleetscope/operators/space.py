@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.constants import SYSTEM_SCHEMAS, TABLE_PAGE_ROWS
@@ -145,24 +145,26 @@ def duplicate_indexes(statistics: DataFrame) -> DataFrame:
 
     Of equal indexes the first by name is kept, PRIMARY before all. A unique index is only
     a duplicate of an equal unique one. Each index is expanded to its prefixes (at most
-    16 rows) and these are aggregated, so indexes are never paired with each other.
+    16 rows) and a window looks at the indexes that share a prefix, so indexes are never
+    paired with each other and nothing is joined.
     """
     table = [*CATALOG_TABLE, "index_type"]
-    indexes = _index_columns(statistics).select(
-        *table, "index_name", "non_unique", "cols", F.array_join("cols", ",").alias("columns"),
-        F.when(F.col("index_name") == "PRIMARY", F.lit("")).otherwise(F.col("index_name")).alias("place"))
-    prefixes = indexes.select(*table, "place", "non_unique", F.size("cols").alias("width"),
-                              F.explode(F.sequence(F.lit(1), F.size("cols"))).alias("n"), "cols")
-    whole = F.col("width") == F.col("n")
-    cover = (prefixes.groupBy(*table, F.array_join(F.slice("cols", 1, F.col("n")), ",").alias("columns"))
-             .agg(F.min(F.when(~whole, F.col("place"))).alias("longer"),
-                  F.min(F.when(whole, F.col("place"))).alias("equal"),
-                  F.min(F.when(whole & (F.col("non_unique") == 0), F.col("place"))).alias("equal_unique")))
+    prefixes = (_index_columns(statistics).where(" AND ".join(f"{c} IS NOT NULL" for c in table))
+                .select(*table, "index_name", (F.col("non_unique") == 0).alias("is_unique"), "cols",
+                        F.when(F.col("index_name") == "PRIMARY", F.lit("")).otherwise(F.col("index_name")).alias("place"),
+                        F.explode(F.sequence(F.lit(1), F.size("cols"))).alias("n"))
+                .select(*table, "index_name", "place", "is_unique", (F.size("cols") == F.col("n")).alias("whole"),
+                        F.array_join(F.slice("cols", 1, F.col("n")), ",").alias("columns")))
+    same = Window.partitionBy(*table, "columns")
+    found = prefixes.select(
+        "*", F.min(F.when(~F.col("whole"), F.col("place"))).over(same).alias("longer"),
+        F.min(F.when(F.col("whole"), F.col("place"))).over(same).alias("equal"),
+        F.min(F.when(F.col("whole") & F.col("is_unique"), F.col("place"))).over(same).alias("equal_unique")).where("whole")
     earlier_equal = F.when(F.col("equal") < F.col("place"), F.col("equal"))
     earlier_unique = F.when(F.col("equal_unique") < F.col("place"), F.col("equal_unique"))
-    covered = F.when(F.col("non_unique") == 0, earlier_unique).otherwise(
+    covered = F.when(F.col("is_unique"), earlier_unique).otherwise(
         F.coalesce("longer", F.when(F.col("equal_unique") != F.col("place"), F.col("equal_unique")), earlier_equal))
-    return (indexes.join(cover, [*table, "columns"]).withColumn("by", covered).where("by IS NOT NULL")
+    return (found.withColumn("by", covered).where("by IS NOT NULL")
             .select(*CATALOG_TABLE, "index_name", "columns",
                     F.when(F.col("by") == "", F.lit("PRIMARY")).otherwise(F.col("by")).alias("covered_by")))
 

@@ -109,3 +109,14 @@ def test_a_second_server_changes_nothing_of_the_first(spark, sf_dir):
     for run in (lambda t, s, c: P.no_primary_key(t, s), lambda t, s, c: P.duplicate_indexes(s), P.table_detail):
         want, got = run(*one), run(*both).where("host_id = 1")
         assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_duplicate_indexes_broadcast_nothing(spark):
+    """An estimate that is far too low must not send the indexes of a fleet through the driver; equal, unique and null keys as before."""
+    rows = [(1, "s", "t", "k_a", 1, 1, "a", "BTREE"), (1, "s", "t", "k_ab", 1, 1, "a", "BTREE"), (1, "s", "t", "k_ab", 1, 2, "b", "BTREE"),
+            (None, "s", "t", "k_a", 1, 1, "a", "BTREE"), (None, "s", "t", "k_ab", 1, 1, "a", "BTREE"), (None, "s", "t", "k_ab", 1, 2, "b", "BTREE"),
+            (1, "s", "t", "f_a", 1, 1, "a", "FULLTEXT"), (1, "s", "u", "u_1", 0, 1, "c", "BTREE"), (1, "s", "u", "u_2", 0, 1, "c", "BTREE")]
+    out = P.duplicate_indexes(spark.createDataFrame(rows, STATS))
+    assert {(r.host_id, r.table_name, r.index_name, r.columns, r.covered_by) for r in out.collect()} == {
+        (1, "t", "k_a", "a", "k_ab"), (1, "u", "u_2", "c", "u_1")}
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
