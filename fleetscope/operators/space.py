@@ -126,7 +126,7 @@ def no_primary_key(tables: DataFrame, statistics: DataFrame) -> DataFrame:
 
     return (tables.where(~F.col("table_schema").isin(SYSTEM_SCHEMAS))
             .select(*CATALOG_TABLE, "engine").distinct()
-            .join(facts, CATALOG_TABLE, "left")
+            .join(facts.hint("merge"), CATALOG_TABLE, "left")
             .select(*CATALOG_TABLE, "engine",
                     mark(F.coalesce("has_pk", F.lit(0)) == 0, "NOPK").alias("nopk"),
                     mark(F.col("ft") == 1, "FULLTEXT").alias("ftidx"), mark(F.col("gis") == 1, "SPATIAL").alias("gisidx"))
@@ -173,9 +173,11 @@ def table_detail(tables: DataFrame, statistics: DataFrame, columns: DataFrame) -
     """Tables with their indexes and columns nested.
 
     Both lists are bounded by the server (64 indexes of 16 columns, 4096 columns per table of a server).
+    The joins are sorted ones: the lists grow with the fleet, and an estimate made before they are built is far too low.
     """
     index_infos = statistics.groupBy(*CATALOG_TABLE).agg(F.array_sort(F.collect_list(
         F.struct("index_name", "seq_in_index", "column_name", "non_unique"))).alias("index_infos"))
     column_infos = columns.groupBy(*CATALOG_TABLE).agg(F.array_sort(F.collect_list(
         F.struct("ordinal_position", "column_name", "column_type", "column_key"))).alias("column_infos"))
-    return tables.join(index_infos, CATALOG_TABLE, "left").join(column_infos, CATALOG_TABLE, "left")
+    return (tables.join(index_infos.hint("merge"), CATALOG_TABLE, "left")
+            .join(column_infos.hint("merge"), CATALOG_TABLE, "left"))

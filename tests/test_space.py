@@ -120,3 +120,17 @@ def test_duplicate_indexes_broadcast_nothing(spark):
     assert {(r.host_id, r.table_name, r.index_name, r.columns, r.covered_by) for r in out.collect()} == {
         (1, "t", "k_a", "a", "k_ab"), (1, "u", "u_2", "c", "u_1")}
     assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
+def test_catalog_joins_broadcast_nothing(spark):
+    """Lists of a fleet's tables are larger than an estimate says; tables without lists stay, and so do null keys."""
+    key = "host_id BIGINT, table_schema STRING, table_name STRING"
+    tables = spark.createDataFrame([(1, "s", "t", "InnoDB"), (1, "s", "bare", "InnoDB"), (None, "s", "t", "InnoDB")], f"{key}, engine STRING")
+    columns = spark.createDataFrame([(1, "s", "t", "id", 1, "bigint", "PRI"), (None, "s", "t", "id", 1, "bigint", "PRI")],
+                                    f"{key}, column_name STRING, ordinal_position INT, column_type STRING, column_key STRING")
+    detail, keyless = P.table_detail(tables, _stats(spark, PRIMARY="i"), columns), P.no_primary_key(tables, _stats(spark, PRIMARY="i"))
+    assert {(r.host_id, r.table_name, r.index_infos is None, r.column_infos is None) for r in detail.collect()} == {
+        (1, "t", False, False), (1, "bare", True, True), (None, "t", True, True)}
+    assert {(r.host_id, r.table_name) for r in keyless.collect()} == {(1, "bare"), (None, "t")}
+    for out in (detail, keyless):
+        assert "Broadcast" not in out._jdf.queryExecution().toString()
