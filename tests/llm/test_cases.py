@@ -516,3 +516,15 @@ def test_every_alternative_of_a_licence_is_reached(spark):
     wrapped = list(cases)[10]
     # Places are those of the given text.
     assert (3, wrapped.index(" (the")) in [(f.start, f.end) for f in got[10].found]
+
+
+def test_every_page_of_a_host_is_aligned(spark):
+    """A line that a few pages of many have differently is no template, whichever pages they are; a line that all have is."""
+    def page(j, k):
+        line = f"edition {k}" if k in (0, 20, 40) else "the usual line"
+        return f"<body><div class=a><p>Our site</p></div><div class=x{k % 3}><section><p>{line}</p></section><div><p>story {j} {k}</p></div></div></body>"
+
+    pages = [(1000 * j + k, f"http://h{j}/", page(j, k)) for j in range(6) for k in [*range(120), 7]]
+    got = _texts_of(spark, pages)
+    for j in range(6):
+        assert got[1000 * j + 7] == f"the usual line\nstory {j} 7" and got[1000 * j + 20] == f"edition 20\nstory {j} 20"
