@@ -1,9 +1,11 @@
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from fleetscope.plans.inputs import Inputs
 from fleetscope.sources import engine_text, logs, os_text
+from fleetscope.sources.status import status_pivot
 from fleetscope.streaming import streams
 
 T0 = datetime(2024, 1, 1)
@@ -191,3 +193,26 @@ def test_backup_lines(spark):
     assert c.bad_record == "garbage" and c.mode is None and c.is_ok is None
     assert d.backup_date is None and d.bad_record is None
     assert logs.backup_log_parse(lines).where(F.col("bad_record").isNotNull()).count() == 1
+
+
+def test_cpu_lines_are_exchanged_as_numbers(spark):
+    """The last pid counts, a pid that cannot be read names no process, polls without a CPU line go; texts are not shuffled."""
+    cpu, top = "  5.5 0.0 2.0 0.5 0.0 90.0", "{} m 20 0 9g 2g 10m S {} 12.5 10:00 mysqld"
+    rows = [(1, 1, "cpu", 1, "avg-cpu: %user"), (1, 1, "cpu", 2, cpu), (1, 1, "pid", 1, "7"), (1, 1, "pid", 2, "8"), (1, 1, "top", 1, top.format(7, 1.0)),
+            (1, 1, "top", 2, top.format(8, 2.0)), (1, 1, "top", 3, top.format(8, 3.0)), (1, 2, "cpu", 2, cpu), (1, 2, "pid", 1, "x"),
+            (1, 2, "top", 1, top.format("x", 4.0)), (1, 3, "pid", 1, "7"), (1, 3, "top", 1, top.format(7, 1.0)), (None, 1, "cpu", 2, cpu)]
+    out = os_text.os_cpu_process(spark.createDataFrame(rows, "host_id BIGINT, poll_id BIGINT, kind STRING, line_no INT, line STRING"))
+    assert {(r.host_id, r.poll_id): (r.cpu_user, r.cpu_idle, r.mysql_cpu) for r in out.collect()} == {
+        (1, 1): (5.5, 90.0, 3.0), (1, 2): (5.5, 90.0, None), (None, 1): (5.5, 90.0, None)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.index("Exchange"):].split("Project", 1)[1].splitlines()[0].split("]")[0]
+    assert "split_line#" in shuffled and not re.search(r"\b(line|f)#", shuffled)
+
+
+def test_poll_lines_become_one_row_before_they_are_shuffled(spark):
+    kv = spark.createDataFrame([(1, 1, 1, "a", "5"), (1, 1, 1, "a", "7"), (1, 1, 1, "b", "ON"), (1, 1, 1, "c", "1"), (None, 2, 1, "b", "x")],
+                               "host_id BIGINT, poll_id BIGINT, ts BIGINT, variable_name STRING, value STRING")
+    out = status_pivot(kv, ["a", "b", "gone"])
+    assert {(r.host_id, r.poll_id, r.a, r.b, r.gone) for r in out.collect()} == {(1, 1, 7, 1, None), (None, 2, None, None, None)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and plan.index("Exchange") < plan.rindex("HashAggregate")
