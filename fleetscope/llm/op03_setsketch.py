@@ -204,8 +204,20 @@ def _near(sizes: int, apart: int) -> bool:
     return (100 - PERCENT) * sizes >= (100 + PERCENT) * apart
 
 
-def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b, pivot): members of a pivot in different components that may reach the limit.
+def _several(apart: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (pivot, node, n, apart, comp) of pivots whose members are of several components."""
+    rows = _labelled(apart.select("pivot", "node", "n", "apart"), comps)
+    groups = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot")
+    return store(rows.join(groups, "pivot"), "members")
+
+
+def _stars_of(comps: DataFrame) -> DataFrame:
+    """Links that hold the components found so far together."""
+    return comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(a, b, pivot): members of a pivot in different components that may reach the limit, of the rows that ``_several`` gives.
 
     Let D(x) be what x and the pivot differ in, and m the most two sets of such a size may differ
     in. Two members differ in D(x) xor D(y). If one of them is not linked with the pivot, they share
@@ -214,9 +226,6 @@ def _meeting(apart: DataFrame, comps: DataFrame) -> DataFrame:
     the first m / 2 + 1 of D(x) and the first m + 1 of D(y). Edits of their own, which nobody
     shares, come first, so copies of one text with edits of their own hardly meet.
     """
-    rows = _labelled(apart.select("pivot", "node", "n", "apart"), comps)
-    groups = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot")
-    rows = store(rows.join(groups, "pivot"), "members")
     elements = rows.select("pivot", "node", F.explode("apart").alias("element"))
     shared = elements.groupBy("pivot", "element").agg(F.count("*").alias("holders")).where("holders > 1")
     most = F.floor((100 - PERCENT) / (100 + PERCENT) * (F.col("n") + F.col("n") * 100 / PERCENT) + 1e-9)
@@ -271,20 +280,19 @@ def linked(docs: DataFrame, rows: DataFrame, text: str = "text", id_col: str = "
     # Round one: each member against the most similar of its pivots.
     stars = store(_estimated(members.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a"), "pivot").distinct(), sketches), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a"))
-    edges = store(_confirmed(best, full), "links")
-    comps = store(components(edges), "components")
+    comps = store(components(_confirmed(best, full)), "components")
     # Round two: buckets that still hold several components, every member against the pivot.
     placed = _labelled(members, comps)
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     again = placed.join(mixed, "bucket").where("node <> pivot").select("pivot", "node").distinct()
     apart = store(_differences(again, full), "differences")
     if not apart.isEmpty():
-        edges = store(edges.union(apart.where("linked").select("pivot", "node")), "links")
-        comps = store(components(edges), "components")
+        comps = store(components(_stars_of(comps).union(apart.where("linked").select("pivot", "node"))), "components")
         # Round three: members of one pivot that can only meet through what both differ in.
-        met = _confirmed_apart(_estimated(_meeting(apart, comps), sketches), apart)
-        edges = store(edges.union(met), "links")
-        comps = components(edges)
+        several = _several(apart, comps)
+        if not several.isEmpty():
+            met = store(_confirmed_apart(_estimated(_meeting(several), sketches), apart), "links")
+            comps = components(_stars_of(comps).union(met))
     named = reps.select("node", "set_key", "least_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     return named.join(least, "comp").select("set_key", "component_id", "comp")

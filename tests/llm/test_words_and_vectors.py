@@ -209,3 +209,22 @@ def test_tree_spans_with_least_edges():
     order, parent, edge = spanning_tree(np.array([[0], [10], [1], [12], [3]]))
     assert parent[order[0]] == -1 and sorted(order) == list(range(5))
     assert sorted(edge) == [0, 1, 2, 2, 7]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars already are stored once; other graphs get the least node each can reach."""
+    from fleetscope.llm import graph
+
+    stored = []
+    monkeypatch.setattr(graph, "store", lambda df, name, keep=graph.store: stored.append(name) or keep(df, name))
+    stars = spark.createDataFrame([(1, 5), (7, 1), (2, 2), (3, 9), (9, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, graph.components(stars).collect())) == [(1, 1), (3, 3), (5, 1), (7, 1), (9, 3)]
+    assert len(stored) == 1
+    rng = random.Random(4)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(20)]
+    least = {n: n for link in links for n in link}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert got == {n: c for n, c in least.items() if n in got} and all(c == n for n, c in least.items() if n not in got)
