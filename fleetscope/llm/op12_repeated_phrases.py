@@ -22,11 +22,14 @@ further columns travel in ``doc``; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,8 +44,6 @@ TOGETHER = 16
 SHARD_WORDS = 1 << 18
 TASK_WORDS = 1 << 20
 AUTOMATON_WORDS = 1 << 16
-# A word is two letters of so many values: an automaton's states have few arcs, which it searches one by one.
-LETTERS = 512
 # Shards at least, so that a small table is still spread.
 LEAST_SHARDS = 24
 LAST_ID = (1 << 63) - 1
@@ -106,10 +107,9 @@ def recurring(texts: DataFrame) -> DataFrame:
 _SHARE = "array<struct<shard:int,starts:binary,sizes:binary,words:binary>>"
 
 
-def _shares(runs: list[dict], words: np.ndarray, shards: int) -> list[dict]:
+def _shares(at: np.ndarray, home: np.ndarray, words: np.ndarray, shards: int) -> list[dict]:
     """The passages of one text by shard: first word and number of words of each, and the words."""
-    at = np.array([r["at"] for r in runs], np.int64)
-    shard = (mix(np.array([r["home"] for r in runs], np.int64).view(U64)) % U64(shards)).astype(np.int64)
+    shard = (mix(home.view(U64)) % U64(shards)).astype(np.int64)
     order = np.lexsort((at, shard))
     at, shard = at[order], shard[order]
     first = at // TOGETHER
@@ -136,8 +136,9 @@ def _kept(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.nd
     follows[:-1] = text[1:] == text[:-1]
     b[follows] += 1
     step = np.zeros(len(data) + 2, np.int8)
-    np.add.at(step, a, 1)
-    np.add.at(step, b, -1)
+    # No two words begin or end at one place.
+    step[a] += 1
+    step[b] -= 1
     mask = np.cumsum(step[:len(data)], dtype=np.int8) > 0
     spaced = np.where(WHITE[data], np.uint8(0x20), data)[mask]
     cut = np.concatenate([[0], np.cumsum(mask)])[offsets]
@@ -154,7 +155,10 @@ def _split(texts: DataFrame, shards: int, with_text: bool) -> DataFrame:
                 data, offsets, starts, ends, counts, words = _words(part.column(3))
                 first = np.concatenate([[0], np.cumsum(counts)])
                 runs = part.column(4)
-                shares = [None if not r.is_valid else _shares(r.as_py(), words[first[i]:first[i + 1]], shards) for i, r in enumerate(runs)]
+                at, home = (pc.struct_field(runs.flatten(), n).to_numpy() for n in ("at", "home"))
+                cut = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy())])
+                shares = [_shares(at[a:b], home[a:b], words[first[i]:first[i + 1]], shards) if known else None
+                          for i, (known, a, b) in enumerate(zip(runs.is_valid().to_pylist(), cut[:-1], cut[1:], strict=True))]
                 whole = _kept(data, offsets, starts, ends, counts, np.ones(len(starts), bool))
                 out = {"n_words": pa.array(counts, pa.int64()), "shares": pa.array(shares, pa.list_(pa.struct(
                     [("shard", pa.int32()), ("starts", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())]))),
@@ -243,21 +247,26 @@ def _automata(found: list[dict]) -> Iterator[tuple[np.ndarray, ahocorasick.Autom
 def _automaton(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ahocorasick.Automaton]:
     vocabulary = np.unique(np.concatenate([w for _, w in held]))
     automaton = ahocorasick.Automaton()
+    letters, at = _letters(vocabulary, np.concatenate([w for _, w in held])), 0
     for doc, words in held:
-        letters = _letters(vocabulary, words)
-        for k in range(len(words) - PHRASE + 1):
-            automaton.add_word(letters[2 * k:2 * (k + PHRASE)], doc)
+        for k in range(at, at + 2 * (len(words) - PHRASE + 1), 2):
+            automaton.add_word(letters[k:k + 2 * PHRASE], doc)
+        at += 2 * len(words)
     automaton.make_automaton()
     return vocabulary, automaton
 
 
 def _letters(vocabulary: np.ndarray, words: np.ndarray) -> str:
-    """Two characters a word, of different alphabets; words outside the vocabulary, as separators, are twice character 1."""
+    """Two characters a word, of different alphabets; words outside the vocabulary, as separators, are twice character 1.
+
+    An automaton searches the arcs of a state one by one, so both alphabets have as few letters as the vocabulary allows.
+    """
+    size = math.isqrt(len(vocabulary)) + 1
     at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
     known = vocabulary[at] == words
     codes = np.empty((len(words), 2), "<u4")
-    codes[:, 0] = np.where(known, 2 + at // LETTERS, 1)
-    codes[:, 1] = np.where(known, 2 + LETTERS + at % LETTERS, 1)
+    codes[:, 0] = np.where(known, 2 + at // size, 1)
+    codes[:, 1] = np.where(known, 2 + size + at % size, 1)
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
@@ -277,10 +286,8 @@ def _locate(found: pa.Table, shares: pa.Table) -> pa.Table:
         origin = np.insert(np.arange(len(words)), np.cumsum(sizes), -1)
         cover = np.zeros(len(words) + 1, np.int64)
         for vocabulary, automaton in _automata(found.to_pylist()):
-            hits = list(automaton.iter(_letters(vocabulary, stream)))
-            if not hits:
-                continue
-            end, first = origin[np.array([h[0] // 2 for h in hits])], np.array([h[1] for h in hits], np.int64)
+            hits = np.fromiter(chain.from_iterable(automaton.iter(_letters(vocabulary, stream))), np.int64).reshape(-1, 2)
+            end, first = origin[hits[:, 0] // 2], hits[:, 1]
             end = end[first < ids[end]]
             np.add.at(cover, end - PHRASE + 1, 1)
             np.add.at(cover, end + 1, -1)
@@ -300,7 +307,8 @@ def _finished(rows: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
-                data, offsets, starts, ends, counts, _ = _words(part.column(1))
+                data, offsets = text_buffers(part.column(1))
+                starts, ends, counts = word_spans(data, offsets, WHITE)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 gone = np.zeros(len(starts), bool)
                 merged = []

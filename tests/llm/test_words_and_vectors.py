@@ -228,3 +228,18 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
             least[a] = least[b] = min(least[a], least[b])
     got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {n: c for n, c in least.items() if n in got} and all(c == n for n, c in least.items() if n not in got)
+
+
+def test_passages_of_a_text_by_shard():
+    """Runs of phrases that touch within a shard are one passage; the places come as numbers, not as rows."""
+    import numpy as np
+
+    from fleetscope.llm import op12_repeated_phrases as phrases
+
+    words = np.arange(1000, 1100, dtype=np.uint64)
+    runs = [(0, 3), (3, 2), (40, 1), (60, 16)]
+    at = np.array([first * phrases.TOGETHER + n - 1 for first, n in reversed(runs)], np.int64)
+    (got,) = phrases._shares(at, np.full(4, 7, np.int64), words, 1)
+    starts, sizes, held = phrases._share_arrays(got)
+    assert starts.tolist() == [0, 40, 60] and sizes.tolist() == [17, 13, 28]
+    assert held.tolist() == [*words[:17].tolist(), *words[40:53].tolist(), *words[60:88].tolist()]
