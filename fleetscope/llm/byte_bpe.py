@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 
 from fleetscope.llm.lexicon import Lexicon
 
 # Fixed value: how texts are cut into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for texts of ASCII characters.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 # Pieces a task remembers before it begins anew.
 MEMORY = 400_000
-# Longer pieces are merged with a heap.
+# Longer pieces are merged with a heap; the others in rows of these widths, many at a time.
 SHORT = 40
+WIDTHS = (8, 16, SHORT)
+# No merge.
+_NONE = 1 << 62
+_HALF = 32
+_LOW = (1 << _HALF) - 1
 
 
 @dataclass(frozen=True)
@@ -24,7 +33,8 @@ class Vocabulary:
 
     byte_ids: list[int]
     id_bytes: dict[int, bytes]
-    merges: dict[tuple[int, int], tuple[int, int]]
+    pairs: np.ndarray  # the two ids of each merge in one number, sorted
+    made: np.ndarray  # its rank and the id it makes
     special: dict[str, int]
     odd: str
 
@@ -39,8 +49,7 @@ def byte_characters() -> dict[str, int]:
 def load(path: str) -> Vocabulary:
     """Read a byte-level BPE file of the tokenizers library."""
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    spec = json.loads(text)
+        spec = json.load(f)
     model = spec["model"]
     if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
         raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
@@ -49,17 +58,21 @@ def load(path: str) -> Vocabulary:
         raise ValueError("added tokens that strip or match by word are not supported")
     characters, ids = byte_characters(), model["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+    # A pair that is listed twice has its last rank.
+    merges = {ids[a] << _HALF | ids[b]: rank << _HALF | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+    keys = np.array(sorted(merges), np.int64)
     id_bytes = {i: bytes(characters[c] for c in t) for t, i in ids.items()} | {t["id"]: t["content"].encode() for t in added}
     byte_ids = [ids[c] for c, _ in sorted(characters.items(), key=lambda x: x[1])]
-    return Vocabulary(byte_ids, id_bytes, merges, {t["content"]: t["id"] for t in added}, _odd_characters(text))
+    return Vocabulary(byte_ids, id_bytes, keys, np.array([merges[k] for k in keys.tolist()], np.int64), {t["content"]: t["id"] for t in added}, _odd_characters(spec))
 
 
-def _odd_characters(text: str) -> str:
+def _odd_characters(spec: dict) -> str:
     """A pattern of the characters that the library, of an older Unicode version, calls neither letter nor number."""
     from tokenizers import Tokenizer
 
-    cut = Tokenizer.from_str(text).pre_tokenizer.pre_tokenize_str
+    # How texts are cut does not depend on the vocabulary, which would take much of the driver's memory.
+    bare = spec | {"added_tokens": [], "model": spec["model"] | {"vocab": {}, "merges": []}}
+    cut = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer.pre_tokenize_str
     letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
     odd = []
     for code in range(0x80, 0x110000):
@@ -120,6 +133,69 @@ def _merge_long(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]])
     return [i for i in ids if i >= 0]
 
 
+class Merger:
+    """Merges many pieces at a time, a row each; longer ones by themselves."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.pairs, self.made = vocabulary.pairs, vocabulary.made
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
+        # The merge of any two bytes.
+        self.bytes_made = self._lookup(self.byte_ids[:, None], self.byte_ids[None, :])
+        self.merges: dict[tuple[int, int], tuple[int, int]] | None = None
+
+    def __call__(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        out: list[list[int]] = [[] for _ in pieces]
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            some = np.flatnonzero((sizes > low) & (sizes <= width))
+            if len(some):
+                made = self._rows(b"".join([pieces[i] for i in some]), sizes[some], width)
+                for i, row, n in zip(some.tolist(), made.tolist(), (made >= 0).sum(1).tolist(), strict=True):
+                    out[i] = row[:n]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            if self.merges is None:
+                self.merges = {divmod(k, 1 << _HALF): divmod(v, 1 << _HALF) for k, v in zip(self.pairs.tolist(), self.made.tolist(), strict=True)}
+            out[i] = merge(self.byte_ids[np.frombuffer(pieces[i], np.uint8)].tolist(), self.merges)
+        return out
+
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and id of each pair, or ``_NONE``; an id of -1 has no merge."""
+        if not len(self.pairs):
+            return np.full(np.broadcast(left, right).shape, _NONE)
+        key = (left << _HALF) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], _NONE)
+
+    def _rows(self, data: bytes, sizes: np.ndarray, width: int) -> np.ndarray:
+        """The ids of pieces of at most ``width`` bytes, a row each, filled with -1; in each step every row merges its first pair of the lowest rank."""
+        held = np.arange(width) < sizes[:, None]
+        raw = np.zeros(held.shape, np.uint8)
+        raw[held] = np.frombuffer(data, np.uint8)
+        ids = np.where(held, self.byte_ids[raw], -1)
+        value = np.full(held.shape, _NONE)
+        value[:, :-1] = np.where(held[:, 1:], self.bytes_made[raw[:, :-1], raw[:, 1:]], _NONE)
+        out, rows, places = np.empty_like(ids), np.arange(len(ids)), np.arange(width - 1)
+        while len(rows):
+            k = value.argmin(1)
+            best = value[np.arange(len(rows)), k]
+            go = best < _NONE
+            if not go.all():
+                out[rows[~go]] = ids[~go]
+                rows, ids, value, k, best = rows[go], ids[go], value[go], k[go], best[go]
+            line, new = np.arange(len(rows)), best & _LOW
+            # What stands behind the pair moves one place to the left.
+            source = places + (places > k[:, None])
+            for table, rest in ((ids, -1), (value, _NONE)):
+                table[:, :-1] = np.take_along_axis(table, source, 1)
+                table[:, -1] = rest
+            ids[line, k] = new
+            value[line, k] = self._lookup(new, ids[line, k + 1])
+            line = np.flatnonzero(k)
+            value[line, k[line] - 1] = self._lookup(ids[line, k[line] - 1], new[line])
+        return out
+
+
 class Encoder:
     """Encodes texts of one task: the lexicon first, exact merges for words it lacks, and a memory of both."""
 
@@ -127,10 +203,14 @@ class Encoder:
         self.vocabulary = vocabulary
         self.lexicon = Lexicon(lexicon)
         self.pieces = regex.compile(PIECES)
+        self.ascii = re.compile(ASCII_PIECES)
         self.odd = regex.compile(f"[{vocabulary.odd}]") if vocabulary.odd else None
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        # piece -> (ids joined by commas, bytes they stand for)
-        self.memory: dict[str, tuple[str, bytes]] = {}
+        self.merger = Merger(vocabulary)
+        self.id_texts = {i: str(i) for i in vocabulary.id_bytes}
+        # Ids of a piece, joined by commas, and the bytes they stand for.
+        self.ids: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text and its special tokens, in order."""
@@ -143,23 +223,25 @@ class Encoder:
         return [*out, *self._cut_plain(text[at:])]
 
     def _cut_plain(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if text.isascii():
+            return self.ascii.findall(text)
+        if self.odd is None or not self.odd.search(text):
             return self.pieces.findall(text)
         # A character that is neither letter nor number to the library is stood in for by a sign.
         return [text[m.start():m.end()] for m in self.pieces.finditer(self.odd.sub("§", text))]
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember all pieces of some texts."""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        new = list({p for pieces in texts for p in pieces}.difference(self.memory))
+        if len(self.ids) > MEMORY:
+            self.ids.clear()
+            self.bytes.clear()
+        new = list(set().union(*texts).difference(self.ids))
         coded = [p.encode() for p in new]
-        byte_ids, id_bytes, merges, special = self.vocabulary.byte_ids, self.vocabulary.id_bytes, self.vocabulary.merges, self.vocabulary.special
-        for piece, data, ids in zip(new, coded, self.lexicon.lookup(coded), strict=True):
-            if piece in special:
-                ids = [special[piece]]
-            elif ids is None:
-                ids = merge([byte_ids[b] for b in data], merges)
-            else:
-                ids = ids.tolist()
-            self.memory[piece] = ",".join(map(str, ids)), b"".join([id_bytes[i] for i in ids])
+        special, id_bytes, id_texts = self.vocabulary.special, self.vocabulary.id_bytes, self.id_texts
+        known = [[special[p]] if p in special else x if x is None else x.tolist() for p, x in zip(new, self.lexicon.lookup(coded), strict=True)]
+        merged = iter(self.merger([c for c, x in zip(coded, known, strict=True) if x is None]))
+        for piece, ids in zip(new, known, strict=True):
+            if ids is None:
+                ids = next(merged)
+            self.ids[piece] = ",".join([id_texts[i] for i in ids])
+            self.bytes[piece] = b"".join([id_bytes[i] for i in ids])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetscope.llm import lexicon
-from fleetscope.llm.byte_bpe import Encoder, Vocabulary, load, merge
+from fleetscope.llm.byte_bpe import Encoder, Merger, Vocabulary, load
 from fleetscope.llm.common import carried, chunks, frequent, small_batches, store, table
 
 # Words in the lexicon: a bound on its size (about 2 MB), not on what is encoded.
@@ -60,20 +60,19 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
 def compile_lexicon(words: list[str], vocabulary: Vocabulary) -> bytes:
     """The transducer of the words with a leading space."""
     coded = [(" " + w).encode() for w in words]
-    return lexicon.build({w: merge([vocabulary.byte_ids[b] for b in w], vocabulary.merges) for w in coded})
+    return lexicon.build(dict(zip(coded, Merger(vocabulary)(coded), strict=True)))
 
 
 def _digests(encoder: Encoder, texts: list[list[str]]) -> dict:
-    joined = [[encoder.memory[p] for p in pieces] for pieces in texts]
-    ids = [",".join([m[0] for m in ms]) for ms in joined]
-    decoded = [b"".join([m[1] for m in ms]).decode("utf-8", "replace") for ms in joined]
+    ids = [",".join(map(encoder.ids.__getitem__, pieces)) for pieces in texts]
+    decoded = [b"".join(map(encoder.bytes.__getitem__, pieces)).decode("utf-8", "replace") for pieces in texts]
     return {"n_tokens": pa.array([s.count(",") + 1 if s else 0 for s in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s in ids]),
             "decoded_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s in decoded])}
 
 
 def _ids(encoder: Encoder, texts: list[list[str]]) -> dict:
-    rows = [np.fromstring(",".join([encoder.memory[p][0] for p in pieces]), np.int32, sep=",") for pieces in texts]
+    rows = [np.fromstring(",".join(map(encoder.ids.__getitem__, pieces)), np.int32, sep=",") for pieces in texts]
     return {"n_tokens": pa.array([len(r) for r in rows], pa.int64()), "ids": pa.array(rows, pa.list_(pa.int32()))}
 
 

@@ -243,3 +243,21 @@ def test_passages_of_a_text_by_shard():
     starts, sizes, held = phrases._share_arrays(got)
     assert starts.tolist() == [0, 40, 60] and sizes.tolist() == [17, 13, 28]
     assert held.tolist() == [*words[:17].tolist(), *words[40:53].tolist(), *words[60:88].tolist()]
+
+
+def test_pieces_are_merged_together_as_one_by_one():
+    """Rows of pieces give the ids of the single merges, whatever their length; ASCII texts are cut as others are."""
+    import public_tokenizers
+    import regex
+
+    from fleetscope.llm import byte_bpe
+
+    vocabulary = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    single = {divmod(k, 1 << 32): divmod(v, 1 << 32) for k, v in zip(vocabulary.pairs.tolist(), vocabulary.made.tolist(), strict=True)}
+    rng = random.Random(3)
+    pieces = [bytes(rng.choices(rng.choice([range(256), range(97, 123), b"ab e"]), k=rng.randrange(60))) for _ in range(2000)]
+    assert byte_bpe.Merger(vocabulary)(pieces) == [byte_bpe.merge([vocabulary.byte_ids[b] for b in p], single) for p in pieces]
+    cut = regex.compile(byte_bpe.PIECES)
+    for _ in range(2000):
+        text = "".join(rng.choices([chr(k) for k in range(128)] if rng.random() < 0.5 else list(" \n\t'sdmlrev ab1.\x1c\x0b"), k=rng.randrange(30)))
+        assert regex.findall(byte_bpe.ASCII_PIECES, text) == cut.findall(text)
